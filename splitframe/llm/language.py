@@ -148,6 +148,7 @@ def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, ho
             out += model.score(texts.iloc[low : low + 256].tolist())
         return pd.Series(out, dtype=object)
 
+    scored = scored.asNondeterministic()  # it gives the same each time, but is not to be inlined and run again
     each = range(len(langs))
     d = df.withColumns(
         {

@@ -114,7 +114,9 @@ def verdict(prefix: str = "", rules=RULES) -> Column:
 def apply_rules(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
     p = "quality_" + "_" * max([0, *(len(c) for c in docs.columns)])
-    return with_measures(docs, text, p).where(verdict(p, rules)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The row number keeps the filter above the measures; below, it would work them out again for each use.
+    measured = with_measures(docs, text, p).withColumn(f"{p}row", F.monotonically_increasing_id())
+    return measured.where(verdict(p, rules) & (F.col(f"{p}row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def quality_report(docs: DataFrame, rules=RULES) -> DataFrame:
