@@ -135,11 +135,12 @@ def _told(code: Column, language: str, languages: list[str], right: float) -> Co
     return F.when(code == language, math.log(right)).when(code.isin(languages), wrong).otherwise(0.0)
 
 
-def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, host: Column) -> DataFrame:
-    """``df`` with struct column ``_language(language, posterior, accepted)``; its other columns stay as they are."""
+def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, host: Column, into: str = "_language") -> DataFrame:
+    """``df`` with struct column ``into`` (language, posterior, accepted); its other columns stay as they are."""
     langs = model.languages
+    p = "_" * max([1, *(len(c) for c in df.columns)])  # no column has such a name with more after it
     if not langs:
-        return df.withColumn("_language", F.expr("named_struct('language', 'und', 'posterior', 0.0D, 'accepted', false)"))
+        return df.withColumn(into, F.expr("named_struct('language', 'und', 'posterior', 0.0D, 'accepted', false)"))
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def scored(texts: pd.Series) -> pd.Series:
@@ -152,36 +153,37 @@ def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, ho
     each = range(len(langs))
     d = df.withColumns(
         {
-            "_score": scored(text),
-            "_code": F.lower(F.substring(F.coalesce(declared, F.lit("")), 1, 2)),
-            "_host": F.coalesce(host, F.lit("")),
+            f"{p}score": scored(text),
+            f"{p}code": F.lower(F.substring(F.coalesce(declared, F.lit("")), 1, 2)),
+            f"{p}host": F.coalesce(host, F.lit("")),
         }
     )
-    d = d.withColumn("_n", F.get("_score", len(langs)))
-    weight = F.when(F.col("_n") > TEMPER, F.try_divide(F.lit(TEMPER), F.col("_n"))).otherwise(1.0)
-    suffix = F.substring_index("_host", ".", -1)
+    d = d.withColumn(f"{p}n", F.get(f"{p}score", len(langs)))
+    weight = F.when(F.col(f"{p}n") > TEMPER, F.try_divide(F.lit(TEMPER), F.col(f"{p}n"))).otherwise(1.0)
+    suffix = F.substring_index(f"{p}host", ".", -1)
     d = d.withColumns(
         {
-            f"_own{k}": F.get("_score", k) * weight + _told(F.col("_code"), x, langs, DECLARED_RIGHT) + _told(suffix, x, langs, SUFFIX_RIGHT)
+            f"{p}own{k}": F.get(f"{p}score", k) * weight + _told(F.col(f"{p}code"), x, langs, DECLARED_RIGHT) + _told(suffix, x, langs, SUFFIX_RIGHT)
             for k, x in enumerate(langs)
         }
     )
-    own = [F.col(f"_own{k}") for k in each]
-    soft = d.select("_host", *own).withColumn("_whole", _log_sum(own))
-    sums = soft.groupBy("_host").agg(*[F.sum(F.exp(own[k] - F.col("_whole"))).alias(f"s{k}") for k in each])
-    priors = host_priors(saved(sums, "host-counts"), langs)
-    out = d.join(priors, "_host", "left").withColumns({f"_all{k}": own[k] + F.coalesce(F.get("_prior", k), F.lit(0.0)) for k in each})
-    total = [F.col(f"_all{k}") for k in each]
-    out = out.withColumns({"_best": F.greatest(*total) if len(total) > 1 else total[0], "_whole": _log_sum(total)})
-    chosen = F.coalesce(*[F.when(total[k] == F.col("_best"), x) for k, x in enumerate(langs)])
-    known, posterior = F.col("_n") > 0, F.exp(F.col("_best") - F.col("_whole"))
+    own = [F.col(f"{p}own{k}") for k in each]
+    soft = d.select(f"{p}host", *own).withColumn(f"{p}whole", _log_sum(own))
+    sums = soft.groupBy(f"{p}host").agg(*[F.sum(F.exp(own[k] - F.col(f"{p}whole"))).alias(f"s{k}") for k in each])
+    priors = host_priors(saved(sums.withColumnRenamed(f"{p}host", "_host"), "host-counts"), langs)
+    priors = priors.withColumnsRenamed({"_host": f"{p}host", "_prior": f"{p}prior"})
+    out = d.join(priors, f"{p}host", "left").withColumns({f"{p}all{k}": own[k] + F.coalesce(F.get(f"{p}prior", k), F.lit(0.0)) for k in each})
+    total = [F.col(f"{p}all{k}") for k in each]
+    out = out.withColumns({f"{p}best": F.greatest(*total) if len(total) > 1 else total[0], f"{p}whole": _log_sum(total)})
+    chosen = F.coalesce(*[F.when(total[k] == F.col(f"{p}best"), x) for k, x in enumerate(langs)])
+    known, posterior = F.col(f"{p}n") > 0, F.exp(F.col(f"{p}best") - F.col(f"{p}whole"))
     verdict = F.struct(
         F.when(known, chosen).otherwise("und").alias("language"),
         F.when(known, posterior).otherwise(0.0).alias("posterior"),
         (known & (posterior >= LEAST_POSTERIOR)).alias("accepted"),
     )
-    extra = ["_host", "_score", "_code", "_n", "_prior", "_best", "_whole", *[f"_own{k}" for k in each], *[f"_all{k}" for k in each]]
-    return out.withColumn("_language", verdict).drop(*extra)
+    extra = [f"{p}host", f"{p}score", f"{p}code", f"{p}n", f"{p}prior", f"{p}best", f"{p}whole", *[f"{p}own{k}" for k in each], *[f"{p}all{k}" for k in each]]
+    return out.withColumn(into, verdict).drop(*extra)
 
 
 def host_priors(sums: DataFrame, langs: list[str]) -> DataFrame:
@@ -219,5 +221,6 @@ def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
 
 def accepted_documents(docs: DataFrame, model: TextModel) -> DataFrame:
     """Rows of ``docs`` whose language is certain enough; ``lang`` is the declaration, ``source`` the host."""
-    out = identify(docs, model, F.col("text"), F.col("lang"), F.col("source"))
-    return out.where("_language.accepted").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = "_language" + "_" * max([0, *(len(c) for c in docs.columns)])
+    out = identify(docs, model, F.col("text"), F.col("lang"), F.col("source"), found)
+    return out.where(F.col(found)["accepted"]).select(*[F.col(f"`{c}`") for c in docs.columns])

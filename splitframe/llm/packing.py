@@ -6,7 +6,7 @@ itself, so no row is shuffled and no task holds more than a block, however large
 * Cost of a piece of n tokens: ``linear * n + quadratic * n * n``.
 * Pieces go in descending order to the sequence of lowest cost so far that still has room. A block
   opens ``ceil(tokens / length)`` sequences. A piece that fits nowhere whole is cut: it takes the
-  room of the emptiest sequences in turn, so that at most the last sequence of a block is padded.
+  room of the emptiest sequences in turn, so that a block has less padding than one sequence.
 * A document longer than a sequence first gives whole sequences of its own.
 
 Edge cases: null text is the empty document, which is its end id alone. An empty table gives no
