@@ -7,12 +7,13 @@ for a candidate pair the overlap is counted in each fragment separately and summ
    class, whose representative alone goes on.
 2. Groups by hash range count in how many sets each n-gram occurs. What occurs once can't overlap; a
    set of n with fewer than t*n n-grams left can't have a link and rests.
-3. Prefix filter: two linked sets share one of their first ``left - ceil(t*n) + 1`` n-grams.
-   * First each set meets the smallest one of each prefix n-gram, so a group of near copies gives as
-     many pairs as prefix n-grams, not their square. Verified pairs make first components.
-   * Then, for n-grams whose sets lie in several components, sets of different components meet. A
-     pair within a component can't change it, so no component loses a link.
-4. Overlaps are counted per fragment, summed per pair, and the exact test is on integers.
+3. Prefix filter: two linked sets share one of their first ``left - ceil(t*n) + 1`` n-grams, and of the
+   first one that they share enough n-grams stand from it on in both (position filter).
+   * In turns, each set meets HUBS sets at most of each prefix n-gram, so a group of near
+     copies gives as many pairs as prefix n-grams, not their square. Verified pairs join components.
+   * When a turn brings few new links, the sets of different components that share an n-gram all meet.
+     A pair within a component can't change it, so no component loses a link.
+4. A bound from the prefixes rules out most other pairs. Overlaps are counted per fragment, summed per pair, and the exact test is on integers.
 
 Hashes may only coincide for different n-grams within one pair of sets with a chance below n * n /
 2**48; step 2 may see more n-grams shared than are, which costs work only.
@@ -35,7 +36,9 @@ from .slices import bits_for, edges, pack, pack_sorted, unpack, unpack_sorted
 
 WORDS = 5
 PERCENT = 75
-FRAGMENTS = 8
+FRAGMENTS = 4
+#: Sets of one n-gram that the others meet in a turn.
+HUBS = 4
 BLOCK_GRAMS = 1_000_000
 _KEEP = np.uint64(0xFFFFFFFFFFFF0000)
 _STEPS = np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -194,13 +197,21 @@ def _ready(shared: DataFrame, percent: int) -> DataFrame:
     return shared.groupBy("block").applyInArrow(put, _READY)
 
 
-def linked(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of ``pairs`` (a, b) that link, with their overlap: counted per fragment, then summed."""
+def linked(pairs: DataFrame, segments: DataFrame, heads: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those of ``pairs`` (a, b) that link, with their overlap: counted per fragment, then summed.
+
+    heads: id, n, head (the prefix), beyond (n-grams after it). Of two sets, what the one whose prefix
+    ends first shares with the other lies in both prefixes or beyond its own; pairs for which that
+    can't be enough go first.
+    """
+    one = heads.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("head").alias("x"), F.col("beyond").alias("ra"))
+    two = heads.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("head").alias("y"), F.col("beyond").alias("rb"))
+    most = F.size(F.array_intersect("x", "y")) + F.when(F.array_max("x") <= F.array_max("y"), F.col("ra")).otherwise(F.col("rb"))
+    able = pairs.join(one, "a").join(two, "b").where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
     left = segments.select(F.col("id").alias("a"), "fragment", F.col("grams").alias("x"))
     right = segments.select(F.col("id").alias("b"), "fragment", F.col("grams").alias("y"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("x", "y")).alias("o"))
-    total = partial.groupBy("a", "b").agg(F.sum("o").alias("overlap"))
-    total = total.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    partial = able.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("o"))
+    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("overlap"))
     return total.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b", "overlap")
 
 
@@ -211,10 +222,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     chars = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     ready = saved(_ready(_shared(_dealt(named, bits_for(chars / 6), words, block_grams)), percent), "jaccard-sets")
     sets = ready.where("grams is not null").select(F.col("class_id").alias("id"), "n", "grams")
-    sizes = sets.select("id", "n")
     # The prefix of the global order: what stands in one set only comes first, and is left out.
     need = F.ceil(F.col("n") * percent / 100)
-    prefix = sets.select("id", "n", F.explode(F.slice("grams", F.lit(1), (F.size("grams") - need + 1).cast("int"))).alias("gram"))
+    heads = sets.select("id", "n", F.slice("grams", F.lit(1), (F.size("grams") - need + 1).cast("int")).alias("head"), (need - 1).alias("beyond"))
+    heads = saved(heads, "jaccard-heads")
+    prefix = heads.select("id", "n", (F.size("head") + F.col("beyond")).alias("left"), F.posexplode("head").alias("at", "gram")).select("id", "n", "gram", (F.col("left") - F.col("at")).alias("rest"))
     bounds = sets.select(F.explode("grams").alias("g")).select(F.percentile_approx("g", [k / fragments for k in range(1, fragments)], 1000)).first()[0] or []
     cut = sorted(set(bounds))
     lows, highs = [None, *cut], [*cut, None]
@@ -231,23 +243,38 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     segments = sets.select("id", F.posexplode(F.array(*[piece(a, b) for a, b in zip(lows, highs)])).alias("fragment", "grams")).where(F.size("grams") > 0)
     segments = saved(segments, "jaccard-segments")
 
-    def may_link(a, b):
-        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-    # Round 1: each set meets the first set of each of its prefix n-grams.
-    hubs = prefix.groupBy("gram").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1").select("gram", "hub")
-    met = prefix.join(hubs, "gram").where((F.col("id") != F.col("hub.id")) & may_link(F.col("n"), F.col("hub.n")))
-    first = saved(linked(met.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct(), segments, sizes, percent), "jaccard-links")
-    labels = components(first)
-    # Round 2: sets of different components meet.
-    tagged = prefix.join(labels.withColumnRenamed("node", "id"), "id", "left").select("gram", "id", "n", F.coalesce("component", "id").alias("label"))
-    tagged = saved(tagged, "jaccard-prefix")
+    def may_link(a, b, rest_a, rest_b):
+        """Whether sets of a and b n-grams can link when the first n-gram in both has so many from it on."""
+        return (100 + percent) * F.least(rest_a, rest_b) >= percent * (a + b)
+
+    links, labels, found, turn = None, None, 0, 0
+    while True:
+        tagged = prefix.withColumn("label", F.col("id"))
+        if labels is not None:
+            tagged = prefix.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "gram", "rest", F.coalesce("component", "id").alias("label"))
+        mixed = tagged.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("gram")
+        between = saved(tagged.join(mixed, "gram", "left_semi"), "jaccard-prefix")
+        # Each set meets a few sets of each of its prefix n-grams; which ones changes with the turn.
+        early = (100 + percent) * F.col("rest") < 2 * percent * F.col("n")  # false first: these can meet sets of like size
+        hubs = between.groupBy("gram").agg(F.array(*[F.min(F.struct(early.alias("e"), F.xxhash64("label", F.lit(turn * HUBS + k)).alias("h"), "label", "id", "n", "rest")) for k in range(HUBS)]).alias("hubs"))
+        hubs = hubs.select("gram", F.explode(F.array_distinct(F.transform("hubs", lambda h: F.struct(h["label"].alias("label"), h["id"].alias("id"), h["n"].alias("n"), h["rest"].alias("rest"))))).alias("hub"))
+        met = between.join(hubs, "gram").where((F.col("label") != F.col("hub.label")) & may_link(F.col("n"), F.col("hub.n"), F.col("rest"), F.col("hub.rest")))
+        pairs = met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+        new = saved(linked(pairs, segments, heads, percent).select("a", "b"), "jaccard-links")
+        links = new if links is None else links.unionAll(new)
+        more = new.count()
+        found, turn = found + more, turn + 1
+        labels = components(links)
+        if more * 20 < found or not more:
+            break
+    # What is left: sets of different components meet.
+    tagged = prefix.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "gram", "rest", F.coalesce("component", "id").alias("label"))
     mixed = tagged.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("gram")
-    between = tagged.join(mixed, "gram", "left_semi")
-    other = between.select("gram", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("to"))
-    pairs = between.join(other, "gram").where((F.col("label") < F.col("to")) & may_link(F.col("n"), F.col("m"))).select(F.col("id").alias("a"), "b").distinct()
-    second = linked(pairs, segments, sizes, percent)
-    final = components(first.select("a", "b").unionAll(second.select("a", "b")))
+    between = saved(tagged.join(mixed, "gram", "left_semi"), "jaccard-prefix")
+    other = between.select("gram", F.col("id").alias("b"), F.col("n").alias("m"), F.col("rest").alias("rest_b"), F.col("label").alias("to"))
+    pairs = between.join(other, "gram").where((F.col("label") < F.col("to")) & may_link(F.col("n"), F.col("m"), F.col("rest"), F.col("rest_b"))).select(F.col("id").alias("a"), "b").distinct()
+    second = linked(pairs, segments, heads, percent)
+    final = components(links.unionAll(second.select("a", "b")))
     classed = ready.select("doc_id", "n", "class_id").join(final.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
     # Sets without n-grams are equal but link nothing.
     group = F.when(F.col("n") == 0, F.struct(F.lit(0).alias("k"), F.col("doc_id").alias("v"))).otherwise(F.struct(F.lit(1).alias("k"), F.coalesce("component", "class_id").alias("v")))
