@@ -36,7 +36,7 @@ from .slices import bits_for, edges, pack, pack_sorted, unpack, unpack_sorted
 
 LENGTH = 100
 GRAM = 32
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 2_000_000
 BATCHES = 8
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
