@@ -37,6 +37,8 @@ from .slices import bits_for, edges, pack, pack_sorted, unpack, unpack_sorted
 LENGTH = 100
 GRAM = 32
 BLOCK_BYTES = 2_000_000
+#: Bytes that are fingerprinted at once.
+PIECE_BYTES = 1_000_000
 BATCHES = 8
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -271,25 +273,42 @@ def _contexts(docs: DataFrame, bits: int, length: int) -> DataFrame:
     return docs.select("doc_id", "hash", "text", "starts").mapInArrow(made, _SENT)
 
 
+def _pieces(sizes: list[int]):
+    """(from, to) of rows in a row that hold about PIECE_BYTES together."""
+    start, held = 0, 0
+    for k, n in enumerate(sizes):
+        if held and held + n > PIECE_BYTES:
+            yield start, k
+            start, held = k, 0
+        held += n
+    yield start, len(sizes)
+
+
+def _prints(bodies: list[bytes], counts: np.ndarray, length: int) -> np.ndarray:
+    """Fingerprints of all string starts of runs with so many starts each, whose bytes stand one after the other."""
+    spans = counts + length - 1
+    return Prints(np.frombuffer(b"".join(bodies), np.uint8)).of(length)[_spread(np.cumsum(spans) - spans, counts)]
+
+
 def _repeats(contexts: DataFrame, length: int, batches: int) -> DataFrame:
     """(doc_id, hash, ranges) of repeats, from each group's index family."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     def found(table):
-        rows = table.to_pylist()
+        bodies = table.column("body")
+        own = zip(table.drop_columns("body").to_pylist(), pc.binary_length(bodies).to_pylist())
+        rows = [r | {"at": k, "size": n} for k, (r, n) in enumerate(own)]
         out = [(r["doc_id"], r["hash"], r["sure"]) for r in rows if r["sure"]]
-        rows = [r for r in rows if r["body"]]
+        rows = [r for r in rows if r["size"]]
         rows.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["hash"]))
         if rows:
             counts = [unpack(r["counts"]) for r in rows]
             starts = [unpack(r["starts"]) for r in rows]
-            of = np.repeat(np.arange(len(rows)), [c.sum() for c in counts])
+            of = np.repeat(np.arange(len(rows), dtype=np.int32), [c.sum() for c in counts])
             sizes = np.concatenate(counts)
-            raw = np.frombuffer(b"".join([r["body"] for r in rows]), np.uint8)
-            bodies = sizes + length - 1
-            at = _spread(np.cumsum(bodies) - bodies, sizes)
-            prints = Prints(raw).of(length)[at]
-            first = first_starts(prints, of * batches // len(rows))
+            prints = np.concatenate([_prints([bodies[r["at"]].as_py() for r in rows[x:y]], np.concatenate(counts[x:y]), length) for x, y in _pieces([r["size"] for r in rows])])
+            first = first_starts(prints, of.astype(np.int64) * batches // len(rows))
             place = _spread(np.concatenate(starts), sizes)
             repeated, of = place[~first], of[~first]
             cut = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else []
