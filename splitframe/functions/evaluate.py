@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from ..operators.quantile import at_ranks
 
 
-def binary(df: DataFrame, score: str, label: str, threshold: float = 0.5) -> DataFrame:
-    """One row: accuracy, precision, recall, f1 with score > threshold as positive."""
+def binary(df: DataFrame, score: str, label: str, threshold: float = 0.5, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (or one for each value of ``by``, such as train and test): accuracy, precision, recall, f1 with score > threshold as positive."""
     hit, y = F.col(score) > threshold, F.col(label) == 1
-    one = df.agg(F.count_if(hit & y).alias("tp"), F.count_if(hit & ~y).alias("fp"), F.count_if(~hit & y).alias("fn"), F.count_if(~hit & ~y).alias("tn"))
+    one = df.groupBy(*by).agg(F.count_if(hit & y).alias("tp"), F.count_if(hit & ~y).alias("fp"), F.count_if(~hit & y).alias("fn"), F.count_if(~hit & ~y).alias("tn"))
     tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
     return one.select(
-        F.try_divide(tp + tn, tp + tn + fp + fn).alias("accuracy"), F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0)).alias("precision"),
+        *by, F.try_divide(tp + tn, tp + tn + fp + fn).alias("accuracy"), F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0)).alias("precision"),
         F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0)).alias("recall"), F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0)).alias("f1"),
     )
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.bins import bucket, histogram
-from ..operators.quantile import cut_lists, quantiles
+from ..operators.quantile import at_ranks, cut_lists, quantiles
+from ..operators.sampling import numbered
 
 
 def gradients(objective: str, score: Column, label: Column) -> tuple[Column, Column]:
@@ -20,6 +21,22 @@ def gradients(objective: str, score: Column, label: Column) -> tuple[Column, Col
     raise ValueError(f"unknown objective {objective}")
 
 
+def goss(df: DataFrame, sample_id: str, g: str, top: float = 0.2, other: float = 0.1, by: str = "signed", seed: int = 42) -> DataFrame:
+    """int(rows * top) rows of largest gradient (``by``: signed or abs) and int(rows * other) of the rest, with column ``top``.
+
+    The gradient of the last top row is found by rank, so the rows aren't sorted; ties go in digest order.
+    """
+    n = df.count()
+    k, m = int(n * top), int(n * other)
+    d = df.withColumn("_g", (F.col(g) if by == "signed" else F.abs(g)).cast("double"))
+    found = at_ranks(d, ["_g"], lambda _, rows: [(0, max(1, rows - k + 1))]).first() if k else None
+    least = F.lit(found["value"] if found else float("inf"))
+    over = d.where(F.col("_g") > least).count()
+    d = numbered(d.withColumn("_side", F.when(F.col("_g") > least, 2).when(F.col("_g") == least, 1).otherwise(0)), sample_id, seed, ["_side"])
+    d = d.withColumn("top", (F.col("_side") == 2) | ((F.col("_side") == 1) & (F.col("_n") <= k - over))).drop("_n")
+    return numbered(d, sample_id, seed, ["top"]).where(F.col("top") | (F.col("_n") <= m)).drop("_n", "_side", "_g")
+
+
 def split_gains(df: DataFrame, features: list[str], node: Column, g: Column, h: Column, l2: float = 0.1) -> DataFrame:
     """(node, feature, bin, gain, counts) of each split "bin or below goes left", floored to 10 decimals."""
     values = {"g": g, "h": h, "cnt": F.lit(1)}

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .optim import Optimizer, converged, rate
+
+
+def gram_sums(features: list[str], label: str | None = None) -> list[Column]:
+    sums = [F.sum(F.col(a).cast("double") * F.col(b)).alias(f"g_{i}_{j}") for i, a in enumerate(features) for j, b in enumerate(features) if i <= j]
+    return sums + ([F.sum(F.col(a).cast("double") * F.col(label)).alias(f"b_{i}") for i, a in enumerate(features)] if label else [])
+
 
 def gram(df: DataFrame, features: list[str], label: str | None = None) -> DataFrame:
     """One row of sums: g_i_j = sum(x_i * x_j) for i <= j, and b_i = sum(x_i * y)."""
-    sums = [F.sum(F.col(a).cast("double") * F.col(b)).alias(f"g_{i}_{j}") for i, a in enumerate(features) for j, b in enumerate(features) if i <= j]
-    sums += [F.sum(F.col(a).cast("double") * F.col(label)).alias(f"b_{i}") for i, a in enumerate(features)] if label else []
-    return df.agg(*sums)
+    return df.agg(*gram_sums(features, label))
 
 
 def gram_arrays(df: DataFrame, features: list[str], label: str) -> tuple[np.ndarray, np.ndarray, int]:
@@ -33,31 +38,48 @@ def fit_linear(df: DataFrame, features: list[str], label: str, epochs: int | Non
     return dict(zip([*features, "intercept"], map(float, w)))
 
 
-def logistic_gradient(df: DataFrame, features: list[str], label: str, weights: dict[str, float]) -> DataFrame:
-    """One row: Taylor loss and gradient g_i = avg((xw / 4 - y / 2) * x_i) for labels y of -1 and 1."""
+def logistic_gradient(df: DataFrame, features: list[str], label: str, weights: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
+    """One row: Taylor loss and gradient g_i = avg((xw / 4 - y / 2) * x_i) for labels y of -1 and 1.
+
+    ``by`` gives a row for each party, with its number of rows ``n``.
+    """
     y = F.when(F.col(label) == 1, 1.0).otherwise(-1.0)
     xw = sum((F.col(f).cast("double") * weights[f] for f in features), F.lit(weights["intercept"]))
     d = df.withColumns({"_xw": xw, "_y": y})
     step = F.col("_xw") / 4 - F.col("_y") / 2
     grads = [F.avg(step * F.col(f)).alias(f"grad_{f}") for f in features]
     loss = F.avg(F.lit(float(np.log(2))) - 0.5 * F.col("_y") * F.col("_xw") + 0.125 * F.col("_xw") * F.col("_xw"))
-    return d.agg(loss.alias("loss"), *grads, F.avg(step).alias("grad_intercept"))
+    size = [F.count("*").alias("n")] if by else []
+    return d.groupBy(*by).agg(*size, loss.alias("loss"), *grads, F.avg(step).alias("grad_intercept"))
 
 
-def fit_logistic(df: DataFrame, features: list[str], label: str, epochs: int = 20, lr: float = 0.15, l2: float = 0.0, tol: float = 1e-4) -> dict[str, float]:
+def fit_logistic(df: DataFrame, features: list[str], label: str, epochs: int = 20, lr: float = 0.15, l2: float = 0.0, tol: float = 1e-4, optimizer: Optimizer | None = None, schedule: str = "constant", early_stop: str = "diff", **rates) -> dict[str, float]:
     """Full-batch descent on the Taylor loss. Its gradient is linear in the weights, so one Gram pass serves all epochs."""
     signed = df.withColumn("_y", F.when(F.col(label) == 1, 1.0).otherwise(-1.0))
     g, b, n = gram_arrays(signed, features, "_y")
+    opt = optimizer or Optimizer("sgd", lr, "l2", l2)
     w, last = np.zeros(len(b)), None
-    for _ in range(epochs):
-        w = w - lr * ((g @ w / 4 - b / 2) / n + l2 * w)
+    for epoch in range(epochs):
+        before, w = w, opt.step(w, (g @ w / 4 - b / 2) / n, rate(schedule, epoch, **rates))
         loss = float(np.log(2) - 0.5 * b @ w / n + 0.125 * w @ g @ w / n)
-        if last is not None and abs(last - loss) < tol:
+        if converged(early_stop, tol, loss, last, w, before):
             break
         last = loss
     return dict(zip([*features, "intercept"], map(float, w)))
 
 
+def fit_one_vs_rest(df: DataFrame, features: list[str], label: str, classes: list, **options) -> dict:
+    """A logistic model for each of a few classes, against all others."""
+    return {c: fit_logistic(df.withColumn("_is", (F.col(label) == c).cast("int")), features, "_is", **options) for c in classes}
+
+
+def predict_class(df: DataFrame, models: dict, name: str = "predict_result") -> DataFrame:
+    """The class of highest score; of equal scores, the first class."""
+    score = lambda w: sum((F.col(f).cast("double") * v for f, v in w.items() if f != "intercept"), F.lit(w["intercept"]))
+    best = F.array_max(F.array(*[F.struct(score(w).alias("s"), F.lit(-k).alias("k")) for k, w in enumerate(models.values())]))
+    return df.withColumn(name, F.element_at(F.array(*[F.lit(c) for c in models]), (1 - best["k"]).cast("int")))
+
+
 def predict(df: DataFrame, weights: dict[str, float], logistic: bool = False, name: str = "predict_score") -> DataFrame:
     xw = sum((F.col(f).cast("double") * v for f, v in weights.items() if f != "intercept"), F.lit(weights["intercept"]))
     return df.withColumn(name, 1 / (1 + F.exp(-xw)) if logistic else xw)

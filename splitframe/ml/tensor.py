@@ -25,6 +25,18 @@ def by_row(t: DataFrame) -> DataFrame:
     return t.select("row_id", F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("sum"), F.array_max("v").alias("max"), F.array_min("v").alias("min"))
 
 
+def columns(t: DataFrame, which: list[int]) -> DataFrame:
+    """The tensor of some columns, from 0; a row that is too short has NULL there."""
+    return t.select("row_id", F.array(*[F.get("v", i) for i in which]).alias("v"))
+
+
+def coordinates(t: DataFrame, transposed: bool = False) -> DataFrame:
+    """(i, j, x) of each cell, or of the transpose: rows of any length, none of which is gathered."""
+    d = t.select("row_id", F.posexplode("v").alias("col", "x"))
+    i, j = ("col", "row_id") if transposed else ("row_id", "col")
+    return d.select(F.col(i).alias("i"), F.col(j).alias("j"), "x")
+
+
 def matmul_local(t: DataFrame, m: list[list[float]]) -> DataFrame:
     """Rows times a local matrix, whose columns are literals of the plan."""
     columns = [F.array(*[F.lit(float(x)) for x in c]) for c in zip(*m)]

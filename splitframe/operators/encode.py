@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,5 +58,21 @@ def selected(metrics: DataFrame, filter_type: str, threshold: float, take_high:
     return metrics.orderBy(v.desc() if take_high else v.asc(), "column").limit(int(k)).select("column")
 
 
+def selected_by_all(parts: list[DataFrame], metrics: DataFrame | None = None) -> DataFrame:
+    """Columns that all parts hold; with ``metrics`` (column, value), the best column where no column is in all."""
+    both = reduce(lambda a, b: a.join(b, "column", "left_semi"), parts)
+    if metrics is not None and both.isEmpty():
+        return metrics.orderBy(F.desc("value"), "column").limit(1).select("column")
+    return both
+
+
+def manual(columns: list[str], keep: list[str] | None = None, drop: list[str] | None = None) -> list[str]:
+    """Columns without those of ``drop``, except those of ``keep``; all can't go."""
+    left = [c for c in columns if c in (keep or ()) or c not in (drop or ())]
+    if not left:
+        raise ValueError("no column is left")
+    return left
+
+
 def ranks(df: DataFrame, by: list[str], order: list[Column]) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(*order))

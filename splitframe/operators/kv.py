@@ -34,6 +34,10 @@ def subtract(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right.select(key), key, "left_anti")
 
 
+def filter_values(df: DataFrame, condition) -> DataFrame:
+    return df.where(condition)
+
+
 def map_values(df: DataFrame, key: str, exprs: dict) -> DataFrame:
     return df.select(key, *[e.alias(n) for n, e in exprs.items()])
 

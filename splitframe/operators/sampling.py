@@ -34,6 +34,18 @@ def sample(df: DataFrame, sample_id: str, n: int | None = None, frac: float | No
     return df.orderBy(key(seed, sample_id), sample_id).limit(n)
 
 
+def resample(df: DataFrame, sample_id: str, n: int, seed: int = 42) -> DataFrame:
+    """n draws with replacement; each has a new sample id, the SHA-256 of seed and draw. No rows from an empty table.
+
+    Draw i takes the row whose place in digest order is the MD5 of seed and i, modulo the rows.
+    """
+    rows = df.count()
+    draw = F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))
+    place = F.conv(F.substring(F.md5(draw), 1, 12), 16, 10).cast("long") % max(rows, 1) + 1
+    draws = df.sparkSession.range(1, n + 1).select(place.alias("_n"), F.sha2(draw, 256).alias("_new"))
+    return numbered(df, sample_id, seed).join(draws, "_n").withColumn(sample_id, F.col("_new")).drop("_n", "_new")
+
+
 def sample_by_label(df: DataFrame, sample_id: str, label: str, fractions: dict, seed: int = 42) -> DataFrame:
     """max(1, int(rows * frac)) rows of each label in ``fractions``."""
     counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}

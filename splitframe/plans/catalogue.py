@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..frame import Frame
 from ..functions import evaluate
-from ..ml import gbdt, glm, tensor
+from ..ml import gbdt, glm, tensor, validate
 from ..operators import align, bins, encode, kv, quantile, sampling, stat
 from ..streaming import events as streams
 
@@ -532,6 +532,112 @@ def predict_detail(spark, d):
     return out.select("doc_id", F.round("predict_score", 6).alias("predict_score"), "predict_result")
 
 
+# Further samples, selections, tensors and learners
+@query("WITH o AS (SELECT o_totalprice, row_number() OVER (ORDER BY md5('42:' || o_orderkey), o_orderkey) AS rn, count(*) OVER () AS n FROM orders), d AS (SELECT i, CAST('0x' || substr(md5('42:' || i), 1, 12) AS BIGINT) AS h FROM (SELECT unnest(range(1, 201)) AS i)) SELECT sha256('42:' || i) AS o_orderkey, o_totalprice FROM d JOIN o ON rn = h % n + 1")
+def sample_replacement(spark, d):
+    return sampling.resample(t(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 200)
+
+
+_MEANS = "WITH m AS (" + " UNION ALL ".join(f"SELECT '{c}' AS c, avg({c}) AS v, stddev_samp({c}) AS s FROM lineitem" for c in NUMBERS) + ") "
+
+
+def _metric(spark, d, name):
+    return stat.statistics(t(spark, d, "lineitem"), NUMBERS, [name]).select("column", "value")
+
+
+@query(_MEANS + "SELECT c AS \"column\" FROM (SELECT c, row_number() OVER (ORDER BY v DESC, c) AS a, row_number() OVER (ORDER BY s DESC, c) AS b FROM m) WHERE a <= 3 AND b <= 2")
+def select_chain(spark, d):
+    return encode.selected_by_all([encode.selected(_metric(spark, d, "mean"), "top_k", 3), encode.selected(_metric(spark, d, "std"), "top_percentile", 0.5)])
+
+
+@query(_MEANS + "SELECT c AS \"column\" FROM m ORDER BY v DESC, c LIMIT 1")
+def select_keep_one(spark, d):
+    means = _metric(spark, d, "mean")
+    return encode.selected_by_all([encode.selected(means, "threshold", 1e12)], means)
+
+
+@query("SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_acctbal > 5000")
+def kv_filter(spark, d):
+    return kv.filter_values(t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v")), F.col("v") > 5000)
+
+
+@query("SELECT count(*) AS n, round(sum(c_acctbal), 2) AS total, max(c_acctbal) AS most FROM customer")
+def kv_reduce(spark, d):
+    return kv.reduce_all(t(spark, d, "customer"), {"n": F.count("*"), "total": F.round(F.sum("c_acctbal"), 2), "most": F.max("c_acctbal")})
+
+
+@query("SELECT p_partkey, p_size < 20 AS size, p_retailprice < 20 AS p_retailprice, false AS twice FROM part")
+def rename_assign(spark, d):
+    f = part_frame(spark, d, ["p_size", "p_retailprice"]).rename({"p_size": "size"})
+    return (f.assign({"twice": F.col("size") * 2 + 100}) < 20).df
+
+
+@query("SELECT c_custkey, c_acctbal < 0 AS c_acctbal FROM customer")
+def isna_mask(spark, d):
+    c = t(spark, d, "customer").withColumn("c_acctbal", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")))
+    return Frame.from_spark(c, "c_custkey", features=["c_acctbal"]).isna().df
+
+
+def _vectors(spark, d):
+    return t(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+@query("SELECT vec_id AS row_id, round(list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * ((i - 1) % 3))), 5) + 0.0 AS a, round(list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * ((i - 1) % 3 - 1))), 5) + 0.0 AS b FROM embeddings")
+def tensor_matmul(spark, d):
+    out = tensor.matmul_local(_vectors(spark, d), [[float(i % 3 - j) for j in range(2)] for i in range(64)])
+    return out.select("row_id", *[(F.round(F.get("v", j), 5) + 0.0).alias(n) for j, n in enumerate("ab")])
+
+
+@query("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(CAST(embedding[i + 1] AS DOUBLE) * CAST(embedding[j + 1] AS DOUBLE)), 4) + 0.0 AS value FROM embeddings, (VALUES (0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)) AS k(i, j) GROUP BY 1, 2")
+def tensor_gram(spark, d):
+    return tensor.gram(tensor.columns(_vectors(spark, d), [0, 1, 2])).withColumn("value", F.round("value", 4) + 0.0)
+
+
+@query("SELECT CAST(i - 1 AS INTEGER) AS i, vec_id AS j, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i)")
+def tensor_transpose(spark, d):
+    return tensor.coordinates(_vectors(spark, d), transposed=True)
+
+
+_PARTY = _SCORED + ", z AS (SELECT doc_id % 4 AS party, s, CASE WHEN y = 1 THEN 1.0 ELSE -1.0 END AS y, s * 0.5 + 0.1 AS xw FROM s), g AS (SELECT party, count(*) AS n, avg(ln(2) - 0.5 * y * xw + 0.125 * xw * xw) AS loss, avg((xw / 4 - y / 2) * s) AS grad_s, avg(xw / 4 - y / 2) AS grad_intercept FROM z GROUP BY 1) "
+
+
+def _party_gradients(spark, d):
+    return glm.logistic_gradient(_scored(spark, d).withColumn("party", F.col("doc_id") % 4), ["s"], "y", {"s": 0.5, "intercept": 0.1}, by=("party",))
+
+
+@query(_PARTY + "SELECT party, n, round(loss, 6) AS loss, round(grad_s, 6) AS grad_s, round(grad_intercept, 6) AS grad_intercept FROM g")
+def homo_lr_gradients(spark, d):
+    return _party_gradients(spark, d).withColumns(r6("loss", "grad_s", "grad_intercept"))
+
+
+@query(_PARTY + "SELECT round(sum(n * grad_s) / sum(n), 6) AS grad_s, round(sum(n * grad_intercept) / sum(n), 6) AS grad_intercept, count(*) AS parties FROM g")
+def homo_lr_step(spark, d):
+    return glm.weighted_mean(_party_gradients(spark, d), "party", "n", ["grad_s", "grad_intercept"]).withColumns(r6("grad_s", "grad_intercept"))
+
+
+@query(_SCORED + ", b AS (SELECT doc_id % 3 AS type, s > 0.05 AS hit, y = 1 AS yes FROM s) SELECT type, round(avg(CAST(hit = yes AS INTEGER)), 6) AS accuracy, round(coalesce(count(*) FILTER (hit AND yes) / nullif(count(*) FILTER (hit), 0), 0), 6) AS precision, round(coalesce(count(*) FILTER (hit AND yes) / nullif(count(*) FILTER (yes), 0), 0), 6) AS recall, round(coalesce(2 * count(*) FILTER (hit AND yes) / nullif(count(*) FILTER (hit) + count(*) FILTER (yes), 0), 0), 6) AS f1 FROM b GROUP BY 1")
+def binary_metrics_by_type(spark, d):
+    return evaluate.binary(_scored(spark, d).withColumn("type", F.col("doc_id") % 3), "s", "y", 0.05, by=("type",)).withColumns(r6("accuracy", "precision", "recall", "f1"))
+
+
+@query(_SCORED + ", o AS (SELECT doc_id, row_number() OVER (ORDER BY s - y DESC, md5('42:' || doc_id), doc_id) AS r, count(*) OVER () AS n FROM s), k AS (SELECT doc_id, n, r <= trunc(n * 0.2) AS top FROM o) SELECT doc_id, top FROM (SELECT *, row_number() OVER (PARTITION BY top ORDER BY md5('42:' || doc_id), doc_id) AS q FROM k) WHERE top OR q <= trunc(n * 0.1)")
+def goss_sample(spark, d):
+    return gbdt.goss(_scored(spark, d).withColumn("g", F.col("s") - F.col("y")), "doc_id", "g").select("doc_id", "top")
+
+
+@query("WITH k AS (SELECT fold, o_totalprice AS y, o_custkey AS x FROM (" + _sql["kfold5"] + ") JOIN orders USING (o_orderkey)), w AS (SELECT f.fold, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS fold) f JOIN k ON k.fold <> f.fold GROUP BY 1) SELECT k.fold, count(*) AS n, round(sqrt(avg(pow(y - a * x - b, 2))), 2) AS rmse FROM k JOIN w USING (fold) GROUP BY 1")
+def cv_linear(spark, d):
+    folds = sampling.k_fold(t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey", 5)
+    return validate.cross_validate_linear(folds, ["o_custkey"], "o_totalprice", "fold").withColumn("rmse", F.round("rmse", 2))
+
+
+@query()
+def one_vs_rest(spark, d):
+    rows = t(spark, d, "embeddings").select("vec_id", "label", *[F.get("embedding", i).cast("double").alias(f"x{i}") for i in range(4)])
+    models = glm.fit_one_vs_rest(rows, [f"x{i}" for i in range(4)], "label", list(range(10)), optimizer=None)
+    return glm.predict_class(rows, models).select("vec_id", "predict_result")
+
+
 # Extensions: the reference has no event-time operators.
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def ext_tumbling(spark, d):
