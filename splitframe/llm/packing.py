@@ -78,24 +78,27 @@ def assign(lengths: list[int], length: int, linear: float, quadratic: float) ->
     total = sum(lengths)
     sequences: list[list[tuple[int, int, int]]] = [[] for _ in range(-(-total // length))]
     room = [length] * len(sequences)
-    heap = [(0.0, s) for s in range(len(sequences))]  # lowest cost first
+    # Pieces come in descending order, so a sequence that has room for one keeps it until it takes a
+    # piece, and one without has it again from a certain length on: two heaps find the lowest cost exactly.
+    fitting = [(0.0, s) for s in range(len(sequences))]  # lowest cost first; all have room for the piece
+    full: list[tuple[int, float, int]] = []  # most room first; none has room for the piece
     waiting = []
     for piece in sorted(range(len(lengths)), key=lambda p: (-lengths[p], p)):
-        n, passed = lengths[piece], []
-        # Pieces come in descending order, so a sequence without room for this one is looked at
-        # again only for a smaller one: it goes back to the heap once its room can be enough.
-        while heap and room[heap[0][1]] < n and len(passed) < 64:
-            passed.append(heapq.heappop(heap))
-        if heap and room[heap[0][1]] >= n:
-            cost, s = heapq.heappop(heap)
-            sequences[s].append((piece, 0, n))
-            room[s] -= n
-            if room[s]:
-                heapq.heappush(heap, (cost + linear * n + quadratic * n * n, s))
-        else:
+        n = lengths[piece]
+        while full and -full[0][0] >= n:
+            _, cost, s = heapq.heappop(full)
+            heapq.heappush(fitting, (cost, s))
+        if not fitting:
             waiting.append(piece)
-        for item in passed:
-            heapq.heappush(heap, item)
+            continue
+        cost, s = heapq.heappop(fitting)
+        sequences[s].append((piece, 0, n))
+        room[s] -= n
+        cost += linear * n + quadratic * n * n
+        if room[s] >= n:
+            heapq.heappush(fitting, (cost, s))
+        elif room[s]:
+            heapq.heappush(full, (-room[s], cost, s))
     open_sequences = sorted((s for s in range(len(sequences)) if room[s]), key=lambda s: (-room[s], s))
     at = 0
     for piece in waiting:

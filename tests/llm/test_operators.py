@@ -74,6 +74,25 @@ def test_packing_is_balanced_and_full():
         assert at == n
 
 
+@pytest.mark.parametrize("kind", ["lognormal", "uniform"])
+def test_packing_like_a_search_of_all_sequences(kind):
+    """The same places as looking at every sequence for each piece; only what fits nowhere whole is cut."""
+    random = np.random.default_rng(3)
+    drawn = random.lognormal(5.2, 1.0, 3000) if kind == "lognormal" else random.integers(1, 2048, 1500)
+    lengths = [int(x) for x in np.clip(drawn, 1, 2047)]
+    room, costs, want, cut = [2048] * -(-sum(lengths) // 2048), [0.0] * -(-sum(lengths) // 2048), {}, set()
+    for p in sorted(range(len(lengths)), key=lambda p: (-lengths[p], p)):
+        n = lengths[p]
+        s = min((s for s in range(len(room)) if room[s] >= n), key=lambda s: (costs[s], s), default=None)
+        if s is None:
+            cut.add(p)
+            continue
+        want[p], room[s], costs[s] = s, room[s] - n, costs[s] + (n + n * n / 2048)
+    found = packing.assign(lengths, 2048, 1.0, 1 / 2048)
+    assert {p: s for s, members in enumerate(found) for p, _, n in members if p not in cut} == want
+    assert all(n == lengths[p] for members in found for p, _, n in members if p not in cut)
+
+
 # 2
 @pytest.mark.parametrize("block", [200, jaccard.BLOCK_GRAMS])
 def test_near_duplicates(docs, rows, block):
