@@ -9,12 +9,18 @@ For each row, log P(language | evidence) adds up, before normalising:
   counts are sums of the posteriors without it, from grouped aggregation over all rows.
 
 The text model is fitted on about ``FIT_ROWS`` labelled documents (chosen by a hash of the id); all
-other counts cover all rows. A row is rejected if its text has no trigram with a letter, or if the
-best posterior is below ``LEAST_POSTERIOR``.
-
-Edge cases: null and empty texts have language ``und`` and are rejected; null declarations and hosts
-add no evidence; unknown languages in a declaration add none either. Repeated rows count as often as
-they occur. Columns of the input keep their values; clashing names are avoided by a prefix.
+other counts cover all rows.
+
+Beside the fitted languages stands the class of all other texts: its trigrams come half from an even
+draw of all hashes, half from an even draw of a-z and space, its share is ``OTHER_SHARE``, and a fitted
+language in its markup or suffix counts as wrong. So trigrams that no fitted language has speak for it,
+not for the language with the fewest. A row is rejected if its text has no trigram with a letter, or if
+the posterior of its best language is below ``LEAST_POSTERIOR``.
+
+Edge cases: null and empty texts, and texts of the other class, have language ``und`` and are
+rejected; null declarations and hosts add no evidence; unknown languages in a declaration add none
+either. Repeated rows count as often as they occur. Columns of the input keep their values; clashing
+names are avoided by a prefix.
 """
 
 import math
@@ -35,6 +41,8 @@ SUFFIX_RIGHT = 0.8
 TEMPER = 60.0
 SMOOTHING = 20.0
 LEAST_POSTERIOR = 0.5
+#: Prior share of texts in none of the fitted languages.
+OTHER_SHARE = 0.01
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
 _FOLD[[0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0x20
@@ -42,6 +50,20 @@ _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
 
+def _hash(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77)) ^ (c * np.uint32(0xC2B2AE3D))) >> np.uint32(16)
+
+
+def _other() -> np.ndarray:
+    """Log-likelihoods of trigrams in a text of no fitted language."""
+    plain = np.array([0x20, *range(97, 123)], np.uint32)
+    found = np.bincount(_hash(plain[:, None, None], plain[:, None], plain).ravel(), minlength=BUCKETS)
+    return np.log(0.5 / BUCKETS + 0.5 * found / found.sum()).astype(np.float32)
+
+
+_OTHER = _other()
+
+
 def trigrams(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed byte trigrams of all texts in a row, whether each counts, and each text's first place.
 
@@ -52,7 +74,7 @@ def trigrams(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer(data + b"\n\n", np.uint8)
     n = len(data)
     b = _FOLD[raw]
-    hashed = ((b[:n] * np.uint32(0x9E3779B1)) ^ (b[1 : n + 1] * np.uint32(0x85EBCA77)) ^ (b[2 : n + 2] * np.uint32(0xC2B2AE3D))) >> np.uint32(16)
+    hashed = _hash(b[:n], b[1 : n + 1], b[2 : n + 2])
     letter, fits = _LETTER[raw], _LETTER[raw] | (b == 0x20)
     counts = fits[:n] & fits[1 : n + 1] & fits[2 : n + 2] & (letter[:n] | letter[1 : n + 1] | letter[2 : n + 2])
     for back in (1, 2):  # the last places of a text reach into the next
@@ -69,12 +91,12 @@ class TextModel:
         self.languages, self.table = languages, table
 
     def score(self, texts: list) -> list[list[float]]:
-        """Per text its summed log-likelihoods, then its number of trigrams."""
+        """Per text its summed log-likelihoods, the last of the other class, then its number of trigrams."""
         hashed, counts, bounds = trigrams(texts)
         at = bounds[:-1]
         if not len(at):
             return []
-        sums = [np.add.reduceat(np.where(counts, row[hashed], np.float32(0)).astype(np.float64), at) for row in self.table]
+        sums = [np.add.reduceat(np.where(counts, row[hashed], np.float32(0)).astype(np.float64), at) for row in (*self.table, _OTHER)]
         return np.stack([*sums, np.add.reduceat(counts.astype(np.float64), at)], axis=1).tolist()
 
 
@@ -129,10 +151,10 @@ def _log_sum(values: list[Column]) -> Column:
     return top + F.log(sum((F.exp(v - top) for v in values[1:]), F.exp(values[0] - top)))
 
 
-def _told(code: Column, language: str, languages: list[str], right: float) -> Column:
-    """Log-likelihood of a declaration under a language; the same for all where it names none of them."""
-    wrong = math.log((1 - right) / max(1, len(languages) - 1)) if len(languages) > 1 else 0.0
-    return F.when(code == language, math.log(right)).when(code.isin(languages), wrong).otherwise(0.0)
+def _told(code: Column, language: str | None, languages: list[str], right: float) -> Column:
+    """Log-likelihood of a declaration under a language (None: another one); the same for all where it names none of them."""
+    wrong = math.log((1 - right) / max(1, len(languages) - 1))
+    return F.when(code == F.lit(language), math.log(right)).when(code.isin(languages), wrong).otherwise(0.0)
 
 
 def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, host: Column, into: str = "_language") -> DataFrame:
@@ -158,31 +180,33 @@ def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, ho
             f"{p}host": F.coalesce(host, F.lit("")),
         }
     )
-    d = d.withColumn(f"{p}n", F.get(f"{p}score", len(langs)))
+    d = d.withColumn(f"{p}n", F.get(f"{p}score", len(langs) + 1))
     weight = F.when(F.col(f"{p}n") > TEMPER, F.try_divide(F.lit(TEMPER), F.col(f"{p}n"))).otherwise(1.0)
     suffix = F.substring_index(f"{p}host", ".", -1)
     d = d.withColumns(
         {
             f"{p}own{k}": F.get(f"{p}score", k) * weight + _told(F.col(f"{p}code"), x, langs, DECLARED_RIGHT) + _told(suffix, x, langs, SUFFIX_RIGHT)
-            for k, x in enumerate(langs)
+            for k, x in enumerate([*langs, None])
         }
     )
+    # Relative to a prior of 1 over all fitted languages, as the host's is.
+    other = F.col(f"{p}own{len(langs)}") + math.log(OTHER_SHARE / (1 - OTHER_SHARE))
     own = [F.col(f"{p}own{k}") for k in each]
-    soft = d.select(f"{p}host", *own).withColumn(f"{p}whole", _log_sum(own))
+    soft = d.select(f"{p}host", *own, (other + math.log(len(langs))).alias(f"{p}other")).withColumn(f"{p}whole", _log_sum([*own, F.col(f"{p}other")]))
     sums = soft.groupBy(f"{p}host").agg(*[F.sum(F.exp(own[k] - F.col(f"{p}whole"))).alias(f"s{k}") for k in each])
     priors = host_priors(saved(sums.withColumnRenamed(f"{p}host", "_host"), "host-counts"), langs)
     priors = priors.withColumnsRenamed({"_host": f"{p}host", "_prior": f"{p}prior"})
-    out = d.join(priors, f"{p}host", "left").withColumns({f"{p}all{k}": own[k] + F.coalesce(F.get(f"{p}prior", k), F.lit(0.0)) for k in each})
+    out = d.join(priors, f"{p}host", "left").withColumns({f"{p}all{k}": own[k] + F.coalesce(F.get(f"{p}prior", k), F.lit(-math.log(len(langs)))) for k in each})
     total = [F.col(f"{p}all{k}") for k in each]
-    out = out.withColumns({f"{p}best": F.greatest(*total) if len(total) > 1 else total[0], f"{p}whole": _log_sum(total)})
+    out = out.withColumns({f"{p}best": F.greatest(*total) if len(total) > 1 else total[0], f"{p}whole": _log_sum([*total, other])})
     chosen = F.coalesce(*[F.when(total[k] == F.col(f"{p}best"), x) for k, x in enumerate(langs)])
     known, posterior = F.col(f"{p}n") > 0, F.exp(F.col(f"{p}best") - F.col(f"{p}whole"))
     verdict = F.struct(
-        F.when(known, chosen).otherwise("und").alias("language"),
+        F.when(known & (F.col(f"{p}best") >= other), chosen).otherwise("und").alias("language"),
         F.when(known, posterior).otherwise(0.0).alias("posterior"),
         (known & (posterior >= LEAST_POSTERIOR)).alias("accepted"),
     )
-    extra = [f"{p}host", f"{p}score", f"{p}code", f"{p}n", f"{p}prior", f"{p}best", f"{p}whole", *[f"{p}own{k}" for k in each], *[f"{p}all{k}" for k in each]]
+    extra = [f"{p}host", f"{p}score", f"{p}code", f"{p}n", f"{p}prior", f"{p}best", f"{p}whole", *[f"{p}own{k}" for k in range(len(langs) + 1)], *[f"{p}all{k}" for k in each]]
     return out.withColumn(into, verdict).drop(*extra)
 
 

@@ -284,6 +284,29 @@ def test_language_edges(spark):
     assert language.accepted_documents(docs, empty).count() == 0
 
 
+def test_language_rejects_foreign_and_junk_texts(spark):
+    """Texts in no fitted language go, whatever they declare; all clean documents stay."""
+    import base64
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit_text_model(docs.where("doc_id % 2 = 0").selectExpr("doc_id as id", "text", "lang"))
+    random = np.random.default_rng(4)
+    other = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах",
+        "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto",
+        base64.b64encode(random.bytes(300)).decode(),
+        " ".join("".join(random.choice(list("bcdfghjklmnpqrstvwxz"), 7)) for _ in range(30)),
+    ]
+    rows = [(-1 - k, t, lang, "src1", len(t)) for k, t in enumerate(other) for lang in ("en", "es", None)]
+    clean = docs.where("doc_id % 2 = 1").where("text rlike '[A-Za-z]{3}'")
+    both = clean.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    kept = [r.doc_id for r in language.accepted_documents(both, model).select("doc_id").collect()]
+    assert sorted(kept) == sorted(r.doc_id for r in clean.select("doc_id").collect())
+    pages = spark.createDataFrame([(k, f"http://a.example/{k}", f"<html lang='de'><p>{t}</p></html>") for k, t in enumerate(other)], "page_id long, url string, html string")
+    assert [(r.language, r.accepted) for r in language.identify_pages(pages, model).collect()] == [("und", False)] * len(other)
+
+
 def test_host_prior_decides_short_texts(spark):
     train = [(k, t, c) for k in range(30) for t, c in (("the house and the garden of the man", "en"), ("das haus und der garten ist nicht", "de"))]
     model = language.fit_text_model(spark.createDataFrame(train, "id long, text string, lang string"))
