@@ -24,10 +24,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document of smallest id (operator 2); rows without id stay."""
-    found = jaccard.near_duplicates(docs)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    """Of each group of near duplicates (operator 2), one row: that of smallest id, rows without id last.
+
+    Rows are told apart by a written row number, so repeated ids, repeated rows and rows without id are
+    compared like all others.
+    """
+    row = "_row" + "_" * max([0, *(len(c) for c in docs.columns)])
+    numbered = common.saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = jaccard.near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    named = found.join(numbered.select(row, F.col("doc_id").cast("long").alias("_id")), row)
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("nameless"), "_id", row)).alias("first"))
+    return numbered.join(first.select(F.col("first")[row].alias(row)), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,3 +36,15 @@ def test_run_gives_the_same_as_its_stages(spark):
         docs = spark.createDataFrame((d := stage(spark, docs, sf)).collect(), d.schema)
     total = {r.doc_id: r.doc_tokens for r in packing.pack(docs).collect()}
     assert {r.doc_id: r.doc_tokens for r in corpus_pipeline.run(spark, sf).collect()} == total
+
+
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    """One row of each group stays, and no row goes because another one has its id."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(1, a), (1, a), (2, a), (None, a), (None, b), (None, b), (3, c), (3, a), (4, d), (None, d), (5, b + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.ngram_jaccard(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, a), (3, c), (4, d), (5, b + " more")]
+    alone = corpus_pipeline.ngram_jaccard(spark, docs.where("doc_id is null"), "")
+    assert sorted(r.text for r in alone.collect()) == [a, b, d]
