@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,11 +17,14 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = saved(edges.select("a", "b").unionAll(edges.selectExpr("b as a", "a as b")).where("a != b").distinct(), "edges")
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")), "labels")
+    before = labels
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         moved = labels.join(near, "node", "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("component").alias("jump"))
         nearer = saved(moved.join(jump, "to", "left").select("node", F.least("to", F.coalesce("jump", "to")).alias("component"), F.col("component").alias("was")), "labels")
-        labels = nearer.select("node", "component")
+        discard(before)
+        before, labels = nearer, nearer.select("node", "component")
         if nearer.where("component != was").isEmpty():
+            discard(both)
             return labels

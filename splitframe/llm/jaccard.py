@@ -1,46 +1,50 @@
 """Operator 2, n-gram Jaccard join by vertical partitioning.
 
-The global order of n-grams is by rising document count, then by hash. It is cut into fragments;
-for a candidate pair the overlap is counted in each fragment separately and summed per pair.
+The global order of n-grams is by rising document count (in quarter octaves), then by hash. It is cut into
+fragments; for a candidate pair the overlap is counted in each fragment separately and summed per pair.
 
-1. Each document becomes the set of its word n-grams (48-bit hashes). Documents of equal sets are one
-   class, whose representative alone goes on.
+1. Each document becomes the set of its word n-grams (64-bit hashes). Documents of equal sets are one
+   class, found by grouping on a 128-bit digest and the size; one representative goes on.
 2. Groups by hash range count in how many sets each n-gram occurs. What occurs once can't overlap; a
    set of n with fewer than t*n n-grams left can't have a link and rests.
 3. Prefix filter: two linked sets share one of their first ``left - ceil(t*n) + 1`` n-grams, and of the
    first one that they share enough n-grams stand from it on in both (position filter).
-   * In turns, each set meets HUBS sets at most of each prefix n-gram, so a group of near
-     copies gives as many pairs as prefix n-grams, not their square. Verified pairs join components.
-   * When a turn brings few new links, the sets of different components that share an n-gram all meet.
-     A pair within a component can't change it, so no component loses a link.
+   * In turns, all sets of a prefix n-gram meet its hubs: those with the least n-grams of their own,
+     the middle of a group of near copies. Verified pairs join components; pairs within one need no
+     test. A hub that all have met leaves the n-gram. Each turn has four times the hubs of the last.
+   * As soon as the pairs that are left are no more than MEET times the prefix n-grams, they all meet.
+     No component loses a link, and no step makes more rows than a fixed multiple of its input.
 4. A bound from the prefixes rules out most other pairs. Overlaps are counted per fragment, summed per pair, and the exact test is on integers.
 
-Hashes may only coincide for different n-grams within one pair of sets with a chance below n * n /
-2**48; step 2 may see more n-grams shared than are, which costs work only.
+Set sizes are counted by 64-bit hashes. Overlaps compare 55 bits of the hash and the n-gram's document
+count: of two sets of n and m n-grams, different ones coincide with a chance below n * m / 2**55.
+The work grows beyond the input only for sets which share rare n-grams and miss the similarity narrowly
+in great number; then turns go on, four times as many hubs in each.
 
 Edge cases: null, empty and wordless texts have the empty set, no links, and are their own component.
 Fewer words than n are one n-gram. Equal texts and repeated rows are in one component. A row with null
-doc_id links nothing and has a null component. Extra columns are ignored.
+doc_id links nothing and has a null component. A very long text is one block of its own (about 100 bytes
+of memory for each of its words). An empty table gives an empty table. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import joined, mix64, saved, text_chunks, word_hashes
+from .common import discard, joined, mix64, saved, text_chunks, word_hashes
 from .components import components
 from .slices import bits_for, edges, pack, pack_sorted, unpack, unpack_sorted
 
 WORDS = 5
 PERCENT = 75
-FRAGMENTS = 4
-#: Sets of one n-gram that the others meet in a turn.
-HUBS = 4
+#: Cuts of the global order; a row of step 4 holds one part in so many of a set.
+FRAGMENTS = 8
+#: Pairs for each prefix n-gram that may meet at once.
+MEET = 16
 BLOCK_GRAMS = 1_000_000
-_KEEP = np.uint64(0xFFFFFFFFFFFF0000)
 _STEPS = np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -70,7 +74,6 @@ def shingles(texts: list, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
                 sums[has] += hashes[first[short[has]] + k] * _STEPS[k]
             grams = np.concatenate([grams, mix64(sums + counts[short].astype(np.uint64) * _STEPS[n])])
             of = np.concatenate([of, short])
-    grams &= _KEEP
     order = np.lexsort((of, grams))
     grams, of = grams[order], of[order]
     new = np.append(True, (grams[1:] != grams[:-1]) | (of[1:] != of[:-1]))
@@ -88,18 +91,18 @@ def set_digests(grams: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray,
 
 _SETS = "array<struct<doc:int,doc_id:long,n:int,a:long,b:long>>"
 _DEALT = f"range long, block long, keys binary, docs binary, sets {_SETS}"
-_BACK = "block long, keys binary, docs binary, seen binary, sets array<struct<doc:int,doc_id:long,n:int,class_id:long,chief:boolean>>"
-_READY = "doc_id long, n int, class_id long, grams array<long>"
+_BACK = f"block long, keys binary, docs binary, level binary, sets {_SETS}"
+_READY = "row long, doc_id long, n int, a long, b long, grams array<long>"
 
 
 def _dealt(docs: DataFrame, bits: int, n: int, block_grams: int) -> DataFrame:
-    """By range of hashes: each block's n-grams with their documents, and its sets by their digests."""
+    """By range of hashes: each block's n-grams with their documents. Its sets' sizes and digests are dealt out over the ranges at random."""
     import pyarrow as pa
 
     def made(batches):
         from pyspark import TaskContext
 
-        block = TaskContext.get().partitionId() << 32
+        block = TaskContext.get().partitionId() << 40  # a block is named by the number of its first row
         for batch in batches:
             for chunk in text_chunks(batch, "text", block_grams * 6):
                 ids = np.array(chunk.column(0).to_pylist(), np.int64)
@@ -112,36 +115,33 @@ def _dealt(docs: DataFrame, bits: int, n: int, block_grams: int) -> DataFrame:
                 speaks = np.ones(len(ids), bool)
                 speaks[order[same + 1]] = False
                 grams, of = grams[speaks[of]], of[speaks[of]]
-                by_set = np.argsort(a, kind="stable")
-                x, y = edges(grams, bits), edges(a[by_set], bits)
-                ranges, keys, owners, sets = [], [], [], []
-                for k in np.flatnonzero(np.diff(x) + np.diff(y)):
-                    ranges.append(int(k))
-                    keys.append(pack_sorted(grams[x[k] : x[k + 1]]))
-                    owners.append(pack(of[x[k] : x[k + 1]]))
-                    sets.append([
-                        {"doc": int(d), "doc_id": int(ids[d]), "n": int(sizes[d]), "a": int(a[d].view(np.int64)), "b": int(b[d].view(np.int64))}
-                        for d in by_set[y[k] : y[k + 1]]
-                    ])
-                kinds = pa.list_(pa.struct([("doc", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("a", pa.int64()), ("b", pa.int64())]))
+                dealt = mix64(np.arange(block, block + len(ids), dtype=np.uint64))
+                by_set = np.argsort(dealt)
+                x, y = edges(grams, bits), edges(dealt[by_set], bits)
+                ranges = np.flatnonzero(np.diff(x) + np.diff(y))
+                at = np.append(y[ranges], len(ids)).astype(np.int32)
+                sets = pa.StructArray.from_arrays(
+                    [pa.array(by_set.astype(np.int32)), pa.array(ids[by_set]), pa.array(sizes[by_set].astype(np.int32)), pa.array(a[by_set].view(np.int64)), pa.array(b[by_set].view(np.int64))],
+                    ["doc", "doc_id", "n", "a", "b"],
+                )
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ranges, pa.int64()), pa.array([block] * len(ranges), pa.int64()), pa.array(keys, pa.binary()), pa.array(owners, pa.binary()), pa.array(sets, kinds)],
+                    [
+                        pa.array(ranges), pa.array(np.full(len(ranges), block)), pa.array([pack_sorted(grams[x[k] : x[k + 1]]) for k in ranges], pa.binary()),
+                        pa.array([pack(of[x[k] : x[k + 1]]) for k in ranges], pa.binary()), pa.ListArray.from_arrays(pa.array(at), sets),
+                    ],
                     ["range", "block", "keys", "docs", "sets"],
-                )
-                block += 1
+                )
+                block += len(ids)
 
     return docs.select("doc_id", "text").mapInArrow(made, _DEALT)
 
 
 def _shared(dealt: DataFrame) -> DataFrame:
-    """To each block the n-grams that lie in two sets or more, with that number, and its sets with their class."""
+    """To each block the n-grams that lie in two sets or more, with the level of that number, and its sets."""
     import pyarrow as pa
 
     def summed(table):
-        table = table.sort_by("block")
-        blocks = table.column("block").to_pylist()
         each = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
-        docs = np.concatenate([unpack(x) for x in table.column("docs").to_pylist()])
         keys = np.concatenate(each)
         at = np.cumsum([0, *map(len, each)])
         order = np.argsort(keys, kind="stable")
@@ -150,49 +150,36 @@ def _shared(dealt: DataFrame) -> DataFrame:
         lengths = np.diff(np.append(starts, len(keys)))
         seen = np.empty(len(keys), np.int64)
         seen[order] = np.repeat(lengths, lengths)
-        sets = table.column("sets").to_pylist()
-        chiefs: dict[tuple, tuple] = {}
-        for k, members in enumerate(sets):
-            for s in members:
-                key, me = (s["a"], s["b"], s["n"]), (s["doc_id"], k, s["doc"])
-                if key not in chiefs or me < chiefs[key]:
-                    chiefs[key] = me
-        out = {"block": blocks, "keys": [], "docs": [], "seen": [], "sets": []}
-        for k, members in enumerate(sets):
-            own = np.arange(at[k], at[k + 1])
-            own = own[seen[own] > 1]
-            out["keys"].append(pack_sorted(keys[own]))
-            out["docs"].append(pack(docs[own]))
-            out["seen"].append(pack(np.minimum(seen[own], 32767)))
-            out["sets"].append([
-                {"doc": s["doc"], "doc_id": s["doc_id"], "n": s["n"], "class_id": s["a"], "chief": chiefs[s["a"], s["b"], s["n"]] == (s["doc_id"], k, s["doc"])}
-                for s in members
-            ])
-        kinds = pa.list_(pa.struct([("doc", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("class_id", pa.int64()), ("chief", pa.bool_())]))
-        return pa.table({n: pa.array(v, t) for (n, v), t in zip(out.items(), (pa.int64(), pa.binary(), pa.binary(), pa.binary(), kinds))})
+        level = np.floor(4 * np.log2(np.maximum(seen, 1))).astype(np.int64)
+        out = {"keys": [], "docs": [], "level": []}
+        for k, of in enumerate(table.column("docs").to_pylist()):
+            own = seen[at[k] : at[k + 1]] > 1
+            out["keys"].append(pack_sorted(each[k][own]))
+            out["docs"].append(pack(unpack(of)[own]))
+            out["level"].append(pack(level[at[k] : at[k + 1]][own]))
+        return pa.table({"block": table.column("block"), **{n: pa.array(v, pa.binary()) for n, v in out.items()}, "sets": table.column("sets")})
 
     return dealt.groupBy("range").applyInArrow(summed, _BACK)
 
 
 def _ready(shared: DataFrame, percent: int) -> DataFrame:
-    """All documents with class; of representatives that can have links also the n-grams in global order."""
+    """All documents with size and digest; of those that speak for a block and can have links also the n-grams in global order."""
     import pyarrow as pa
 
     def put(table):
         keys = np.concatenate([unpack_sorted(x) for x in table.column("keys").to_pylist()])
         docs = np.concatenate([unpack(x) for x in table.column("docs").to_pylist()])
-        seen = np.concatenate([unpack(x) for x in table.column("seen").to_pylist()])
-        grams = (seen << 48) | (keys >> np.uint64(16)).astype(np.int64)
+        level = np.concatenate([unpack(x) for x in table.column("level").to_pylist()])
+        grams = (level << 55) | (keys >> np.uint64(9)).astype(np.int64)
         order = np.lexsort((grams, docs))
         grams, docs = grams[order], docs[order]
-        sets = [s for members in table.column("sets").to_pylist() for s in members]
-        low = np.searchsorted(docs, [s["doc"] for s in sets])
-        high = np.searchsorted(docs, [s["doc"] for s in sets], side="right")
-        kept = [grams[a:b] if s["chief"] and b > a and 100 * (b - a) >= percent * s["n"] else None for s, a, b in zip(sets, low, high)]
-        return pa.table({
-            "doc_id": pa.array([s["doc_id"] for s in sets], pa.int64()), "n": pa.array([s["n"] for s in sets], pa.int32()),
-            "class_id": pa.array([s["class_id"] for s in sets], pa.int64()), "grams": pa.array(kept, pa.list_(pa.int64())),
-        })
+        sets = table.column("sets").combine_chunks().flatten()
+        doc, n = (sets.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 2))
+        low, high = np.searchsorted(docs, doc), np.searchsorted(docs, doc, side="right")
+        able = (high > low) & (100 * (high - low) >= percent * n)
+        kept = [grams[a:b] if k else None for k, a, b in zip(able, low, high)]
+        row = doc + table.column("block")[0].as_py()
+        return pa.table({"row": pa.array(row), "doc_id": sets.field(1), "n": sets.field(2), "a": sets.field(3), "b": sets.field(4), "grams": pa.array(kept, pa.list_(pa.int64()))})
 
     return shared.groupBy("block").applyInArrow(put, _READY)
 
@@ -215,72 +202,83 @@ def linked(pairs: DataFrame, segments: DataFrame, heads: DataFrame, percent: int
     return total.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b", "overlap")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, fragments: int = FRAGMENTS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    named = docs.where("doc_id is not null")
-    chars = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    ready = saved(_ready(_shared(_dealt(named, bits_for(chars / 6), words, block_grams)), percent), "jaccard-sets")
-    sets = ready.where("grams is not null").select(F.col("class_id").alias("id"), "n", "grams")
-    # The prefix of the global order: what stands in one set only comes first, and is left out.
-    need = F.ceil(F.col("n") * percent / 100)
-    heads = sets.select("id", "n", F.slice("grams", F.lit(1), (F.size("grams") - need + 1).cast("int")).alias("head"), (need - 1).alias("beyond"))
-    heads = saved(heads, "jaccard-heads")
-    prefix = heads.select("id", "n", (F.size("head") + F.col("beyond")).alias("left"), F.posexplode("head").alias("at", "gram")).select("id", "n", "gram", (F.col("left") - F.col("at")).alias("rest"))
+def _segments(sets: DataFrame, fragments: int) -> DataFrame:
+    """Each set's n-grams by fragment of the global order."""
     bounds = sets.select(F.explode("grams").alias("g")).select(F.percentile_approx("g", [k / fragments for k in range(1, fragments)], 1000)).first()[0] or []
     cut = sorted(set(bounds))
-    lows, highs = [None, *cut], [*cut, None]
 
     def piece(low, high):
         def inside(g):
-            test = F.lit(True)
-            if low is not None:
-                test = test & (g >= low)
-            return test & (g < high) if high is not None else test
+            test = F.lit(True) if low is None else g >= low
+            return test if high is None else test & (g < high)
 
         return F.filter("grams", inside)
 
-    segments = sets.select("id", F.posexplode(F.array(*[piece(a, b) for a, b in zip(lows, highs)])).alias("fragment", "grams")).where(F.size("grams") > 0)
-    segments = saved(segments, "jaccard-segments")
+    pieces = F.array(*[piece(a, b) for a, b in zip([None, *cut], [*cut, None])])
+    return saved(sets.select("id", F.posexplode(pieces).alias("fragment", "grams")).where(F.size("grams") > 0), "jaccard-segments")
+
+
+def _links(sets: DataFrame, percent: int, fragments: int, meet: int = MEET) -> DataFrame:
+    """Links (a, b) among ``sets`` (id, n, grams in global order) that join all that is linked; links within a component may be left out."""
+    # The prefix of the global order: what stands in one set only comes first, and is left out.
+    need = F.ceil(F.col("n") * percent / 100)
+    heads = sets.select("id", "n", F.size("grams").alias("left"), F.slice("grams", F.lit(1), (F.size("grams") - need + 1).cast("int")).alias("head"), (need - 1).alias("beyond"))
+    heads = saved(heads, "jaccard-heads")
+    segments = _segments(sets, fragments)
+    entries = heads.select("id", "n", "left", F.posexplode("head").alias("at", "gram")).select("gram", "id", "n", (F.col("left") - F.col("at")).alias("rest"), (1 - F.col("left") / F.col("n")).alias("own"))
 
     def may_link(a, b, rest_a, rest_b):
         """Whether sets of a and b n-grams can link when the first n-gram in both has so many from it on."""
         return (100 + percent) * F.least(rest_a, rest_b) >= percent * (a + b)
 
-    links, labels, found, turn = None, None, 0, 0
+    links = sets.sparkSession.createDataFrame([], "a long, b long")
+    labels, hubs, before = None, 1, []
     while True:
-        tagged = prefix.withColumn("label", F.col("id"))
+        tagged = entries.withColumn("label", F.col("id"))
         if labels is not None:
-            tagged = prefix.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "gram", "rest", F.coalesce("component", "id").alias("label"))
-        mixed = tagged.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("gram")
-        between = saved(tagged.join(mixed, "gram", "left_semi"), "jaccard-prefix")
-        # Each set meets a few sets of each of its prefix n-grams; which ones changes with the turn.
-        early = (100 + percent) * F.col("rest") < 2 * percent * F.col("n")  # false first: these can meet sets of like size
-        hubs = between.groupBy("gram").agg(F.array(*[F.min(F.struct(early.alias("e"), F.xxhash64("label", F.lit(turn * HUBS + k)).alias("h"), "label", "id", "n", "rest")) for k in range(HUBS)]).alias("hubs"))
-        hubs = hubs.select("gram", F.explode(F.array_distinct(F.transform("hubs", lambda h: F.struct(h["label"].alias("label"), h["id"].alias("id"), h["n"].alias("n"), h["rest"].alias("rest"))))).alias("hub"))
-        met = between.join(hubs, "gram").where((F.col("label") != F.col("hub.label")) & may_link(F.col("n"), F.col("hub.n"), F.col("rest"), F.col("hub.rest")))
-        pairs = met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+            tagged = entries.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+        # Of an n-gram, what can't link any set of another component there goes.
+        about = tagged.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"), F.max("rest").alias("most")).where("low < high")
+        open_ = saved(tagged.join(about, "gram").where(may_link(F.col("n"), F.col("least"), F.col("rest"), F.col("most"))).select("gram", "id", "n", "rest", "own", "label"), "jaccard-open")
+        shares = open_.groupBy("gram", "label").agg(F.count("*").cast("double").alias("k")).groupBy("gram").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("within"))
+        size, pairs_left = shares.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum(F.col("k") * F.col("k") - F.col("within")) / 2, F.lit(0))).first()
+        last = pairs_left <= meet * size
+        meeting = open_
+        if not last:
+            rank = F.row_number().over(Window.partitionBy("gram").orderBy("own", F.xxhash64("id"), "id"))
+            meeting = saved(open_.withColumn("rank", rank).where(F.col("rank") <= hubs).drop("rank"), "jaccard-hubs")
+        other = meeting.select("gram", F.col("id").alias("b"), F.col("n").alias("m"), F.col("rest").alias("rest_b"), F.col("label").alias("to"))
+        apart = F.col("label") < F.col("to") if last else F.col("label") != F.col("to")
+        pairs = open_.join(other, "gram").where(apart & may_link(F.col("n"), F.col("m"), F.col("rest"), F.col("rest_b"))).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
         new = saved(linked(pairs, segments, heads, percent).select("a", "b"), "jaccard-links")
-        links = new if links is None else links.unionAll(new)
-        more = new.count()
-        found, turn = found + more, turn + 1
+        links = links.unionAll(new)
+        discard(*before)
+        if last:
+            discard(open_, heads, segments)
+            return links
         labels = components(links)
-        if more * 20 < found or not more:
-            break
-    # What is left: sets of different components meet.
-    tagged = prefix.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "gram", "rest", F.coalesce("component", "id").alias("label"))
-    mixed = tagged.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("gram")
-    between = saved(tagged.join(mixed, "gram", "left_semi"), "jaccard-prefix")
-    other = between.select("gram", F.col("id").alias("b"), F.col("n").alias("m"), F.col("rest").alias("rest_b"), F.col("label").alias("to"))
-    pairs = between.join(other, "gram").where((F.col("label") < F.col("to")) & may_link(F.col("n"), F.col("m"), F.col("rest"), F.col("rest_b"))).select(F.col("id").alias("a"), "b").distinct()
-    second = linked(pairs, segments, heads, percent)
-    final = components(links.unionAll(second.select("a", "b")))
-    classed = ready.select("doc_id", "n", "class_id").join(final.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
+        entries = open_.drop("label").join(meeting.select("gram", "id"), ["gram", "id"], "left_anti")
+        before, hubs = [open_, meeting], hubs * 4
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, fragments: int = FRAGMENTS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    named = docs.where("doc_id is not null")
+    chars = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    ready = saved(_ready(_shared(_dealt(named, bits_for(chars / 6), words, block_grams)), percent), "jaccard-documents")
+    speaker = F.when(F.col("grams").isNotNull(), F.struct("doc_id", "row"))
+    classes = ready.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("first"), F.min(speaker).alias("speaker"))
+    classes = saved(classes.select("a", "b", "n", "first", F.col("speaker.row").alias("id")), "jaccard-classes")
+    sets = saved(ready.where("grams is not null").withColumnRenamed("row", "id").join(classes.select("id"), "id", "left_semi").select("id", "n", "grams"), "jaccard-sets")
+    links = _links(sets, percent, fragments)
+    member = classes.where("id is not null").join(components(links).withColumnRenamed("node", "id"), "id").select("a", "b", "n", "first", "component")
+    smallest = member.groupBy("component").agg(F.min("first").alias("smallest"))
+    named_class = saved(member.join(smallest, "component").select("a", "b", "n", "smallest"), "jaccard-members")
+    classed = classes.select("a", "b", "n", "first").join(named_class, ["a", "b", "n"], "left").select("a", "b", "n", F.coalesce("smallest", "first").alias("class"))
     # Sets without n-grams are equal but link nothing.
-    group = F.when(F.col("n") == 0, F.struct(F.lit(0).alias("k"), F.col("doc_id").alias("v"))).otherwise(F.struct(F.lit(1).alias("k"), F.coalesce("component", "class_id").alias("v")))
-    classed = saved(classed.select("doc_id", F.col("n").cast("long").alias("n_shingles"), group.alias("g")), "jaccard-classes")
-    smallest = classed.groupBy("g").agg(F.min("doc_id").alias("component_id"))
-    out = classed.join(smallest, "g").select("doc_id", "n_shingles", "component_id")
+    full = ready.where("n > 0").select("doc_id", "a", "b", "n").join(classed, ["a", "b", "n"]).select("doc_id", "n", F.col("class").alias("component_id"))
+    out = full.unionAll(ready.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     nameless = docs.where("doc_id is null")
 
     @F.pandas_udf("long")

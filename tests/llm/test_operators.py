@@ -346,3 +346,35 @@ def test_null_ids_and_repeated_rows_stay(spark, operator):
     rows = [(None, "a b c " * 20), (1, None), (1, None), (2, "a b c " * 20), (2, "a b c " * 20), (2, "other text")]
     found = operator(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()
     assert sorted(str(r.doc_id) for r in found) == ["1", "1", "2", "2", "2", "None"]
+
+
+def _chains(n: int, size: int, step: int) -> list[tuple[int, str]]:
+    """Texts that share most words with the next ones only, around one passage that all share."""
+    import random
+
+    r = random.Random(9)
+    words = [f"w{r.randrange(10**9)}" for _ in range(size + n * step)]
+    passage = " ".join(f"p{k}" for k in range(size // 2))
+    return [(k, passage + " " + " ".join(words[k * step : k * step + size])) for k in range(n)]
+
+
+@pytest.mark.parametrize("meet", [0.01, jaccard.MEET])
+def test_near_duplicates_in_many_turns(spark, monkeypatch, meet):
+    """Chains, narrow misses and groups without a middle; small bounds force turns, and both ways agree with brute force."""
+    import random
+
+    r = random.Random(3)
+    base = [f"b{k}" for k in range(120)]
+    rows = _chains(40, 60, 3)
+    for k in range(100, 160):  # near copies of one text that is not there itself
+        rows.append((k, " ".join(f"x{r.randrange(10**6)}" if r.random() < 0.025 else w for w in base)))
+    real = jaccard._links
+    monkeypatch.setattr(jaccard, "_links", lambda sets, percent, fragments: real(sets, percent, fragments, meet))
+    found = {tuple(x) for x in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert found == brute.near_duplicates(rows)
+
+
+def test_near_duplicates_of_thousands_of_equal_and_empty_texts(spark):
+    rows = [(k, "") for k in range(10_000)] + [(k, "one text that ten thousand documents hold word for word") for k in range(10_000, 20_000)]
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block_grams=200).collect()
+    assert {(x.n_shingles, x.component_id if x.doc_id >= 10_000 else x.doc_id - x.component_id) for x in found} == {(0, 0), (6, 10_000)} and len(found) == 20_000
