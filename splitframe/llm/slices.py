@@ -13,9 +13,9 @@ import numpy as np
 KEYS_IN_GROUP = 1_500_000
 
 
-def bits_for(keys: float) -> int:
-    """Number of highest key bits that deal ``keys`` keys into groups of about KEYS_IN_GROUP, 64 groups at least."""
-    return max(6, int(np.ceil(np.log2(max(1.0, keys / KEYS_IN_GROUP)))))
+def bits_for(keys: float, in_group: int = KEYS_IN_GROUP) -> int:
+    """Number of highest key bits that deal ``keys`` keys into groups of about ``in_group``, 64 groups at least."""
+    return max(6, int(np.ceil(np.log2(max(1.0, keys / in_group)))))
 
 
 def edges(keys: np.ndarray, bits: int) -> np.ndarray:

@@ -170,30 +170,66 @@ def test_top_k_of_few_and_none(spark):
 
 
 # 5
-@pytest.mark.parametrize("block", [3000, suffixes.BLOCK_BYTES])
-def test_repeats(docs, rows, monkeypatch, block):
+@pytest.mark.parametrize(("block", "options"), [(3000, {"batch_starts": 50, "hot_runs": 3}), (suffixes.BLOCK_BYTES, {}), (400, {"batch_starts": 7, "hot_runs": 0})])
+def test_repeats(docs, rows, monkeypatch, block, options):
+    """Small blocks cut long texts, small batches make many levels, few runs already count as hot."""
     monkeypatch.setattr(suffixes, "BLOCK_BYTES", block)
     want = brute.repeats([r[:2] for r in rows])
-    assert {tuple(r) for r in suffixes.repeat_report(docs).collect()} == {w[:5] for w in want.values()}
-    got = {r.doc_id: r for r in suffixes.without_repeats(docs).collect()}
+    assert {tuple(r) for r in suffixes.repeat_report(docs, **options).collect()} == {w[:5] for w in want.values()}
+    got = {r.doc_id: r for r in suffixes.without_repeats(docs, **options).collect()}
     assert {i: r.text for i, r in got.items()} == {r[0]: None if r[1] is None else want[r[0]][5] for r in rows}
     assert all(r.block == "b" and r._score == 1 for r in got.values())
 
 
-def test_repeats_inside_one_text_and_over_levels(spark):
-    rows = [(1, "ab" * 400), (2, "x" * 99), (3, "x" * 99), (4, "x" * 100), (5, "x" * 101), (6, None), (7, "ab" * 60 + "tail"), (8, "é" * 300)]
+@pytest.mark.parametrize("options", [{}, {"batch_starts": 100, "hot_runs": 5}])
+def test_repeats_inside_one_text_and_over_levels(spark, options):
+    rows = [(1, "ab" * 400), (2, "x" * 99), (3, "x" * 99), (4, "x" * 100), (5, "x" * 101), (6, None), (7, "ab" * 60 + "tail"), (8, "é" * 300), (9, "z" * 50 + "\0" * 60), (10, "z" * 50 + "\0" * 61)]
     rows += [(k, f"{k} " * 30 + "shared passage of many bytes, " * 5 + f" {k}") for k in range(20, 60)]
     want = brute.repeats(rows)
-    assert {tuple(r) for r in suffixes.repeat_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()} == {w[:5] for w in want.values()}
+    assert {tuple(r) for r in suffixes.repeat_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), **options).collect()} == {w[:5] for w in want.values()}
 
 
-def test_family_merges_geometrically():
+def test_repeats_of_repeated_rows_and_null_ids(spark):
+    t = "words that stand in more than one row " * 4
+    rows = [(7, t), (7, t), (None, "head " + t), (7, "other " + t), (9, t + "tail")]
+    got = {(r.doc_id, r.n_bytes): (r.n_removed, r.n_spans) for r in suffixes.repeat_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first = suffixes.repeat_report(spark.createDataFrame([rows[2]], "doc_id long, text string")).first()
+    assert got[None, len(rows[2][1])] == (first.n_removed, first.n_spans)
+    assert got[7, len(t)] == (len(t), 1) and got[9, len(t) + 4] == (len(t), 1)
+
+
+def test_long_text_in_bounded_pieces(spark):
+    """A text of 20 MB is indexed in blocks; its end repeats its start."""
+    text = "".join(f"{k * 2654435761 % 2**32:08x}" for k in range(2_500_000))
+    found = suffixes.repeat_report(spark.createDataFrame([(1, text + text[:500]), (2, text[-300:])], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.n_removed, r.n_spans) for r in found] == [(500, 1), (300, 1)]
+
+
+def test_suffix_arrays_merge_geometrically():
+    text = np.frombuffer(b"".join(f"{k:05d}".encode() for k in range(5000)), np.uint8)
     family = suffixes.Family()
     for k in range(100):
-        family.add(np.arange(k * 50, k * 50 + 50, dtype=np.uint64))
+        array, first = suffixes.SuffixArray.of(text[k * 250 : k * 250 + 250], np.arange(0, 250, 5), 5)
+        assert first.all() and not family.known(array).any()
+        family.add(array)
     assert len(family.levels) <= 8 and sum(map(len, family.levels)) == 5000
     assert all(len(a) >= 2 * len(b) for a, b in zip(family.levels, family.levels[1:]))
-    assert family.known(np.array([0, 4999, 5000], np.uint64)).tolist() == [True, True, False]
+    for level in family.levels:
+        suffixes_in_order = [level.text[p : p + 5].tobytes() for p in level.order]
+        assert suffixes_in_order == sorted(suffixes_in_order)
+    held = {text[k : k + 5].tobytes() for k in range(0, 25_000, 5)}
+    asked, _ = suffixes.SuffixArray.of(text[:300], np.arange(0, 296), 5)
+    assert family.known(asked).tolist() == [text[p : p + 5].tobytes() in held for p in asked.order]
+
+
+def test_index_family_adds_batches(docs, rows):
+    """Batch after batch gives what all at once does, as ids rise from batch to batch."""
+    want = brute.repeats([r[:2] for r in rows])
+    family, got = suffixes.IndexFamily(docs.sparkSession, bits=6), {}
+    for low, high in ((0, 200), (200, 400), (400, 10**6)):
+        got |= {r.doc_id: r.text for r in family.add(docs.where(f"doc_id >= {low} and doc_id < {high}")).collect()}
+    assert got == {r[0]: None if r[1] is None else want[r[0]][5] for r in rows}
+    assert len(family.levels) <= 2
 
 
 # 6
