@@ -33,7 +33,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return the written table, which has no lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, None)
+    spark.conf.set(cleanup, True)  # what is written needs its shuffles no more
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(cleanup) if before is None else spark.conf.set(cleanup, before)
     table = spark.read.schema(df.schema).parquet(path)
     table._saved_path = path
     return table

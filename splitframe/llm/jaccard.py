@@ -14,7 +14,7 @@ fragments; for a candidate pair the overlap is counted in each fragment separate
      test. A hub that all have met leaves the n-gram. Each turn has four times the hubs of the last.
    * As soon as the pairs that are left are no more than MEET times the prefix n-grams, they all meet.
      No component loses a link, and no step makes more rows than a fixed multiple of its input.
-4. A bound from the prefixes rules out most other pairs. Overlaps are counted per fragment, summed per pair, and the exact test is on integers.
+4. Overlaps of pairs are counted per fragment, summed per pair, and the exact test is on integers.
 
 Set sizes are counted by 64-bit hashes. Overlaps compare 55 bits of the hash and the n-gram's document
 count: of two sets of n and m n-grams, different ones coincide with a chance below n * m / 2**55.
@@ -184,20 +184,11 @@ def _ready(shared: DataFrame, percent: int) -> DataFrame:
     return shared.groupBy("block").applyInArrow(put, _READY)
 
 
-def linked(pairs: DataFrame, segments: DataFrame, heads: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of ``pairs`` (a, b) that link, with their overlap: counted per fragment, then summed.
-
-    heads: id, n, head (the prefix), beyond (n-grams after it). Of two sets, what the one whose prefix
-    ends first shares with the other lies in both prefixes or beyond its own; pairs for which that
-    can't be enough go first.
-    """
-    one = heads.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("head").alias("x"), F.col("beyond").alias("ra"))
-    two = heads.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("head").alias("y"), F.col("beyond").alias("rb"))
-    most = F.size(F.array_intersect("x", "y")) + F.when(F.array_max("x") <= F.array_max("y"), F.col("ra")).otherwise(F.col("rb"))
-    able = pairs.join(one, "a").join(two, "b").where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
-    left = segments.select(F.col("id").alias("a"), "fragment", F.col("grams").alias("x"))
-    right = segments.select(F.col("id").alias("b"), "fragment", F.col("grams").alias("y"))
-    partial = able.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("o"))
+def linked(pairs: DataFrame, segments: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those of ``pairs`` (a, b) that link, with their overlap: counted per fragment, then summed."""
+    left = segments.select(F.col("id").alias("a"), F.col("n").alias("na"), "fragment", F.col("grams").alias("x"))
+    right = segments.select(F.col("id").alias("b"), F.col("n").alias("nb"), "fragment", F.col("grams").alias("y"))
+    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("o"))
     total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("overlap"))
     return total.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b", "overlap")
 
@@ -215,15 +206,14 @@ def _segments(sets: DataFrame, fragments: int) -> DataFrame:
         return F.filter("grams", inside)
 
     pieces = F.array(*[piece(a, b) for a, b in zip([None, *cut], [*cut, None])])
-    return saved(sets.select("id", F.posexplode(pieces).alias("fragment", "grams")).where(F.size("grams") > 0), "jaccard-segments")
+    return saved(sets.select("id", "n", F.posexplode(pieces).alias("fragment", "grams")).where(F.size("grams") > 0), "jaccard-segments")
 
 
 def _links(sets: DataFrame, percent: int, fragments: int, meet: int = MEET) -> DataFrame:
     """Links (a, b) among ``sets`` (id, n, grams in global order) that join all that is linked; links within a component may be left out."""
     # The prefix of the global order: what stands in one set only comes first, and is left out.
     need = F.ceil(F.col("n") * percent / 100)
-    heads = sets.select("id", "n", F.size("grams").alias("left"), F.slice("grams", F.lit(1), (F.size("grams") - need + 1).cast("int")).alias("head"), (need - 1).alias("beyond"))
-    heads = saved(heads, "jaccard-heads")
+    heads = sets.select("id", "n", F.size("grams").alias("left"), F.slice("grams", F.lit(1), (F.size("grams") - need + 1).cast("int")).alias("head"))
     segments = _segments(sets, fragments)
     entries = heads.select("id", "n", "left", F.posexplode("head").alias("at", "gram")).select("gram", "id", "n", (F.col("left") - F.col("at")).alias("rest"), (1 - F.col("left") / F.col("n")).alias("own"))
 
@@ -250,11 +240,11 @@ def _links(sets: DataFrame, percent: int, fragments: int, meet: int = MEET) -> D
         other = meeting.select("gram", F.col("id").alias("b"), F.col("n").alias("m"), F.col("rest").alias("rest_b"), F.col("label").alias("to"))
         apart = F.col("label") < F.col("to") if last else F.col("label") != F.col("to")
         pairs = open_.join(other, "gram").where(apart & may_link(F.col("n"), F.col("m"), F.col("rest"), F.col("rest_b"))).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-        new = saved(linked(pairs, segments, heads, percent).select("a", "b"), "jaccard-links")
+        new = saved(linked(pairs, segments, percent).select("a", "b"), "jaccard-links")
         links = links.unionAll(new)
         discard(*before)
         if last:
-            discard(open_, heads, segments)
+            discard(open_, segments)
             return links
         labels = components(links)
         entries = open_.drop("label").join(meeting.select("gram", "id"), ["gram", "id"], "left_anti")

@@ -37,16 +37,18 @@ def unpack_sorted(data: bytes) -> np.ndarray:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Unsigned integers below 2**32 as byte planes of the fewest bytes that hold them."""
+    """Unsigned integers below 2**63 as byte planes of the fewest bytes that hold them."""
     values = np.asarray(values)
     width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
-    planes = values.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 4 - width :]
+    size = 4 if width <= 4 else 8
+    planes = values.astype(f">u{size}").view(np.uint8).reshape(-1, size)[:, size - width :]
     return bytes([width]) + np.ascontiguousarray(planes.T).tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
     width = data[0]
+    size = 4 if width <= 4 else 8
     planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
-    out = np.zeros((planes.shape[1], 4), np.uint8)
-    out[:, 4 - width :] = planes.T
-    return out.view(">u4").ravel().astype(np.int64)
+    out = np.zeros((planes.shape[1], size), np.uint8)
+    out[:, size - width :] = planes.T
+    return out.view(f">u{size}").ravel().astype(np.int64)

@@ -77,37 +77,67 @@ def repeats(rows, length=100):
     return out
 
 
-def katz(rows, held_out, discounts, gt_max):
-    """base and score of each text, with plain dictionaries."""
+def good_turing(counts, most=5):
+    """Ratios by count, from the published formula; where it gives none, that of an absolute discount of one half."""
+    n = Counter(counts.values())
+    out = {}
+    common = (most + 1) * n[most + 1] / n[1] if n[1] else 1.0
+    for r in range(1, most + 1):
+        d = 0.0
+        if n[r] and common < 1:
+            d = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common)
+        out[r] = d if 0 < d < 1 else (r - 0.5) / r
+    return lambda r: out.get(r, 1.0)
+
+
+def katz(rows, order=3):
+    """base and score of each text, with plain dictionaries and plain recursion."""
     import math
+    import zlib
 
+    held = {i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
     docs = {i: [*WORD.findall(lowered(t)), "</s>"] for i, t in rows}
-    uni, bi = Counter(), Counter()
+    counts = {k: Counter() for k in range(1, order + 1)}
+    contexts = {k: Counter() for k in range(2, order + 1)}
+    followers = {k: {} for k in range(2, order + 1)}
     for i, toks in docs.items():
-        if not held_out(i):
-            uni.update(toks)
-            bi.update(zip(["<s>", *toks], toks))
+        if not held[i]:
+            padded = ["<s>"] * (order - 1) + toks
+            for at in range(order - 1, len(padded)):
+                for k in range(1, order + 1):
+                    gram = tuple(padded[at - k + 1 : at + 1])
+                    counts[k][gram] += 1
+                    if k > 1:
+                        contexts[k][gram[:-1]] += 1
+                        followers[k].setdefault(gram[:-1], set()).add(gram[-1])
+    ratio = {k: good_turing(c) for k, c in counts.items()}
+    uni = counts[1]
     n, v = sum(uni.values()), len(uni)
-    d1, d2 = (discounts([sum(c == r for c in x.values()) for r in range(1, gt_max + 2)]) for x in (uni, bi))
-    kept = sum(c * d1[min(c, gt_max + 1)] for c in uni.values())
+    kept = sum(c * ratio[1](c) for c in uni.values())
     whole = n + (0.5 if n and kept >= n - 1e-9 else 0)
     unknown = 1 - kept / whole if n else 1.0
-    p1 = lambda w: uni[w] * d1[min(uni[w], gt_max + 1)] / whole if uni[w] else unknown
-    context = Counter(uni)
-    context["<s>"] = sum(not held_out(i) for i in docs)
-    followers = {}
-    for h, w in bi:
-        followers.setdefault(h, []).append(w)
-    p2 = lambda h, w: bi[h, w] * d2[min(bi[h, w], gt_max + 1)] / (context[h] + 0.5)
+
+    def p(h, w):
+        k = len(h) + 1
+        c = counts[k][(*h, w)]
+        if k == 1:
+            return c * ratio[1](c) / whole if c else unknown
+        return c * ratio[k](c) / (contexts[k][h] + 0.5) if c else alpha(h) * p(h[1:], w)
+
+    known = {}
 
     def alpha(h):
-        f = followers.get(h, [])
-        return (1 - sum(p2(h, w) for w in f)) / (1 - sum(p1(w) for w in f)) if f else 1.0
+        if h not in known:
+            f = followers[len(h) + 1].get(h, ())
+            known[h] = (1 - sum(p(h, w) for w in f)) / (1 - sum(p(h[1:], w) for w in f)) if f else 1.0
+        return known[h]
 
     out = {}
     for i, toks in docs.items():
-        base = sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in toks)
-        score = sum(math.log10(p2(h, w) if bi[h, w] else alpha(h) * p1(w)) for h, w in zip(["<s>", *toks], toks))
-        out[i] = (held_out(i), len(toks), sum(uni[w] > 0 for w in toks), n, base, score)
-    total = {h: sum(p2(h, w) if bi[h, w] else alpha(h) * p1(w) for w in uni) + alpha(h) * unknown for h in [*followers][:20]}
+        padded = ["<s>"] * (order - 1) + toks
+        score = sum(math.log10(p(tuple(padded[at - order + 1 : at]), padded[at])) for at in range(order - 1, len(padded)))
+        base = sum(math.log10((uni[w,] + 1) / (n + v + 1)) for w in toks)
+        out[i] = (held[i], len(toks), sum(uni[w,] > 0 for w in toks), n, base, score)
+    some = [h for k in followers for h in list(followers[k])[:12]]
+    total = {h: sum(p(h, w) for (w,) in uni) + p(h, "no such word") for h in some}
     return out, total

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import public_tokenizers
-from splitframe.llm import components, html_text, jaccard, language, lm, packing, pieces, quality, suffixes, topk, warc
+from splitframe.llm import components, html_text, jaccard, language, lm, packing, pieces, quality, slices, suffixes, topk, warc
 
 from . import brute
 
@@ -353,17 +353,31 @@ def test_host_prior_decides_short_texts(spark):
 
 
 # 10
-@pytest.mark.parametrize("block_tokens", [500, lm.BLOCK_TOKENS])
-def test_katz(docs, rows, block_tokens):
-    want, totals = brute.katz([r[:2] for r in rows], lm.held_out, lm.discounts, lm.GT_MAX)
+@pytest.mark.parametrize(("block_tokens", "order"), [(500, 3), (lm.BLOCK_TOKENS, 3), (700, 2), (500, 4)])
+def test_katz(docs, rows, block_tokens, order):
+    want, totals = brute.katz([r[:2] for r in rows], order)
     assert all(abs(x - 1) < 1e-9 for x in totals.values())
-    got = {r.doc_id: tuple(r)[1:] for r in lm.score(docs, block_tokens=block_tokens).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in lm.score(docs, order=order, block_tokens=block_tokens).collect()}
     assert got.keys() == want.keys()
     for i in want:
         assert got[i][:4] == want[i][:4]
         assert got[i][4:] == pytest.approx(want[i][4:], rel=1e-9)
 
 
+def test_kept_model_scores_like_the_corpus(docs, rows, tmp_path):
+    lm.fit(docs, f"{tmp_path}/model", block_tokens=700)
+    got = {r.doc_id: tuple(r)[1:] for r in lm.evaluate(docs.sparkSession, f"{tmp_path}/model", docs, block_tokens=900).collect()}
+    want, _ = brute.katz([r[:2] for r in rows])
+    for i in want:
+        assert got[i][:4] == want[i][:4] and got[i][4:] == pytest.approx(want[i][4:], rel=1e-9)
+
+
+def test_packed_integers_of_any_size():
+    for most in (0, 1, 255, 256, 2**32 - 1, 2**32, 2**45, 2**62):
+        x = np.array([0, 1, most, most // 3])
+        assert slices.unpack(slices.pack(x)).tolist() == x.tolist()
+
+
 # all
 @pytest.mark.parametrize("operator", [packing.pack, jaccard.near_duplicates, suffixes.repeat_report, suffixes.without_repeats, pieces.encode_documents, quality.quality_report, quality.apply_rules, lm.score])
 def test_empty_tables(nothing, operator):
