@@ -1,17 +1,23 @@
 """Operator 4, exact top-k by inner product over vector-approximation files.
 
 The file of approximations has ``BITS`` bits for each component: the number of the cell that the
-integer component lies in, between bounds common to all vectors. Vectors and queries are dealt out
-in blocks of bounded size; each pair of a query block and a vector block is one unit of work:
+integer component lies in, between bounds common to all vectors of a length. Only this file meets the
+queries, in units of a block of it and a block of queries, both of bounded size:
 
-1. scan the cells of the block for an upper bound of the score of each vector with each query;
-2. read exact vectors in the order of that bound until the next bound is below the kth score so far.
+1. A first scan of the cells gives lower bounds of the scores; the kth largest of a query over all
+   blocks is surely reached.
+2. A second scan gives the vectors whose upper bound reaches that bound.
+3. Exact vectors of these are read by row in the order of the upper bound: first 2 k of each query; then
+   only those whose bound still reaches the kth exact score, after which the result is certain.
 
-A unit keeps at most k rows of each query; a window over a query's rows keeps the k best of all.
+Of vectors that are equal in all components only the k + 1 of smallest id can be in a result; the others leave at
+the start, so a vector that very many rows hold costs no more than k + 1 rows.
 
 Edge cases: vectors that are null or empty, or that hold null or non-finite components, take no part.
-A query meets only the vectors of its own length. Equal scores go to the smaller id; repeated ids
-stand once for each row, and a query meets no row of its own id. Fewer than k candidates give fewer rows.
+A query meets only the vectors of its own length; lengths differ freely. Equal scores go to the smaller id; repeated ids
+stand once for each row, and a query meets no row of its own id. Rows without id take no part. Fewer than k
+candidates give fewer rows, an empty table none. Components so large that a score could pass 64 bits raise a ValueError.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,45 +26,47 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import discard, saved
+
 BITS = 4
-VECTORS_IN_BLOCK = 4096
-QUERIES_IN_BLOCK = 512
+VECTORS_IN_BLOCK = 16_384
+QUERIES_IN_BLOCK = 2_048
+#: Queries of a block that are scanned at once.
+QUERIES_AT_ONCE = 128
 
 
 def cells(values: np.ndarray, low: int, step: int) -> np.ndarray:
-    """Cell numbers of integer components: cell c holds low + c * step up to low + (c + 1) * step - 1."""
-    return np.clip((values - low) // step, 0, (1 << BITS) - 1).astype(np.uint8)
+    """Cell numbers of integer components, two in a byte: cell c holds low + c * step up to low + (c + 1) * step - 1."""
+    c = np.clip((values - low) // step, 0, (1 << BITS) - 1).astype(np.uint8)
+    if c.shape[1] % 2:
+        c = np.pad(c, ((0, 0), (0, 1)))
+    return c[:, 0::2] << BITS | c[:, 1::2]
+
 
+def floors(packed: np.ndarray, n: int, low: int, step: int) -> np.ndarray:
+    """The least component that each cell can hold."""
+    c = np.stack([packed >> BITS, packed & ((1 << BITS) - 1)], 2).reshape(len(packed), -1)[:, :n]
+    return low + c.astype(np.float64) * step
 
-def block_top(ids, vectors, approx, query_ids, queries, k: int, low: int, step: int):
-    """(query, vector id, score) of each query's k best of one block of vectors."""
-    floor = (low + approx.astype(np.float64) * step).T  # a component is from floor to floor + step - 1
-    positive, negative = np.maximum(queries, 0), np.minimum(queries, 0)
+
+def bounds(queries: np.ndarray, floor: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the scores of ``queries`` with the vectors of cells that begin at ``floor``."""
     q = queries.astype(np.float64)
-    upper = q @ floor + (positive.astype(np.float64).sum(1) * (step - 1))[:, None]
-    lower = q @ floor + (negative.astype(np.float64).sum(1) * (step - 1))[:, None]
-    out = []
-    for row, query in enumerate(query_ids):
-        others = ids != query
-        candidates = np.flatnonzero(others)
-        if len(candidates) > k:
-            # The kth best lower bound is surely reached, so what lies below it is never read.
-            sure = np.partition(lower[row][candidates], len(candidates) - k)[len(candidates) - k]
-            candidates = candidates[upper[row][candidates] >= sure]
-        order = candidates[np.argsort(-upper[row][candidates], kind="stable")]
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = 0
-        while at < len(order):
-            if len(best) >= k and upper[row][order[at]] < best[k - 1]:
-                break
-            part = order[at : at + 2 * k]
-            best = np.concatenate([best, vectors[part] @ queries[row]])
-            best_ids = np.concatenate([best_ids, ids[part]])
-            keep = np.lexsort((best_ids, -best))[:k]
-            best, best_ids = best[keep], best_ids[keep]
-            at += len(part)
-        out.append((np.full(len(best), query), best_ids, best))
-    return out
+    middle = q @ floor.T
+    slack = 2.0**-50 * np.abs(q).sum(1) * (np.abs(floor).max(initial=0) + step) * floor.shape[1]  # of the sums in floating point
+    lower = middle + (np.minimum(q, 0).sum(1) * (step - 1) - slack)[:, None]
+    return lower, middle + (np.maximum(q, 0).sum(1) * (step - 1) + slack)[:, None]
+
+
+def _dot(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        x, y = (batch.column(c) for c in ("v", "w"))
+        n = np.diff(x.offsets.to_numpy())
+        products = x.flatten().to_numpy() * y.flatten().to_numpy()
+        score = np.add.reduceat(products, np.cumsum(n) - n) if len(n) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("query_id"), batch.column("vec_id"), pa.array(score)], ["query", "query_id", "vec_id", "score"])
 
 
 def top_k(
@@ -71,54 +79,86 @@ def top_k(
         vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
         .where("vec_id is not null and e is not null and size(e) > 0")
         .where(~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-        .select("vec_id", F.size("e").alias("n"), F.transform("e", lambda x: F.floor(x * scale).cast("long")).alias("v"))
+        .select("vec_id", F.size("e").cast("long").alias("n"), F.transform("e", lambda x: F.floor(x * scale).cast("long")).alias("v"))
     )
-    clean = clean.withColumn("low", F.array_min("v")).withColumn("high", F.array_max("v"))
-    bounds = {r.n: (r.low, r.high, r.rows, r.queries) for r in clean.groupBy("n").agg(
-        F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("rows"), F.count_if(F.pmod("vec_id", F.lit(every)) == 0).alias("queries")
-    ).collect()}  # fmt: skip  one row for each length of vectors
-    parts = []
-    for n, (low, high, rows, asked) in sorted(bounds.items()):
-        if asked:
-            parts.append(_top_k_of(clean.where(F.col("n") == n), n, low, high, rows, asked, k, every, vectors_in_block, queries_in_block, pa))
-    if not parts:
-        return clean.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionAll(p)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _top_k_of(clean, n, low, high, rows, asked, k, every, vectors_in_block, queries_in_block, pa) -> DataFrame:
-    step = max(1, -(-(high - low + 1) // (1 << BITS)))
-    blocks, query_blocks = -(-rows // vectors_in_block), -(-asked // queries_in_block)
-
-    def packed(key: str):
-        def group(batch_or_table):
-            t = batch_or_table
-            order = np.argsort(t.column("vec_id").to_numpy(), kind="stable")
-            ids = t.column("vec_id").to_numpy()[order]
-            values = t.column("v").combine_chunks().flatten().to_numpy().reshape(-1, n)[order]
-            approx = cells(values, low, step)
-            return pa.table({key: [t.column(key)[0].as_py()], "ids": [ids.tobytes()], "exact": [values.tobytes()], "approx": [approx.tobytes()]})
-
-        return group
-
-    dealt = clean.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("b"), "vec_id", "v")
-    vector_blocks = dealt.groupBy("b").applyInArrow(packed("b"), "b long, ids binary, exact binary, approx binary")
-    asked_rows = clean.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(query_blocks)).alias("q"), "vec_id", "v")
-    asked_blocks = asked_rows.groupBy("q").applyInArrow(packed("q"), "q long, ids binary, exact binary, approx binary")
-    units = vector_blocks.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<long>")))
-    units = units.join(asked_blocks.select("q", F.col("ids").alias("qids"), F.col("exact").alias("queries")), "q")
-
-    def searched(batches):
+    asked = saved(clean.where(F.pmod("vec_id", F.lit(every)) == 0).withColumn("query", F.monotonically_increasing_id()), "topk-queries")
+    few = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    kept = saved(clean.withColumn("copy", few).where(F.col("copy") <= k + 1).drop("copy").withColumn("row", F.monotonically_increasing_id()), "topk-vectors")
+    about = kept.groupBy("n").agg(F.min(F.array_min("v")).alias("low"), F.max(F.array_max("v")).alias("high"), F.ceil(F.count("*") / vectors_in_block).alias("blocks"))
+    of_queries = asked.groupBy("n").agg(F.ceil(F.count("*") / queries_in_block).alias("query_blocks"))
+    about = about.join(of_queries, "n").withColumn("step", F.ceil((F.col("high").cast("double") - F.col("low") + 1) / (1 << BITS)).cast("long"))
+    about = saved(about, "topk-lengths")
+    most = F.greatest(F.abs(F.col("low").cast("double")), F.abs(F.col("high").cast("double")))
+    if not about.where(F.col("n") * most * most >= 2.0**62).isEmpty():
+        raise ValueError("components are so large that scores pass 64 bits")
+
+    def packed(table):
+        n, low, step = (table.column(c)[0].as_py() for c in ("n", "low", "step"))
+        values = table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, n)
+        return pa.table({
+            "n": [n], "low": [low], "step": [step], "query_blocks": table.column("query_blocks")[:1], "rows": [table.column("row").to_numpy().tobytes()],
+            "ids": [table.column("vec_id").to_numpy().tobytes()], "cells": [cells(values, low, step).tobytes()],
+        })
+
+    dealt = kept.join(about, "n").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")))
+    file = saved(dealt.groupBy("n", "block").applyInArrow(packed, "n long, low long, step long, query_blocks long, rows binary, ids binary, cells binary"), "topk-cells")
+
+    def asking(table):
+        values = table.column("v").combine_chunks().flatten().to_numpy()
+        return pa.table({
+            "n": table.column("n")[:1], "q": table.column("q")[:1], "queries": [table.column("query").to_numpy().tobytes()], "query_ids": [table.column("vec_id").to_numpy().tobytes()],
+            "values": [values.tobytes()], "least": [table.column("least").to_numpy().tobytes()],
+        })
+
+    def units(queries: DataFrame) -> DataFrame:
+        """Each block of cells with each block of queries of its length."""
+        blocks = queries.join(about.select("n", "query_blocks"), "n").withColumn("q", F.pmod(F.xxhash64("query"), F.col("query_blocks")))
+        blocks = blocks.groupBy("n", "q").applyInArrow(asking, "n long, q long, queries binary, query_ids binary, values binary, least binary")
+        each = file.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_blocks") - 1)))
+        return each.join(blocks, ["n", "q"]).select("n", "low", "step", "rows", "ids", "cells", "queries", "query_ids", "values", "least")
+
+    def scanned(batches):
+        """(queries, their least scores, rows, lower, upper bounds) of a few queries and one block at a time."""
         for batch in batches:
-            for ids, exact, approx, qids, queries in zip(*(c.to_pylist() for c in batch.columns)):
-                found = block_top(
-                    np.frombuffer(ids, np.int64), np.frombuffer(exact, np.int64).reshape(-1, n), np.frombuffer(approx, np.uint8).reshape(-1, n),
-                    np.frombuffer(qids, np.int64), np.frombuffer(queries, np.int64).reshape(-1, n), k, low, step,
-                )
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["query_id", "vec_id", "score"])
-
-    return units.select("ids", "exact", "approx", "qids", "queries").mapInArrow(searched, "query_id long, vec_id long, score long")
+            for u in range(batch.num_rows):
+                n, low, step, rows, ids, cell, queries, query_ids, values, least = (c[u].as_py() for c in batch.columns)
+                rows, ids, queries, query_ids = (np.frombuffer(x, np.int64) for x in (rows, ids, queries, query_ids))
+                floor = floors(np.frombuffer(cell, np.uint8).reshape(len(rows), -1), n, low, step)
+                values, least = np.frombuffer(values, np.int64).reshape(-1, n), np.frombuffer(least)
+                for a in range(0, len(queries), QUERIES_AT_ONCE):
+                    part = slice(a, a + QUERIES_AT_ONCE)
+                    lower, upper = bounds(values[part], floor, step)
+                    own = query_ids[part, None] == ids
+                    lower[own] = upper[own] = -np.inf
+                    yield queries[part], least[part], rows, lower, upper
+
+    def lower_bounds(batches):
+        for queries, _, rows, lower, _ in scanned(batches):
+            best = -np.partition(-lower, min(k, len(rows)) - 1, axis=1)[:, :k]
+            named = np.repeat(queries, best.shape[1])
+            some = np.isfinite(best.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(named[some]), pa.array(best.ravel()[some])], ["query", "lower"])
+
+    def candidates(batches):
+        for queries, least, rows, _, upper in scanned(batches):
+            q, v = np.nonzero((upper >= least[:, None]) & np.isfinite(upper))
+            yield pa.RecordBatch.from_arrays([pa.array(queries[q]), pa.array(rows[v]), pa.array(upper[q, v])], ["query", "row", "upper"])
+
+    lowest = F.lit(float("-inf"))
+    sure = units(asked.withColumn("least", lowest)).mapInArrow(lower_bounds, "query long, lower double")
+    sure = sure.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("lower")))).where(F.col("r") == k).select("query", F.col("lower").alias("least"))
+    bounded = saved(asked.join(sure, "query", "left").fillna({"least": float("-inf")}), "topk-bounded")
+    survivors = units(bounded).mapInArrow(candidates, "query long, row long, upper double")
+    survivors = saved(survivors.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("upper"), "row"))), "topk-survivors")
+
+    def exact(wanted: DataFrame) -> DataFrame:
+        read = wanted.join(kept.select("row", "vec_id", F.col("v")), "row").join(asked.select("query", F.col("vec_id").alias("query_id"), F.col("v").alias("w")), "query")
+        return read.select("query", "query_id", "vec_id", "v", "w").mapInArrow(_dot, "query long, query_id long, vec_id long, score long")
+
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    first = saved(exact(survivors.where(F.col("r") <= 2 * k)), "topk-first")
+    reached = first.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select("query", F.col("score").alias("reached"))
+    rest = exact(survivors.where(F.col("r") > 2 * k).join(reached, "query").where(F.col("upper") >= F.col("reached")))
+    found = saved(first.unionAll(rest), "topk-found")
+    discard(first, survivors, bounded, file, kept, asked)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -10,6 +10,8 @@ import numpy as np
 import pytest
 
 import public_tokenizers
+from pyspark.sql import functions as F
+
 from splitframe.llm import components, html_text, jaccard, language, lm, packing, pieces, quality, slices, suffixes, topk, warc
 
 from . import brute
@@ -145,28 +147,43 @@ def test_warc_round_trip(spark):
 
 
 # 4
+def _best(rows, k=20):
+    ok = {i: [math.floor(64 * x) for x in v] for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v)}
+    want = {}
+    for q in ok:
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(ok[q], ok[i])), i) for i in ok if i != q and len(ok[i]) == len(ok[q]))[:k]
+            want |= {(q, r): (i, -s) for r, (s, i) in enumerate(best, 1)}
+    return want
+
+
 def test_top_k_against_all_pairs(spark):
+    """Ragged lengths, ties, odd vectors, many blocks."""
     r = np.random.default_rng(3)
-    vectors = [[float(x) for x in v] for v in r.normal(size=(300, 6))]
+    vectors = [[float(x) for x in v] for v in r.normal(size=(300, 7))]
     vectors[40] = vectors[60] = vectors[20]
-    vectors[1], vectors[2], vectors[3], vectors[4], vectors[5] = None, [], [1.0, None, 1.0, 1.0, 1.0, 1.0], [float("nan")] * 6, [float("inf")] * 6
+    vectors[1], vectors[2], vectors[3], vectors[4], vectors[5] = None, [], [1.0, None, 1.0, 1.0, 1.0, 1.0, 1.0], [float("nan")] * 7, [float("inf")] * 7
     vectors[7] = [1.0, 2.0]
+    for i in range(200, 300):
+        vectors[i] = vectors[i][: 1 + i % 4]
     rows = [(i, v) for i, v in enumerate(vectors)]
-    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), vectors_in_block=37, queries_in_block=4)
-    got = {(x.query_id, x.rank): (x.vec_id, x.score) for x in found.collect()}
-    ok = {i: [math.floor(64 * x) for x in v] for i, v in rows if v and len(v) == 6 and all(x is not None and math.isfinite(x) for x in v)}
-    want = {}
-    for q in ok:
-        if q % 20 == 0:
-            best = sorted((-sum(a * b for a, b in zip(ok[q], ok[i])), i) for i in ok if i != q)[:20]
-            want |= {(q, k): (i, -s) for k, (s, i) in enumerate(best, 1)}
-    assert got == want
+    table = spark.createDataFrame([*rows, (None, [1.0] * 7)], "vec_id long, embedding array<double>").withColumn("score", F.lit("x")).withColumn("row", F.lit(1)).repartition(4)
+    found = topk.top_k(table, vectors_in_block=37, queries_in_block=4)
+    assert {(x.query_id, x.rank): (x.vec_id, x.score) for x in found.collect()} == _best(rows)
+
+
+def test_top_k_of_one_very_common_vector(spark):
+    rows = [(i, [1.0, 0.5, -0.25] if i % 3 else [i / 500, 1.0, 0.125]) for i in range(500)]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), vectors_in_block=50, queries_in_block=7)
+    assert {(x.query_id, x.rank): (x.vec_id, x.score) for x in found.collect()} == _best(rows)
 
 
 def test_top_k_of_few_and_none(spark):
     kind = "vec_id long, embedding array<float>"
     assert topk.top_k(spark.createDataFrame([], kind)).count() == 0
     assert topk.top_k(spark.createDataFrame([(0, [1.0]), (1, [2.0])], kind)).collect() == [(0, 1, 1, 64 * 128)]
+    with pytest.raises(ValueError):
+        topk.top_k(spark.createDataFrame([(0, [1e300, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>"))
 
 
 # 5
