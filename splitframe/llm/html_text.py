@@ -2,15 +2,20 @@
 
 A page is a sequence of tags and text runs. Tags score below zero; words score by the elements that
 they stand in, above zero where labelled pages have article words there. A linear scan finds the
-contiguous run of highest sum; its text runs that score above zero are the article.
+contiguous run of highest sum (of equal sums, the first); its text runs that score above zero are the article.
 
 The weights are log odds fitted on labelled pages: those that mark their article with ``article`` or
-``main``. ``fit`` reads about ``sample_pages`` (default 5,000, chosen by a hash of the id) of them
-and keeps at most ``MAX_FEATURES`` weights. Element and class names that never hold article text in
-web practice keep a fixed negative weight, so a page without any labelled cousin is still read.
+``main``. ``fit`` reads about ``sample_pages`` (default 5,000, chosen by a hash of the id) of them. The score of a
+word is 0.5 more than the sum of the weights of its elements and their classes, from -1 to 1, so words of
+elements that no labelled page has count 0.5; a page without any word above zero is scored anew without weights. What the page itself names a menu, header, footer, sidebar, notice,
+advert, form or comments is never text. Such a part scores -1 a word, but 0 where it stands inside an element that
+has article words before it or is itself of the article: an aside doesn't cut an article in two.
+
+The time is linear in the page, however deep its elements nest.
 
 Edge cases: null html is the empty page, whose text is empty. Pages cut off in a tag or without end
-tags are read to their end. Repeated rows are extracted one by one, extra columns are ignored.
+tags (``</head>`` among them) are read to their end. A page without article words has the empty text. Very long pages
+are read whole. Repeated rows and rows without id are extracted one by one, extra columns are ignored, an empty table gives none.
 """
 
 from __future__ import annotations
@@ -24,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_PAGES = 5000
-MAX_FEATURES = 5000
+#: Elements around a word that fitting looks at, from the innermost on; scoring sums all.
+DEPTH = 64
 #: Elements whose content is never text (fixed values).
 SILENT = frozenset("script style noscript template head title svg math iframe object select option textarea button datalist canvas audio video".split())
 #: Elements and class or id words of page furniture (fixed values).
@@ -39,6 +45,8 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike "
     "strong sub sup time tt u var wbr input".split()
 )
+#: Elements that a head may hold (fixed values); any other one ends it.
+HEAD = frozenset("title meta link script style base noscript template".split())
 #: Elements without content (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _TOKEN = re.compile(
@@ -49,73 +57,110 @@ _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'
 _WORD = re.compile(r"\S+")
 
 
-def tokens(page: str):
-    """(kind, value, features of the open elements) for each tag and text run of a page.
+def furniture(features) -> bool:
+    name = features[0]
+    return name in FURNITURE or any(part in FURNITURE_CLASS for f in features[1:] for part in re.split(r"[._-]", f)[1:])
+
+
+class Element:
+    """An open element, with what its ancestors and it amount to."""
+
+    __slots__ = ("name", "features", "parent", "silent", "article", "outer", "total", "words")
+
+    def __init__(self, name: str, features: list[str], parent: Element | None, weights: dict[str, float]):
+        self.name, self.features, self.parent = name, features, parent
+        self.silent = name in SILENT or (parent is not None and parent.silent)
+        self.article = name in ("article", "main") or (parent is not None and parent.article)
+        #: The innermost element around the outermost furniture, if this is within any.
+        self.outer = parent.outer if parent is not None else None
+        if self.outer is None and furniture(features) and not (name == "header" and self.article):
+            self.outer = parent if parent is not None else self
+        own = 0.0 if name in ("html", "body") else sum(weights.get(f, 0.0) for f in features)
+        self.total = own + (parent.total if parent is not None else 0.0)
+        self.words = False  # whether article words have stood in it
+
+
+_TOP = ("html", "body")
+
+
+def tokens(page: str, weights: dict[str, float] | None = None):
+    """(kind, value, innermost open element) for each tag and text run of a page.
 
     kind is "tag" (value: name), "block" (a tag that ends a block) or "text" (value: raw text).
     """
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    weights = weights or {}
+    top: Element | None = None
+    open_: Counter = Counter()
     at, end = 0, len(page)
+
+    def close(name: str) -> None:
+        nonlocal top
+        while True:
+            gone = top
+            open_[gone.name] -= 1
+            top = gone.parent
+            if gone.name == name:
+                return
+
     while at < end:
         found = _TOKEN.search(page, at)
         if not found:
-            yield "text", page[at:], stack
+            yield "text", page[at:], top
             return
         if found.start() > at:
-            yield "text", page[at : found.start()], stack
+            yield "text", page[at : found.start()], top
         at = found.end()
         closing, name, rest = found[1] or found[4], (found[2] or found[5] or "").lower(), found[3] or ""
         if not name:
             continue
         kind = "tag" if name in INLINE else "block"
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-            yield kind, "/" + name, stack
+            if open_[name]:
+                close(name)
+            yield kind, "/" + name, top
             continue
-        if name == "p":  # a paragraph ends the one before it
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] not in INLINE:
-                    break
+        if open_["head"] and name not in HEAD and name != "head":
+            close("head")
+        if name == "p" and open_["p"]:  # a paragraph ends the one before it
+            inner = top
+            while inner.name in INLINE:
+                inner = inner.parent
+            if inner.name == "p":
+                close("p")
         features = [name]
         for m in _NAMES.finditer(rest):
             features += [f"{name}.{c.lower()}" for c in (m[1] or m[2] or m[3] or "").split()]
         if name not in VOID and not rest.endswith("/"):
-            stack.append((name, tuple(features)))
-        yield kind, name, stack
+            top = Element(name, features, top, weights)
+            open_[name] += 1
+        yield kind, name, top
         if name in ("script", "style", "textarea", "title", "noscript"):
-            close = re.compile(f"</{name}", re.I).search(page, at)
-            stop = close.start() if close else end
-            yield "text", page[at:stop], stack
+            stop = re.compile(f"</{name}", re.I).search(page, at)
+            stop = stop.start() if stop else end
+            yield "text", page[at:stop], top
             at = stop
 
 
-def silent(stack) -> bool:
-    return any(name in SILENT for name, _ in stack)
-
-
-def furniture(features) -> bool:
-    name = features[0]
-    return name in FURNITURE or any(part in FURNITURE_CLASS for f in features[1:] for part in re.split(r"[._-]", f)[1:])
-
-
 def label_counts(page: str) -> tuple[Counter, Counter]:
     """Of a labelled page: words (and tags, named <tag) inside and outside its article, by feature."""
-    inside, outside = Counter(), Counter()
-    for kind, value, stack in tokens(page):
-        names = [n for n, _ in stack]
-        side = inside if ("article" in names or "main" in names) and not any(furniture(f) for _, f in stack) else outside
+    inside, outside, words, below = Counter(), Counter(), Counter(), {}
+    for kind, value, element in tokens(page):
+        side = inside if element is not None and element.article and element.outer is None else outside
         if kind == "text":
-            if not silent(stack) and (n := len(_WORD.findall(value))):
-                for f in {f for _, features in stack for f in features}:
-                    side[f] += n
+            if element is not None and not element.silent and (n := len(_WORD.findall(value))):
+                words[id(element)] += n
+                below[id(element)] = element
         elif not value.startswith("/"):
             side["<" + value] += 1
+    for key, element in below.items():
+        side = inside if element.article and element.outer is None else outside
+        seen, at = set(), element
+        for _ in range(DEPTH):
+            if at is not None:
+                seen.update(at.features)
+                at = at.parent
+        for f in seen:
+            side[f] += words[key]
     return inside, outside
 
 
@@ -141,46 +186,64 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> dict[str, float]:
             )
 
     sums = sample.mapInArrow(counted, "feature string, inside long, outside long").groupBy("feature")
-    rows = sums.agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).orderBy(F.desc(F.col("i") + F.col("o")), "feature").limit(MAX_FEATURES)
-    return {r.feature: math.log((r.i + 0.5) / (r.o + 0.5)) for r in rows.collect()}
+    # No more features than the sampled pages hold.
+    return {r.feature: math.log((r.i + 0.5) / (r.o + 0.5)) for r in sums.agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).collect()}
 
 
-def article(page: str, weights: dict[str, float]) -> str:
-    """The text of one page's best-scoring region."""
-    scored: list[tuple[float, str | None]] = []  # None: a block ends here
-    memo: dict[tuple, float] = {}
-    for kind, value, stack in tokens(page):
+def scores(page: str, weights: dict[str, float]) -> list[tuple[float, str | None]]:
+    """The score of each tag and text run, and its text (None where a block ends)."""
+    scored: list[tuple[float, str | None]] = []
+    for kind, value, element in tokens(page, weights):
         if kind != "text":
             name = value.lstrip("/")
             scored.append((max(-1.0, min(-0.02, 0.1 * weights.get("<" + name, -1.0))), None if kind == "block" else (" " if name == "br" else "")))
             continue
-        key = tuple(f for _, f in stack)
-        each = memo.get(key)
-        if each is None:
-            if silent(stack):
-                each = 0.0
-            elif any(furniture(f) for f in key):
-                each = -1.0
-            else:
-                total = sum(weights.get(f, 0.0) for features in key if features[0] not in ("html", "body") for f in features)
-                each = -1.0 if total < -0.5 else 1.0
-            memo[key] = each
-        if each:
-            scored.append((each * len(_WORD.findall(value)), value))
+        if not value.strip():
+            scored.append((0.0, " "))
+            continue
+        if element is not None and element.silent:
+            continue
+        words = len(_WORD.findall(value))
+        if element is not None and element.outer is not None:
+            around = element.outer
+            joins = around.article or around.words or (around.name not in _TOP and around.total > 0)
+            scored.append((0.0 if joins and around.name not in _TOP else -float(words), ""))
+            continue
+        each = max(-1.0, min(1.0, 0.5 + (element.total if element is not None else 0.0)))
+        if each > 0:
+            at = element
+            while at is not None and not at.words:
+                at.words, at = True, at.parent
+        scored.append((each * words, value if each > 0 else ""))
+    return scored
+
+
+def best_region(values: list[float]) -> tuple[int, int]:
+    """From and to of the contiguous run of highest sum, the first of equal ones; (0, 0) if none is above zero."""
     best, best_from, best_to, total, start = 0.0, 0, 0, 0.0, 0
-    for k, (score, _) in enumerate(scored):
+    for k, score in enumerate(values):
         if total <= 0:
             total, start = 0.0, k
         total += score
         if total > best:
             best, best_from, best_to = total, start, k + 1
+    return best_from, best_to
+
+
+def article(page: str, weights: dict[str, float]) -> str:
+    """The text of one page's best-scoring region."""
+    scored = scores(page, weights)
+    low, high = best_region([x for x, _ in scored])
+    if low == high and weights:  # unlike all labelled pages
+        scored = scores(page, {})
+        low, high = best_region([x for x, _ in scored])
     blocks, line = [], []
-    for score, value in [*scored[best_from:best_to], (0.0, None)]:
+    for _, value in [*scored[low:high], (0.0, None)]:
         if value is None:
             if text := " ".join(entities.unescape("".join(line)).split()):
                 blocks.append(text)
             line = []
-        elif score >= 0 or not value.strip():
+        else:
             line.append(value)
     return "\n".join(blocks)
 

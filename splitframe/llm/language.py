@@ -19,8 +19,9 @@ the posterior of its best language is below ``LEAST_POSTERIOR``.
 
 Edge cases: null and empty texts, and texts of the other class, have language ``und`` and are
 rejected; null declarations and hosts add no evidence; unknown languages in a declaration add none
-either. Repeated rows count as often as they occur. Columns of the input keep their values; clashing
-names are avoided by a prefix.
+either. Of languages with equal posteriors the first in the alphabet is chosen. Repeated rows count as often as they
+occur; a null id stays null. Whole texts count, however long. An empty table gives an empty table; without labelled rows all is
+``und`` and rejected. Columns of the input keep their values; clashing names are avoided by a prefix.
 """
 
 import math
@@ -157,8 +158,12 @@ def _told(code: Column, language: str | None, languages: list[str], right: float
     return F.when(code == F.lit(language), math.log(right)).when(code.isin(languages), wrong).otherwise(0.0)
 
 
-def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, host: Column, into: str = "_language") -> DataFrame:
-    """``df`` with struct column ``into`` (language, posterior, accepted); its other columns stay as they are."""
+def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, host: Column, into: str = "_language", done_with: list[str] | None = None) -> DataFrame:
+    """``df`` with struct column ``into`` (language, posterior, accepted); its other columns stay as they are.
+
+    The scores are read twice, for the host priors and for the verdict. Given the columns that nothing needs
+    afterwards (``done_with``), scores and the other columns are written in between instead of worked out again.
+    """
     langs = model.languages
     p = "_" * max([1, *(len(c) for c in df.columns)])  # no column has such a name with more after it
     if not langs:
@@ -192,6 +197,8 @@ def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, ho
     # Relative to a prior of 1 over all fitted languages, as the host's is.
     other = F.col(f"{p}own{len(langs)}") + math.log(OTHER_SHARE / (1 - OTHER_SHARE))
     own = [F.col(f"{p}own{k}") for k in each]
+    if done_with is not None:
+        d = saved(d.drop(*done_with), "language-scores")
     soft = d.select(f"{p}host", *own, (other + math.log(len(langs))).alias(f"{p}other")).withColumn(f"{p}whole", _log_sum([*own, F.col(f"{p}other")]))
     sums = soft.groupBy(f"{p}host").agg(*[F.sum(F.exp(own[k] - F.col(f"{p}whole"))).alias(f"s{k}") for k in each])
     priors = host_priors(saved(sums.withColumnRenamed(f"{p}host", "_host"), "host-counts"), langs)
@@ -239,7 +246,8 @@ def host_priors(sums: DataFrame, langs: list[str]) -> DataFrame:
 def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
     """page_id, language, posterior and accepted for every page."""
     d = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    out = identify(d, model, visible_text(F.col("html")), markup_language(F.col("html")), host_of(F.col("url")))
+    d = d.select("page_id", visible_text(F.col("html")).alias("text"), markup_language(F.col("html")).alias("lang"), host_of(F.col("url")).alias("host"))
+    out = identify(d, model, F.col("text"), F.col("lang"), F.col("host"), done_with=["text", "lang", "host"])
     return out.select("page_id", "_language.language", F.round("_language.posterior", 6).alias("posterior"), "_language.accepted")
 
 

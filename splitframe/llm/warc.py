@@ -6,11 +6,16 @@ WARC-Refers-To (with its target address and date), the conversion holds the plai
 the metadata holds the response's HTTP header fields, digests and links. Record ids are name-based
 UUIDs of the response's id, so a task that runs again gives the same records.
 
-No row is moved: responses stay in their partitions. ``write`` gives one gzip-membered file body for
-each partition as rows of bytes; ``read_records`` reads such bodies back.
+Responses come from pages (``responses``: the page has no HTTP head or date of its own, so the head says what
+is known and the date is a parameter), or from real response files (``read_responses``), whose own record ids,
+dates, addresses, digests and HTTP header fields are kept.
+
+No row is moved: responses stay in their partitions. ``write`` gives gzip-membered file bodies
+as rows of bytes; ``read_records`` reads such bodies back, one record at a time.
 
 Edge cases: null html is an empty payload, whose conversion is empty; null addresses are left out of
-the header. Repeated rows give repeated records. Extra columns are ignored.
+the header; a null id stays null. Repeated rows give repeated records. Very long pages are converted whole. An empty table
+gives no records. Extra columns are ignored. A file cut off in a record ends before that record; header fields without a colon are passed over.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ import html as entities
 import io
 import re
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame
 
@@ -141,13 +147,92 @@ def write(records: DataFrame, file_records: int = 1000) -> DataFrame:
     return records.select("header", "block").mapInArrow(bodies, "name string, body binary")
 
 
-def read_records(body: bytes) -> list[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of each record of a file body."""
-    data, out = gzip.decompress(body), []
-    while data:
-        head, _, data = data.partition(b"\r\n\r\n")
-        fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
-        n = int(fields["Content-Length"])
-        out.append((fields, data[:n]))
-        data = data[n + 4 :]
-    return out
+def _members(body: bytes, size: int = 1 << 20):
+    """The bytes of a file body in pieces: gzip members one after the other, or plain bytes."""
+    if not body.startswith(b"\x1f\x8b"):
+        yield from (body[k : k + size] for k in range(0, len(body), size))
+        return
+    rest = body
+    while rest:
+        one = zlib.decompressobj(31)
+        at = 0
+        while not one.eof and at < len(rest):
+            piece = rest[at : at + size]
+            at += len(piece)
+            yield one.decompress(piece)
+        if not one.eof:
+            return
+        rest = one.unused_data + rest[at:]
+
+
+def read_records(body: bytes):
+    """(header fields, block) of each whole record of a file body, in order; no more than one record is held unpacked."""
+    held, pieces = bytearray(), _members(body)
+
+    def until(test) -> int:
+        """Read on until ``test`` finds a place in what is held; -1 at the end of the file."""
+        while (at := test()) < 0:
+            piece = next(pieces, None)
+            if piece is None:
+                return -1
+            held.extend(piece)
+        return at
+
+    while True:
+        while held[:2] == b"\r\n":
+            del held[:2]
+        at = until(lambda: held.find(b"\r\n\r\n"))
+        if at < 0:
+            return
+        lines = held[:at].decode("utf-8", "surrogateescape").split("\r\n")[1:]
+        fields = {k.strip(): v.strip() for k, colon, v in (line.partition(":") for line in lines) if colon}
+        n = int(fields.get("Content-Length", 0))
+        stop = at + 4 + n
+        if until(lambda: stop if len(held) >= stop else -1) < 0:
+            return
+        block = bytes(held[at + 4 : stop])
+        del held[:stop]
+        until(lambda: 0 if len(held) >= 4 else -1)
+        if held[:4] == b"\r\n\r\n":
+            del held[:4]
+        yield fields, block
+
+
+def read_responses(files: DataFrame) -> DataFrame:
+    """Response records of file bodies (name, body), such as Spark's ``binaryFile`` source or ``write`` give; page_id is null.
+
+    Digests that a record names are kept, others computed. Records of other types are passed over.
+    """
+    import pyarrow as pa
+
+    def read(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                for fields, block in read_records(batch.column(0)[k].as_py() or b""):
+                    if fields.get("WARC-Type") == "response":
+                        payload = block.partition(b"\r\n\r\n")[2]
+                        named = fields.get("WARC-Record-ID") or urn("response", f"{fields.get('WARC-Target-URI')} {digest(block)}")
+                        row = (None, named, fields.get("WARC-Target-URI"), fields.get("WARC-Date"), fields.get("WARC-Payload-Digest") or digest(payload), fields.get("WARC-Block-Digest") or digest(block), block)
+                        yield _batch(pa, [row], RESPONSE_SCHEMA)
+
+    return files.select("body").mapInArrow(read, RESPONSE_SCHEMA)
+
+
+def with_header(source: DataFrame) -> DataFrame:
+    """Response records with their own header, as ``write`` takes them."""
+    import pyarrow as pa
+
+    names = ["record_id", "target_uri", "warc_date", "payload_digest", "block_digest", "block"]
+
+    def made(batches):
+        for batch in batches:
+            rows = []
+            for record, url, date, payload, block, data in zip(*(c.to_pylist() for c in batch.columns)):
+                fields = [
+                    ("WARC-Type", "response"), ("WARC-Record-ID", record), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Payload-Digest", payload), ("WARC-Block-Digest", block),
+                    ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(data or b""))),
+                ]
+                rows.append((header(fields), data))
+            yield _batch(pa, rows, "header string, block binary")
+
+    return source.select(*names).mapInArrow(made, "header string, block binary")

@@ -146,6 +146,29 @@ def test_warc_round_trip(spark):
     assert any(b"outlink: /x?a=1&b=2 a" in b for _, b in texts)
 
 
+def test_warc_of_real_response_files(spark):
+    """Records of a plain and a gzip-membered file keep their own ids, dates, digests and header fields."""
+    import gzip
+
+    def record(kind, name, date, block, extra=""):
+        return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{name}>\r\nWARC-Date: {date}\r\nWARC-Target-URI: http://h/{name}\r\n{extra}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    one = b"HTTP/1.1 404 Gone\r\nX-Own: yes\r\n\r\n<p>first</p>"
+    two = b"HTTP/1.1 200 OK\r\n\r\n<p>" + b"second " * 400_000 + b"</p>"
+    parts = [record("warcinfo", "info", "2020-01-01T00:00:00Z", b"software: x"), record("response", "one", "2021-05-06T07:08:09Z", one, "WARC-Payload-Digest: sha1:OWN\r\n"), record("response", "two", "2022-01-01T00:00:00Z", two)]
+    bodies = [("a.warc", b"".join(parts)), ("b.warc.gz", b"".join(map(gzip.compress, parts))), ("cut.warc", b"".join(parts)[:-500]), ("none.warc", b"")]
+    found = warc.read_responses(spark.createDataFrame(bodies, "name string, body binary"))
+    rows = found.collect()
+    assert sorted((r.record_id, r.warc_date) for r in rows) == sorted([("<urn:one>", "2021-05-06T07:08:09Z")] * 3 + [("<urn:two>", "2022-01-01T00:00:00Z")] * 2)
+    assert {r.payload_digest for r in rows if r.record_id == "<urn:one>"} == {"sha1:OWN"}
+    made = [(r.warc_type, r.refers_to, r.warc_date, bytes(r.block)) for r in warc.derive(found).collect()]
+    metadata = next(b for t, of, _, b in made if t == "metadata" and of == "<urn:one>")
+    assert b"httpStatus: HTTP/1.1 404 Gone" in metadata and b"httpHeader: X-Own: yes" in metadata and b"sourcePayloadDigest: sha1:OWN" in metadata
+    assert {d for _, of, d, _ in made if of == "<urn:two>"} == {"2022-01-01T00:00:00Z"}
+    again = warc.read_responses(warc.write(warc.with_header(found), 2)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, rows))
+
+
 # 4
 def _best(rows, k=20):
     ok = {i: [math.floor(64 * x) for x in v] for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v)}
@@ -317,6 +340,67 @@ def test_article(spark):
     assert (got[99].text, got[98].text, got[97].text, got[96].text) == ("", "", "plain words only", "cut in a")
 
 
+def test_region_against_all_runs():
+    """The linear scan against the sums of all contiguous runs; of equal sums, the first and shortest."""
+    import random
+
+    r = random.Random(5)
+    for _ in range(300):
+        values = [r.choice([-3, -1, -1, 0, 1, 2, 4]) for _ in range(r.randrange(0, 14))]
+        low, high = html_text.best_region(values)
+        sums = {(a, b): sum(values[a:b]) for a in range(len(values)) for b in range(a + 1, len(values) + 1)}
+        best = max(sums.values(), default=0)
+        assert sum(values[low:high]) == max(best, 0)
+        assert high == (min(b for (_, b), x in sums.items() if x == best) if best > 0 else 0)
+
+
+def _fitted(spark):
+    pages = [(k, "u", PAGE.format(" more" * k)) for k in range(40)]
+    return html_text.fit(spark.createDataFrame(pages, "page_id long, url string, html string"))
+
+
+@pytest.mark.parametrize("learned", [True, False])
+def test_regions_of_many_templates(spark, learned):
+    weights = _fitted(spark) if learned else {}
+    say = lambda n, w="word": " ".join([w] * n)
+    cases = {
+        # an aside longer than what stands before it
+        f"<body><nav>{say(30, 'menu')}</nav><article><p>{say(15)}</p><aside>{say(120, 'side')}</aside><p>{say(90)}</p></article><footer>{say(9, 'foot')}</footer></body>": f"{say(15)}\n{say(90)}",
+        # no article mark at all
+        f"<html><body><div id=menu>{say(20, 'menu')}</div><div class=content><h1>Head</h1><p>{say(40)}</p><div class='share'>{say(60, 'share')}</div><p>{say(30)}</p></div><div class=sidebar>{say(25, 'side')}</div></body></html>": f"Head\n{say(40)}\n{say(30)}",
+        # the headline in the article's own header, comments and a form inside it
+        f"<main><header><h1>Title</h1></header><p>{say(20)}</p><form>{say(30, 'form')}</form><p>{say(20)}</p><section class='comments'>{say(200, 'reader')}</section></main>": f"Title\n{say(20)}\n{say(20)}",
+        # a head without end tag
+        f"<html><head><title>no</title><meta charset=x><body><p>{say(12)}</p><div class='cookie-notice'>{say(3, 'cookie')}</div></body>": say(12),
+        # character references, line breaks, inline elements, white space
+        "<article><p>a&nbsp;&amp; <b>b</b>c\n\t d<br>e&#x21;</p></article>": "a & bc d e!",
+        "<script>var x = '<p>no</p>'</script><style>p{}</style><!-- <p>no</p> -->": "",
+        "": "",
+    }
+    for page, want in cases.items():
+        assert html_text.article(page, weights) == want, page[:200]
+
+
+def test_time_is_linear_in_nesting():
+    import time
+
+    def took(n):
+        page = "<div class='a b'>word " * n + "</i>" * n
+        began = time.process_time()
+        assert html_text.article(page, {"div": 0.1}).count("word") == n
+        html_text.label_counts(page)
+        return time.process_time() - began
+
+    took(500)
+    assert took(8000) < 12 * took(1600) + 0.5
+
+
+def test_pages_without_ids_and_repeated_rows(spark):
+    rows = [(None, "u", "<p>one text here</p>", "x"), (1, None, "<p>two</p>", "x"), (1, None, "<p>two</p>", "x")]
+    found = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert sorted(map(str, ((r.page_id, r.text, r.n_chars) for r in found))) == sorted(map(str, [(None, "one text here", 13), (1, "two", 3), (1, "two", 3)]))
+
+
 # 9
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -369,6 +453,45 @@ def test_host_prior_decides_short_texts(spark):
     assert (got[1000], got[1001]) == ("en", "de")
 
 
+def test_fusion_against_a_plain_version(spark):
+    """Posteriors from plain dictionaries: trigrams, declarations, suffixes and hosts smoothed from all rows."""
+    languages = ["de", "en"]
+    texts = [("das haus und der garten", "de"), ("the house and the garden", "en"), ("der mann ist im haus", "de"), ("the man is in it", "en")]
+    model = language.fit_text_model(spark.createDataFrame([(k, *texts[k % 4]) for k in range(40)], "id long, text string, lang string"))
+    assert model.languages == languages
+    rows = [(1, "http://a.b.de/x", "<html lang=de>das garten</html>"), (2, "http://a.b.de/y", "the garden"), (3, "http://c.com/", "<p>haus"), (4, "http://c.com/", "<p>haus"), (None, None, "garten"), (5, "http://a.b.de/", None), (6, "http://q.en/", "<html lang='en'>man im")]
+    evidence = {}
+    for k, (_, url, page) in enumerate(rows):
+        text, declared, host = {0: "das garten", 6: "man im"}.get(k, (page or "").replace("<p>", " ")), {0: "de", 6: "en"}.get(k, ""), (url or "").split("/")[2] if url else ""
+        score = model.score([{0: " das garten ", 6: " man im"}.get(k, text)])[0]
+        n = score[-1]
+        weight = language.TEMPER / n if n > language.TEMPER else 1.0
+        told = lambda code, x, right: 0.0 if code not in languages else math.log(right if code == x else (1 - right) / (len(languages) - 1))
+        own = [score[j] * weight + told(declared, x, language.DECLARED_RIGHT) + told(host.split(".")[-1], x, language.SUFFIX_RIGHT) for j, x in enumerate([*languages, None])]
+        own[2] += math.log(language.OTHER_SHARE / (1 - language.OTHER_SHARE))
+        evidence[k] = (host, n, own)
+    soft = {}
+    for host, _, own in evidence.values():
+        whole = sum(map(math.exp, own[:2])) + math.exp(own[2]) * 2
+        for level in (("all",), ("suffix", host.split(".")[-1]), ("domain", ".".join(host.split(".")[-2:])), ("host", host)):
+            soft.setdefault(level, [0.0, 0.0])
+            for j in (0, 1):
+                soft[level][j] += math.exp(own[j]) / whole
+    want = []
+    for k, (host, n, own) in evidence.items():
+        top = soft["all",]
+        prior = [(x + 1) / (sum(top) + 2) for x in top]
+        for level in (("suffix", host.split(".")[-1]), ("domain", ".".join(host.split(".")[-2:])), ("host", host)):
+            prior = [(soft[level][j] + language.SMOOTHING * prior[j]) / (sum(soft[level]) + language.SMOOTHING) for j in (0, 1)]
+        whole = [math.exp(own[j]) * prior[j] for j in (0, 1)] + [math.exp(own[2])]
+        best = max((0, 1), key=lambda j: whole[j])
+        posterior = whole[best] / sum(whole) if n else 0.0
+        want.append((rows[k][0], languages[best] if n and whole[best] >= whole[2] else "und", round(posterior, 5), posterior >= language.LEAST_POSTERIOR))
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("_language", F.lit(1)).withColumn("text", F.lit("zz"))
+    got = [(r.page_id, r.language, round(r.posterior, 5), r.accepted) for r in language.identify_pages(table, model).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 # 10
 @pytest.mark.parametrize(("block_tokens", "order"), [(500, 3), (lm.BLOCK_TOKENS, 3), (700, 2), (500, 4)])
 def test_katz(docs, rows, block_tokens, order):
