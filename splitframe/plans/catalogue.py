@@ -106,12 +106,13 @@ def psi_multi_host(spark, d):
 
 # Keyed tables
 def _sides(spark, d):
-    left = t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
-    right = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
-    return left.where("k % 3 != 0"), right
+    """Customers by key, and orders' sums by order key: each has keys that the other has not."""
+    left = t(spark, d, "customer").select((F.col("c_custkey") * 2).alias("k"), F.col("c_acctbal").alias("v"))
+    right = t(spark, d, "orders").groupBy((F.col("o_custkey") * 3).alias("k")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
+    return left, right
 
 
-_SIDES = "WITH l AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 3 <> 0), r AS (SELECT o_custkey AS k, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1) "
+_SIDES = "WITH l AS (SELECT c_custkey * 2 AS k, c_acctbal AS v FROM customer), r AS (SELECT o_custkey * 3 AS k, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1) "
 
 
 @query(_SIDES + "SELECT l.k, round(l.v + r.v, 2) AS v FROM l JOIN r USING (k)")
@@ -381,9 +382,9 @@ def loc_semi(spark, d):
     return f.loc(f.df.where("o_orderkey % 7 = 0")).df
 
 
-@query("SELECT p_partkey, p_size FROM part WHERE p_retailprice > 1000")
+@query("SELECT p_partkey, p_size FROM part WHERE p_size > 25")
 def iloc_mask(spark, d):
-    return part_frame(spark, d, ["p_size"]).iloc(part_frame(spark, d, ["p_retailprice"]) > 1000).df
+    return part_frame(spark, d, ["p_size"]).iloc(part_frame(spark, d, ["p_size"]) > 25).df
 
 
 # Correlation
@@ -423,7 +424,7 @@ def auc(spark, d):
     return evaluate.auc(_scored(spark, d), "s", "y").withColumns(r6("auc"))
 
 
-_CUT = _SCORED + ", o AS (SELECT s, row_number() OVER (ORDER BY s DESC) AS rn, count(*) OVER () AS n FROM s), cuts AS (SELECT CAST(c AS INTEGER) AS cut, s AS threshold FROM o, (SELECT unnest(range(0, 100)) AS c) WHERE rn = CAST(floor(n * c / 100) AS BIGINT) + 1), m AS (SELECT cut, threshold, count(*) FILTER (y = 1 AND s > threshold) AS tp, count(*) FILTER (y <> 1 AND s > threshold) AS fp, count(*) FILTER (y <> 1 AND s <= threshold) AS tn, count(*) FILTER (y = 1 AND s <= threshold) AS fn FROM s, cuts GROUP BY 1, 2) "
+_CUT = _SCORED + ", o AS (SELECT s, row_number() OVER (ORDER BY s DESC) AS rn, count(*) OVER () AS n FROM s), cuts AS (SELECT CAST(c AS INTEGER) AS cut, s AS threshold FROM o, (SELECT unnest(range(0, 100)) AS c) WHERE rn = CAST(floor(n * (c / CAST(100 AS DOUBLE))) AS BIGINT) + 1), m AS (SELECT cut, threshold, count(*) FILTER (y = 1 AND s > threshold) AS tp, count(*) FILTER (y <> 1 AND s > threshold) AS fp, count(*) FILTER (y <> 1 AND s <= threshold) AS tn, count(*) FILTER (y = 1 AND s <= threshold) AS fn FROM s, cuts GROUP BY 1, 2) "
 
 
 @query(_CUT + "SELECT cut, round(threshold, 6) AS threshold, tp, fp, tn, fn FROM m")
@@ -436,14 +437,41 @@ def ks_100(spark, d):
     return evaluate.ks(_scored(spark, d), "s", "y").withColumns(r6("ks"))
 
 
-@query(_CUT + "SELECT cut, round(threshold, 6) AS threshold, round(coalesce(tp / nullif(tp + fp, 0), 1), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy FROM m")
-def precision_recall_bin(spark, d):
-    return evaluate.precision_recall_table(_scored(spark, d), "s", "y").withColumns(r6("threshold", "precision", "recall", "accuracy"))
+# Distinct scores at descending index int(distinct * c), c = 0, 0.01 to 0.99; "ends" adds the least less 0.001 as cut 1.
+_STEPS = _SCORED + """, u AS (SELECT s, row_number() OVER (ORDER BY s DESC) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT s FROM s)),
+steps AS (SELECT c * CAST(0.01 AS DOUBLE) AS cuts, s AS threshold FROM u, (SELECT unnest(range(0, 100)) AS c) WHERE rn = CAST(floor(n * (c * CAST(0.01 AS DOUBLE))) AS BIGINT) + 1),
+ends AS (SELECT * FROM steps UNION ALL SELECT 1.0, min(threshold) - 0.001 FROM steps),
+m AS (SELECT cuts, threshold, count(*) FILTER (y = 1 AND s > threshold) AS tp, count(*) FILTER (y <> 1 AND s > threshold) AS fp, count(*) FILTER (y <> 1 AND s <= threshold) AS tn, count(*) FILTER (y = 1 AND s <= threshold) AS fn FROM s, ends GROUP BY 1, 2) """
 
 
-@query(_CUT + "SELECT cut, round(threshold, 6) AS threshold, round(coalesce(tp / nullif(tp + fp, 0), 1) / ((tp + fn) / (tp + fp + tn + fn)), 6) AS lift, round(tp / (tp + fn), 6) AS gain FROM m")
-def lift_gain(spark, d):
-    return evaluate.lift_gain_table(_scored(spark, d), "s", "y").withColumns(r6("threshold", "lift", "gain"))
+@query(_STEPS + "SELECT round(cuts, 6) AS cuts, round(threshold, 6) AS threshold, round(coalesce(tp / nullif(tp + fp, 0), 1), 6) AS p FROM m")
+def precision_steps(spark, d):
+    return evaluate.precision_table(_scored(spark, d), "s", "y").withColumns(r6("cuts", "threshold", "p"))
+
+
+@query(_STEPS + "SELECT round(cuts, 6) AS cuts, round(threshold, 6) AS threshold, round(tp / (tp + fn), 6) AS r FROM m")
+def recall_steps(spark, d):
+    return evaluate.recall_table(_scored(spark, d), "s", "y").withColumns(r6("cuts", "threshold", "r"))
+
+
+@query(_STEPS + "SELECT round(cuts, 6) AS cuts, round(threshold, 6) AS threshold, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy FROM m WHERE cuts < 1")
+def accuracy_steps(spark, d):
+    return evaluate.accuracy_table(_scored(spark, d), "s", "y").withColumns(r6("cuts", "threshold", "accuracy"))
+
+
+@query(_STEPS + "SELECT round(cuts, 6) AS cuts, round(threshold, 6) AS threshold, round((tn + fn) / (tp + fp + tn + fn), 6) AS lift_x_0, round(coalesce(tn / nullif(tn + fn, 0), 1) / ((tn + fp) / (tp + fp + tn + fn)), 6) AS lift_y_0, round((tp + fp) / (tp + fp + tn + fn), 6) AS lift_x_1, round(coalesce(tp / nullif(tp + fp, 0), 1) / ((tp + fn) / (tp + fp + tn + fn)), 6) AS lift_y_1 FROM m WHERE cuts < 1")
+def lift_steps(spark, d):
+    return evaluate.lift_table(_scored(spark, d), "s", "y").withColumns(r6("cuts", "threshold", "lift_x_0", "lift_y_0", "lift_x_1", "lift_y_1"))
+
+
+@query(_STEPS + "SELECT round(cuts, 6) AS cuts, round(threshold, 6) AS threshold, round((tn + fn) / (tp + fp + tn + fn), 6) AS gain_x_0, round(tn / (tn + fp), 6) AS gain_y_0, round((tp + fp) / (tp + fp + tn + fn), 6) AS gain_x_1, round(tp / (tp + fn), 6) AS gain_y_1 FROM m WHERE cuts < 1")
+def gain_steps(spark, d):
+    return evaluate.gain_table(_scored(spark, d), "s", "y").withColumns(r6("cuts", "threshold", "gain_x_0", "gain_y_0", "gain_x_1", "gain_y_1"))
+
+
+@query(_SCORED + " SELECT round(greatest(0, max(p / ap - n / an)), 6) AS ks FROM (SELECT sum(count(*) FILTER (y = 1)) OVER w AS p, sum(count(*) FILTER (y <> 1)) OVER w AS n FROM s GROUP BY s WINDOW w AS (ORDER BY s DESC)), (SELECT count(*) FILTER (y = 1) AS ap, count(*) FILTER (y <> 1) AS an FROM s)")
+def ks_exact(spark, d):
+    return evaluate.ks(_scored(spark, d), "s", "y", exact=True).withColumns(r6("ks"))
 
 
 @query(_SCORED + ", c AS (SELECT CAST(c AS INTEGER) AS cut, c / CAST(100 AS DOUBLE) AS threshold FROM (SELECT unnest(range(0, 100)) AS c)), m AS (SELECT cut, threshold, count(*) FILTER (y = 1 AND s > threshold) AS tp, count(*) FILTER (y <> 1 AND s > threshold) AS fp, count(*) FILTER (y = 1 AND s <= threshold) AS fn FROM s, c GROUP BY 1, 2) SELECT cut, threshold, round(coalesce(2 * tp / nullif(2 * tp + fn + fp, 0), 0), 6) AS f_score FROM m")
@@ -467,7 +495,12 @@ def multi_metrics(spark, d):
     return evaluate.multi(t(spark, d, "embeddings").withColumn("p", F.col("vec_id") % 10), "p", "label").withColumns(r6("accuracy", "precision", "recall"))
 
 
-@query()
+@query(_SCORED + """, e AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS i, count(*) OVER () AS n FROM s WHERE doc_id % 2 = 0),
+q AS (SELECT DISTINCT s AS c FROM e, (SELECT unnest(range(0, 21)) AS k) WHERE i = CAST(round_even(CASE k WHEN 20 THEN 1.0 ELSE round(k * CAST(0.05 AS DOUBLE), 3) END * (n - 1), 0) AS BIGINT)),
+edges AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS b, count(*) OVER () AS k FROM q),
+placed AS (SELECT doc_id % 2 AS side, (SELECT least(max(b), max(k) - 2) FROM edges WHERE c <= s.s) AS b FROM s WHERE s.s BETWEEN (SELECT min(c) FROM q) AND (SELECT max(c) FROM q)),
+shares AS (SELECT b, (SELECT count(*) FROM placed p WHERE p.b = r.b AND side = 0) / (SELECT count(*) FROM s WHERE doc_id % 2 = 0) AS e, (SELECT count(*) FROM placed p WHERE p.b = r.b AND side = 1) / (SELECT count(*) FROM s WHERE doc_id % 2 = 1) AS a FROM (SELECT b FROM edges WHERE b < k - 1) r)
+SELECT round(sum((greatest(a, 1e-6) - greatest(e, 1e-6)) * ln(greatest(a, 1e-6) / greatest(e, 1e-6))), 6) AS psi FROM shares""")
 def psi_metric(spark, d):
     s = _scored(spark, d)
     return evaluate.population_stability(s.where("doc_id % 2 = 0"), s.where("doc_id % 2 = 1"), "s").withColumns(r6("psi"))
@@ -588,9 +621,9 @@ def tensor_matmul(spark, d):
     return out.select("row_id", *[(F.round(F.get("v", j), 5) + 0.0).alias(n) for j, n in enumerate("ab")])
 
 
-@query("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(CAST(embedding[i + 1] AS DOUBLE) * CAST(embedding[j + 1] AS DOUBLE)), 4) + 0.0 AS value FROM embeddings, (VALUES (0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)) AS k(i, j) GROUP BY 1, 2")
+@query("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(CAST(embedding[i + 1] AS DOUBLE) * CAST(embedding[j + 1] AS DOUBLE)), 4) + 0.0 AS value FROM embeddings, (SELECT unnest(range(0, 64)) AS i), (SELECT unnest(range(0, 64)) AS j) WHERE i <= j GROUP BY 1, 2")
 def tensor_gram(spark, d):
-    return tensor.gram(tensor.columns(_vectors(spark, d), [0, 1, 2])).withColumn("value", F.round("value", 4) + 0.0)
+    return tensor.gram(_vectors(spark, d)).withColumn("value", F.round("value", 4) + 0.0)
 
 
 @query("SELECT CAST(i - 1 AS INTEGER) AS i, vec_id AS j, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i)")
@@ -633,8 +666,8 @@ def cv_linear(spark, d):
 
 @query()
 def one_vs_rest(spark, d):
-    rows = t(spark, d, "embeddings").select("vec_id", "label", *[F.get("embedding", i).cast("double").alias(f"x{i}") for i in range(4)])
-    models = glm.fit_one_vs_rest(rows, [f"x{i}" for i in range(4)], "label", list(range(10)), optimizer=None)
+    rows = t(spark, d, "embeddings").select("vec_id", "label", *[F.get("embedding", i).cast("double").alias(f"x{i}") for i in range(64)])
+    models = glm.fit_one_vs_rest(rows, [f"x{i}" for i in range(64)], "label", list(range(10)), optimizer=None)
     return glm.predict_class(rows, models).select("vec_id", "predict_result")
 
 

@@ -40,6 +40,29 @@ def parallelize(spark: SparkSession, rows: list, schema: str, include_key: bool
     return df.repartition(partitions, df.columns[0])
 
 
+def read_keyed_table(
+    spark: SparkSession, path: str, header: list[str], sample_id: str = "sample_id", match_id: str | None = None, label: str | None = None, weight: str | None = None,
+    delimiter: str = ",", dtype: str | dict[str, str] = "float", label_type: str = "int", weight_type: str = "float", na_values: str | list[str] | dict[str, list[str]] | None = None, site: str = "local",
+) -> Frame:
+    """Lines of a key and delimited values, as a frame: ``header`` names the values, the key is the sample id.
+
+    ``dtype`` is the type of all features or of each (others are floats). ``na_values`` are texts that mean NULL, for
+    all columns or by column. What does not parse in its type is NULL too.
+    """
+    values = F.split(F.get(F.split("value", delimiter.replace("|", "\\|"), 2), 1), delimiter.replace("|", "\\|"), -1)
+    kinds = {c: label_type if c == label else weight_type if c == weight else "string" if c == match_id else (dtype.get(c, "float") if isinstance(dtype, dict) else dtype) for c in header}
+
+    def cell(k: int, c: str):
+        text = F.trim(F.get(values, k))
+        absent = na_values.get(c, []) if isinstance(na_values, dict) else na_values or []
+        absent = [absent] if isinstance(absent, str) else list(absent)
+        return F.when(~text.isin(["", *absent]), text).try_cast(kinds[c]).alias(c)
+
+    df = spark.read.text(path).select(F.get(F.split("value", delimiter.replace("|", "\\|"), 2), 0).alias(sample_id), *[cell(k, c) for k, c in enumerate(header)])
+    own = {sample_id, match_id, label, weight}
+    return Frame.from_spark(df, sample_id, match_id, label, weight, [c for c in header if c not in own], site)
+
+
 def read_keyed_text(spark: SparkSession, path: str) -> DataFrame:
     """Lines of "key,rest"."""
     parts = F.split("value", ",", 2)
@@ -50,7 +73,7 @@ def load(spark: SparkSession, uri: str) -> DataFrame:
     """By scheme: a Hive table (hive://database.table) or files, by their ending."""
     scheme, _, rest = uri.partition("://")
     if scheme not in SCHEMES:
-        raise NotImplementedError(f"scheme {scheme}")
+        raise ValueError(f"unknown scheme {scheme}")
     if scheme == "hive":
         return spark.table(rest.replace("/", "."))
     for ending in ("parquet", "csv", "json", "orc"):
