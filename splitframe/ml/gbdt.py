@@ -1,15 +1,22 @@
-"""Histogram gradient boosting: one grouped aggregate for each layer of a tree."""
+"""Histogram gradient boosting: one grouped aggregate for each layer of a tree.
+
+Binned features, labels and scores are written after each tree, so the plan does not grow with the trees. Of two
+children only the left one's histogram comes from rows; the other is its parent's less that.
+"""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..names import free, quoted
 from ..operators.bins import bucket, histogram
 from ..operators.quantile import at_ranks, cut_lists, quantiles
 from ..operators.sampling import numbered
+from ..storage import kept
 
 
 def gradients(objective: str, score: Column, label: Column) -> tuple[Column, Column]:
@@ -21,6 +28,18 @@ def gradients(objective: str, score: Column, label: Column) -> tuple[Column, Col
     raise ValueError(f"unknown objective {objective}")
 
 
+def softmax(scores: list[Column]) -> list[Column]:
+    top = F.greatest(*scores)
+    parts = [F.exp(s - top) for s in scores]
+    whole = sum(parts[1:], parts[0])
+    return [x / whole for x in parts]
+
+
+def class_gradients(scores: list[Column], label: Column) -> list[tuple[Column, Column]]:
+    """Of the cross-entropy of a softmax, for each class (labels 0, 1, ...)."""
+    return [(p - (label == k).cast("double"), 2 * p * (1 - p)) for k, p in enumerate(softmax(scores))]
+
+
 def goss(df: DataFrame, sample_id: str, g: str, top: float = 0.2, other: float = 0.1, by: str = "signed", seed: int = 42) -> DataFrame:
     """int(rows * top) rows of largest gradient (``by``: signed or abs) and int(rows * other) of the rest, with column ``top``.
 
@@ -28,99 +47,189 @@ def goss(df: DataFrame, sample_id: str, g: str, top: float = 0.2, other: float =
     """
     n = df.count()
     k, m = int(n * top), int(n * other)
-    d = df.withColumn("_g", (F.col(g) if by == "signed" else F.abs(g)).cast("double"))
-    found = at_ranks(d, ["_g"], lambda _, rows: [(0, max(1, rows - k + 1))]).first() if k else None
+    p = free(df)
+    own, side = f"{p}g", f"{p}side"
+    d = df.withColumn(own, (F.col(g) if by == "signed" else F.abs(g)).cast("double"))
+    found = at_ranks(d, [own], lambda _, rows: [(0, max(1, rows - k + 1))]).first() if k else None
     least = F.lit(found["value"] if found else float("inf"))
-    over = d.where(F.col("_g") > least).count()
-    d = numbered(d.withColumn("_side", F.when(F.col("_g") > least, 2).when(F.col("_g") == least, 1).otherwise(0)), sample_id, seed, ["_side"])
-    d = d.withColumn("top", (F.col("_side") == 2) | ((F.col("_side") == 1) & (F.col("_n") <= k - over))).drop("_n")
-    return numbered(d, sample_id, seed, ["top"]).where(F.col("top") | (F.col("_n") <= m)).drop("_n", "_side", "_g")
+    over = d.where(F.col(own) > least).count()
+    d = numbered(d.withColumn(side, F.when(F.col(own) > least, 2).when(F.col(own) == least, 1).otherwise(0)), sample_id, seed, [side])
+    d = d.withColumn("top", (F.col(side) == 2) | ((F.col(side) == 1) & (F.col("_n") <= k - over))).drop("_n")
+    return numbered(d, sample_id, seed, ["top"]).where(F.col("top") | (F.col("_n") <= m)).drop("_n", side, own)
 
 
-def split_gains(df: DataFrame, features: list[str], node: Column, g: Column, h: Column, l2: float = 0.1) -> DataFrame:
-    """(node, feature, bin, gain, counts) of each split "bin or below goes left", floored to 10 decimals."""
-    values = {"g": g, "h": h, "cnt": F.lit(1)}
-    c = histogram(df, features, values, node, cumulative=True)
-    w = Window.partitionBy("node", "feature").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    c = c.withColumns({f"{v}_all": F.last(v).over(w) for v in values})
+def shrunk(g, l1: float):
+    """Soft threshold of a sum of gradients; columns or numbers."""
+    if isinstance(g, Column):
+        return g if l1 == 0 else F.when(g > l1, g - l1).when(g < -l1, g + l1).otherwise(0.0)
+    return math.copysign(max(abs(g) - l1, 0.0), g)
+
+
+def floored(x):
+    return F.floor(x * 1e10) / 1e10 if isinstance(x, Column) else math.floor(x * 1e10) / 1e10
+
+
+def gains(hist: DataFrame, l1: float = 0.0, l2: float = 0.1) -> DataFrame:
+    """(node, feature, bin, gain, sums) of each split "bin or below goes left" of histograms, floored to 10 decimals."""
+    values = ["g", "h", "cnt"]
+    along = Window.partitionBy("node", "feature").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    c = hist.select("node", "feature", "bin", *[F.sum(v).over(along).alias(v) for v in values])
+    whole = Window.partitionBy("node", "feature").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    c = c.withColumns({f"{v}_all": F.last(v).over(whole) for v in values})
 
     def part(a: Column, b: Column) -> Column:
+        a, b = shrunk(floored(a), l1), floored(b)
         return F.try_divide(a * a, b + l2)
 
     gain = part(F.col("g"), F.col("h")) + part(F.col("g_all") - F.col("g"), F.col("h_all") - F.col("h")) - part(F.col("g_all"), F.col("h_all"))
-    out = c.withColumn("gain", F.floor(gain * 1e10) / 1e10).where("cnt < cnt_all")
+    out = c.withColumn("gain", floored(gain)).where("cnt < cnt_all")
     return out.select("node", "feature", "bin", "gain", "g", "h", "cnt", "g_all", "h_all", "cnt_all")
 
 
+def split_gains(df: DataFrame, features: list[str], node: Column, g: Column, h: Column, l2: float = 0.1, l1: float = 0.0) -> DataFrame:
+    return gains(histogram(df, features, {"g": g, "h": h, "cnt": F.lit(1)}, node), l1, l2)
+
+
+@dataclass
+class Limits:
+    """What a split must keep to."""
+
+    max_depth: int = 3
+    l1: float = 0.0
+    l2: float = 0.1
+    min_gain: float = 0.01
+    min_leaf: int = 1
+    min_child_weight: float = 1.0
+    min_sample_split: int = 2
+
+    def weight(self, g: float, h: float) -> float:
+        return floored(-shrunk(g, self.l1) / (h + self.l2))
+
+
 @dataclass
 class Model:
     cuts: dict[str, list[float]]
     learning_rate: float
     objective: str
     start: float
-    trees: list[dict] = field(default_factory=list)  # node: (feature, bin, left, right) or its weight
+    classes: int = 1
+    trees: list[dict] = field(default_factory=list)  # node: (feature, bin, left, right, gain) or its weight; class k has trees k, k + classes, ...
 
     def leaf(self, tree: dict, binned: dict[str, Column], node: int = 0) -> Column:
         here = tree[node]
         if not isinstance(here, tuple):
             return F.lit(float(here))
-        f, b, left, right = here
+        f, b, left, right = here[:4]
         return F.when(binned[f] <= b, self.leaf(tree, binned, left)).otherwise(self.leaf(tree, binned, right))
 
-    def score(self) -> Column:
-        binned = {f: bucket(F.col(f), c) for f, c in self.cuts.items()}
-        return sum((self.learning_rate * self.leaf(t, binned) for t in self.trees), F.lit(self.start))
+    def scores(self) -> list[Column]:
+        """Raw scores, one for each class of a multi-class model."""
+        binned = {f: bucket(F.col(quoted(f)), c) for f, c in self.cuts.items()}
+        return [sum((self.learning_rate * self.leaf(t, binned) for t in self.trees[k :: self.classes]), F.lit(self.start)) for k in range(self.classes)]
 
-    def predict(self, df: DataFrame, name: str = "predict_score") -> DataFrame:
-        s = self.score()
-        return df.withColumn(name, 1 / (1 + F.exp(-s)) if self.objective == "binary:bce" else s)
+    def probabilities(self) -> list[Column]:
+        s = self.scores()
+        return softmax(s) if self.classes > 1 else [1 / (1 + F.exp(-s[0]))] if self.objective == "binary:bce" else s
 
-    def importance(self) -> dict[str, int]:
-        out: dict[str, int] = {}
+    def predict(self, df: DataFrame, name: str = "predict_score") -> DataFrame:
+        """The probability (or value); of several classes the highest, with column ``predict_result`` for its class."""
+        p = self.probabilities()
+        if self.classes == 1:
+            return df.withColumn(name, p[0])
+        best = F.greatest(*p)
+        return df.withColumns({name: best, "predict_result": F.coalesce(*[F.when(x == best, F.lit(k)) for k, x in enumerate(p)])})
+
+    def importance(self, kind: str = "split") -> dict[str, float]:
+        """By feature the number of splits, or the sum of their gains (``gain``)."""
+        out: dict[str, float] = {}
         for tree in self.trees:
             for here in tree.values():
                 if isinstance(here, tuple):
-                    out[here[0]] = out.get(here[0], 0) + 1
+                    out[here[0]] = out.get(here[0], 0) + (1 if kind == "split" else here[4])
         return out
 
 
-def fit(df: DataFrame, features: list[str], label: str, objective: str = "binary:bce", num_trees: int = 3, max_depth: int = 3, learning_rate: float = 0.3, max_bin: int = 32, l2: float = 0.1, min_leaf: int = 1, min_gain: float = 0.01) -> Model:
-    """Trees of splits; scores and nodes are expressions over the input, so nothing is kept between layers but the trees."""
+def grow(rows: DataFrame, features: dict[str, str], g: Column, h: Column, limits: Limits) -> dict:
+    """One tree; ``features`` names the column of integer bins of each."""
+    back = {b: f for f, b in features.items()}
+    p = free(rows)
+    node_of = f"{p}node"
+    values = {"g": g, "h": h, "cnt": F.lit(1)}
+    tree: dict = {0: None}
+    at = {f: F.col(b) for f, b in features.items()}
+
+    def place(n: int = 0) -> Column:
+        """The node where a row stands."""
+        here = tree[n]
+        return F.when(at[here[0]] <= here[1], place(here[2])).otherwise(place(here[3])) if isinstance(here, tuple) else F.lit(n)
+
+    hist = kept(histogram(rows, list(back), values, F.lit(0)))
+    total = hist.where(F.col("feature") == next(iter(back))).agg(F.sum("g").alias("g"), F.sum("h").alias("h")).first()
+    tree[0] = limits.weight(total["g"] or 0.0, total["h"] or 0.0)
+    next_id = 1
+    for depth in range(limits.max_depth):
+        able = (F.col("cnt") >= limits.min_leaf) & (F.col("cnt_all") - F.col("cnt") >= limits.min_leaf)
+        able &= (F.col("h") >= limits.min_child_weight) & (F.col("h_all") - F.col("h") >= limits.min_child_weight)
+        able &= (F.col("cnt_all") >= limits.min_sample_split) & (F.col("gain") >= limits.min_gain)
+        order = Window.partitionBy("node").orderBy(F.desc("gain"), "feature", "bin")
+        best = gains(hist, limits.l1, limits.l2).where(able).withColumn("k", F.row_number().over(order)).where("k = 1").collect()  # a row for each node
+        lefts = {}
+        for r in sorted(best, key=lambda r: r["node"]):
+            left, right = next_id, next_id + 1
+            tree[r["node"]] = (back[r["feature"]], r["bin"], left, right, r["gain"])
+            tree[left] = limits.weight(r["g"], r["h"])
+            tree[right] = limits.weight(r["g_all"] - r["g"], r["h_all"] - r["h"])
+            lefts[left] = r["node"]
+            next_id += 2
+        if not lefts or depth + 1 == limits.max_depth:
+            break
+        one = histogram(rows.withColumn(node_of, place()).where(F.col(node_of).isin(list(lefts))), list(back), values, F.col(node_of))
+        one = kept(one)
+        parent_of = F.create_map(*[F.lit(x) for pair in lefts.items() for x in pair])
+        mine = one.select(parent_of[F.col("node")].alias("node"), "feature", "bin", *[F.col(v).alias(f"l_{v}") for v in values])
+        other = hist.where(F.col("node").isin(list(lefts.values()))).join(mine, ["node", "feature", "bin"], "left")
+        right_of = F.create_map(*[F.lit(x) for left, node in lefts.items() for x in (node, left + 1)])
+        other = other.select(right_of[F.col("node")].alias("node"), "feature", "bin", *[(F.col(v) - F.coalesce(f"l_{v}", F.lit(0))).alias(v) for v in values])
+        hist = kept(one.unionByName(other.where("cnt > 0")))
+    return tree
+
+
+def fit(
+    df: DataFrame, features: list[str], label: str, objective: str = "binary:bce", num_trees: int = 3, max_depth: int = 3, learning_rate: float = 0.3, max_bin: int = 32, l2: float = 0.1,
+    min_leaf: int = 1, min_gain: float = 0.01, l1: float = 0.0, min_child_weight: float = 1.0, min_sample_split: int = 2, goss_rates: tuple[float, float] | None = None,
+    sample_id: str | None = None, classes: int | None = None, seed: int = 42, callback=None,
+) -> Model:
+    """Boosted trees; ``multi:ce`` grows one for each class in a round (labels 0, 1, ...).
+
+    ``goss_rates`` (top, other) grows each tree on a one-side sample of the rows, which needs ``sample_id``.
+    ``callback(model, round)`` may return True to stop.
+    """
+    limits = Limits(max_depth, l1, l2, min_gain, min_leaf, min_child_weight, min_sample_split)
     found = quantiles(df, features, [i / max_bin for i in range(max_bin)])
-    start = float(df.agg(F.avg(label)).first()[0]) if objective == "regression:l2" else 0.0
-    model = Model(cut_lists(found, features, "q"), learning_rate, objective, start)
-    for f, c in model.cuts.items():
-        c.append(float("inf"))
-    bins = {f"_b_{f}": bucket(F.col(f), c) for f, c in model.cuts.items()}
-    base = df.withColumns(bins)
-    for _ in range(num_trees):
-        g, h = gradients(objective, model.score(), F.col(label).cast("double"))
-        tree: dict = {0: None}
-        live, next_id = [0], 1
-        at = {f: F.col(f"_b_{f}") for f in features}
-        for depth in range(max_depth + 1):
-            # Where a row stands: a leaf value is not needed, only the node's number.
-            def place(n=0):
-                here = tree[n]
-                return F.when(at[here[0]] <= here[1], place(here[2])).otherwise(place(here[3])) if isinstance(here, tuple) else F.lit(n)
-
-            gains = split_gains(base.withColumns({"_g": g, "_h": h, "_node": place()}).where(F.col("_node").isin(live)), list(bins), F.col("_node"), F.col("_g"), F.col("_h"), l2)
-            best = {r["node"]: r for r in gains.where((F.col("cnt") >= min_leaf) & (F.col("cnt_all") - F.col("cnt") >= min_leaf)).withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("gain"), "feature", "bin"))).where("k = 1").collect()}
-            sums = {n: (r["g_all"], r["h_all"]) for n, r in best.items()}
-            grown = []
-            for n in live:
-                r = best.get(n)
-                if depth < max_depth and r is not None and r["gain"] > min_gain:
-                    tree[n] = (r["feature"][3:], r["bin"], next_id, next_id + 1)
-                    for side, (a, b) in ((next_id, (r["g"], r["h"])), (next_id + 1, (r["g_all"] - r["g"], r["h_all"] - r["h"]))):
-                        tree[side] = -a / (b + l2)
-                        grown.append(side)
-                    next_id += 2
-                elif tree[n] is None:
-                    a, b = sums.get(n, (0.0, 1.0))
-                    tree[n] = -a / (b + l2)
-            live = grown
-            if not live or depth + 1 >= max_depth:
-                break
-        model.trees.append(tree)
+    start = float(df.agg(F.avg(label)).first()[0] or 0.0) if objective == "regression:l2" else 0.0
+    k = 1
+    if objective == "multi:ce":
+        k = classes or int(df.agg(F.max(label)).first()[0]) + 1
+    model = Model(cut_lists(found, features, "q"), learning_rate, objective, start, k)
+    for f in features:
+        model.cuts.setdefault(f, []).append(float("inf"))
+    bins = {f: f"b{i}" for i, f in enumerate(features)}
+    state = df.select(*[bucket(F.col(quoted(f)), model.cuts[f]).alias(b) for f, b in bins.items()], F.col(quoted(label)).cast("double").alias("y"), *([F.col(quoted(sample_id)).alias("id")] if sample_id else []), *[F.lit(start).alias(f"s{j}") for j in range(k)])
+    state = kept(state)
+    for round_ in range(num_trees):
+        scores = [F.col(f"s{j}") for j in range(k)]
+        pairs = class_gradients(scores, F.col("y")) if k > 1 else [gradients(objective, scores[0], F.col("y"))]
+        grown = []
+        for g, h in pairs:
+            rows = state.withColumns({"g0": g, "h0": h})
+            if goss_rates:
+                if sample_id is None:
+                    raise ValueError("one-side sampling needs a sample id")
+                rows = kept(goss(rows, "id", "g0", *goss_rates, seed=seed))
+            grown.append(grow(rows, bins, F.col("g0"), F.col("h0"), limits))
+        model.trees += grown
+        at = {f: F.col(b) for f, b in bins.items()}
+        state = kept(state.withColumns({f"s{j}": F.col(f"s{j}") + learning_rate * model.leaf(t, at) for j, t in enumerate(grown)}))
+        if callback is not None and callback(model, round_):
+            break
     return model

@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .optim import Optimizer, converged, rate
+from ..names import free, quoted
+from .optim import Optimizer, converged, rate, start_weights
 
 
 def gram_sums(features: list[str], label: str | None = None) -> list[Column]:
@@ -20,7 +21,8 @@ def gram(df: DataFrame, features: list[str], label: str | None = None) -> DataFr
 
 
 def gram_arrays(df: DataFrame, features: list[str], label: str) -> tuple[np.ndarray, np.ndarray, int]:
-    row = gram(df.withColumn("_one", F.lit(1.0)), [*features, "_one"], label).first()
+    one = free(df) + "one"
+    row = gram(df.withColumn(one, F.lit(1.0)), [*features, one], label).first()
     p = len(features) + 1
     g = np.array([[row[f"g_{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
     return g, np.array([row[f"b_{i}"] for i in range(p)]), int(round(g[-1, -1]))
@@ -45,20 +47,22 @@ def logistic_gradient(df: DataFrame, features: list[str], label: str, weights: d
     """
     y = F.when(F.col(label) == 1, 1.0).otherwise(-1.0)
     xw = sum((F.col(f).cast("double") * weights[f] for f in features), F.lit(weights["intercept"]))
-    d = df.withColumns({"_xw": xw, "_y": y})
-    step = F.col("_xw") / 4 - F.col("_y") / 2
+    p = free(df)
+    d = df.withColumns({f"{p}xw": xw, f"{p}y": y})
+    xw, y = F.col(f"{p}xw"), F.col(f"{p}y")
+    step = xw / 4 - y / 2
     grads = [F.avg(step * F.col(f)).alias(f"grad_{f}") for f in features]
-    loss = F.avg(F.lit(float(np.log(2))) - 0.5 * F.col("_y") * F.col("_xw") + 0.125 * F.col("_xw") * F.col("_xw"))
+    loss = F.avg(F.lit(float(np.log(2))) - 0.5 * y * xw + 0.125 * xw * xw)
     size = [F.count("*").alias("n")] if by else []
     return d.groupBy(*by).agg(*size, loss.alias("loss"), *grads, F.avg(step).alias("grad_intercept"))
 
 
-def fit_logistic(df: DataFrame, features: list[str], label: str, epochs: int = 20, lr: float = 0.15, l2: float = 0.0, tol: float = 1e-4, optimizer: Optimizer | None = None, schedule: str = "constant", early_stop: str = "diff", **rates) -> dict[str, float]:
+def fit_logistic(df: DataFrame, features: list[str], label: str, epochs: int = 20, lr: float = 0.15, l2: float = 0.0, tol: float = 1e-4, optimizer: Optimizer | None = None, schedule: str = "constant", early_stop: str = "diff", init: str = "zeros", seed: int | None = None, **rates) -> dict[str, float]:
     """Full-batch descent on the Taylor loss. Its gradient is linear in the weights, so one Gram pass serves all epochs."""
-    signed = df.withColumn("_y", F.when(F.col(label) == 1, 1.0).otherwise(-1.0))
-    g, b, n = gram_arrays(signed, features, "_y")
+    sign = free(df) + "y"
+    g, b, n = gram_arrays(df.withColumn(sign, F.when(F.col(label) == 1, 1.0).otherwise(-1.0)), features, sign)
     opt = optimizer or Optimizer("sgd", lr, "l2", l2)
-    w, last = np.zeros(len(b)), None
+    w, last = start_weights(len(features), init, seed=seed), None
     for epoch in range(epochs):
         before, w = w, opt.step(w, (g @ w / 4 - b / 2) / n, rate(schedule, epoch, **rates))
         loss = float(np.log(2) - 0.5 * b @ w / n + 0.125 * w @ g @ w / n)
@@ -68,9 +72,66 @@ def fit_logistic(df: DataFrame, features: list[str], label: str, epochs: int = 2
     return dict(zip([*features, "intercept"], map(float, w)))
 
 
+def bce_gradient(df: DataFrame, features: list[str], label: str, weights: np.ndarray, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per party (``by``): rows n, mean cross-entropy and its gradient g0, g1, ... (the intercept last); labels 0 and 1."""
+    xw = sum((F.col(quoted(f)).cast("double") * float(w) for f, w in zip(features, weights)), F.lit(float(weights[-1])))
+    y = (F.col(quoted(label)) == 1).cast("double")
+    loss = F.greatest(xw, F.lit(0.0)) - xw * y + F.log1p(F.exp(-F.abs(xw)))
+    step = 1 / (1 + F.exp(-xw)) - y
+    grads = [F.avg(step * F.col(quoted(f))).alias(f"g{i}") for i, f in enumerate(features)] + [F.avg(step).alias(f"g{len(features)}")]
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(loss).alias("loss"), *grads)
+
+
+def aggregated(values: np.ndarray, sizes: np.ndarray, method: str = "weighted_mean") -> np.ndarray:
+    """Party models (a row each) made one: their mean, their sum, or their mean by rows."""
+    if method == "mean":
+        return values.mean(axis=0)
+    if method == "sum":
+        return values.sum(axis=0)
+    if method == "weighted_mean":
+        return (values * sizes[:, None]).sum(axis=0) / sizes.sum()
+    raise ValueError(f"unknown method {method}")
+
+
+def fit_homo_logistic(
+    df: DataFrame, features: list[str], label: str, party: str, rounds: int = 20, lr: float = 0.1, optimizer: str = "sgd", penalty: str | None = None, alpha: float = 0.0, aggregator: str = "weighted_mean",
+    init: str = "zeros", seed: int | None = None, schedule: str = "constant", tol: float = 0.0, callbacks: tuple = (), **rates,
+) -> dict[str, float]:
+    """Rounds of federated averaging: each party takes a step on its own rows' cross-entropy, then the models are aggregated.
+
+    A round is one grouped aggregate over the data, a row for each party; ``df`` is read each time, so keep what it is made from.
+    """
+    w, last = start_weights(len(features), init, seed=seed), None
+    own: dict = {}
+    for c in callbacks:
+        c.on_train_begin(dict(zip([*features, "intercept"], map(float, w))))
+    for step in range(rounds):
+        for c in callbacks:
+            c.on_round_begin(dict(zip([*features, "intercept"], map(float, w))), step)
+        found = bce_gradient(df, features, label, w, (party,)).orderBy(party).collect()
+        sizes = np.array([r["n"] for r in found], float)
+        models = []
+        for r in found:
+            opt = own.setdefault(r[party], Optimizer(optimizer, lr, penalty, alpha))
+            models.append(opt.step(w, np.array([r[f"g{i}"] for i in range(len(w))]), rate(schedule, step, **rates)))
+        w = aggregated(np.array(models), sizes, aggregator)
+        loss = float((np.array([r["loss"] for r in found]) * sizes).sum() / sizes.sum())
+        model = dict(zip([*features, "intercept"], map(float, w)))
+        for c in callbacks:
+            c.on_round_end(model, step, {"loss": loss})
+        if any(c.need_stop() for c in callbacks) or (tol and last is not None and abs(loss - last) < tol):
+            break
+        last = loss
+    model = dict(zip([*features, "intercept"], map(float, w)))
+    for c in callbacks:
+        c.on_train_end(model)
+    return model
+
+
 def fit_one_vs_rest(df: DataFrame, features: list[str], label: str, classes: list, **options) -> dict:
     """A logistic model for each of a few classes, against all others."""
-    return {c: fit_logistic(df.withColumn("_is", (F.col(label) == c).cast("int")), features, "_is", **options) for c in classes}
+    own = free(df) + "is"
+    return {c: fit_logistic(df.withColumn(own, (F.col(label) == c).cast("int")), features, own, **options) for c in classes}
 
 
 def predict_class(df: DataFrame, models: dict, name: str = "predict_result") -> DataFrame:
