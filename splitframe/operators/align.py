@@ -1,6 +1,6 @@
 """Row alignment of several parties by match id, with the semantics of a private set intersection.
 
-Tokens are salted hashes of ids. They keep ids out of the exchanged table, but a party that can
+With a salt, tokens are salted hashes of ids. They keep ids out of the exchanged table, but a party that can
 guess ids can test them; this is alignment, not a cryptographic protocol.
 """
 
@@ -9,28 +9,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def token(match_id: str, salt: str = ""):
-    return F.sha2(F.concat(F.lit(salt), F.lit(":"), F.col(match_id).cast("string")), 256)
+from ..names import free, quoted
 
 
-def check_host(host: DataFrame, match_id: str) -> None:
-    """A host's match ids are unique; a guest's may repeat."""
-    if not host.groupBy(match_id).count().where("count > 1").isEmpty():
-        raise ValueError("duplicate match_id in a host table")
+def token(match_id: str, salt: str = ""):
+    """32 bytes that stand for an id."""
+    return F.unhex(F.sha2(F.concat(F.lit(salt), F.lit(":"), F.col(quoted(match_id)).cast("string")), 256))
 
 
-def align(guest: DataFrame, hosts: list[tuple[DataFrame, str]], sample_id: str, match_id: str, salt: str = "", check: bool = True) -> DataFrame:
+def align(guest: DataFrame, hosts: list[tuple[DataFrame, str]], sample_id: str, match_id: str, salt: str | None = None, check: bool = True) -> DataFrame:
     """Guest rows whose id all hosts have, with the guest's sample id; host columns follow their order.
 
-    hosts: (table, match id column) each. Column names must differ between parties.
+    hosts: (table, match id column) each. Column names must differ between parties. With a ``salt``, rows meet by salted
+    hashes of ids; without one, the parties are in one domain of trust and rows meet by the ids. A guest's match ids may repeat;
+    one that a host repeats is an error, found in the shuffle that the join needs anyway.
     """
-    out = guest.withColumn("_token", token(match_id, salt))
+    p = free(guest, *(t for t, _ in hosts))
+    key = f"{p}key"
+    out = guest.withColumn(key, F.col(quoted(match_id)) if salt is None else token(match_id, salt))
     for table, own in hosts:
+        theirs = table.withColumn(key, F.col(quoted(own)) if salt is None else token(own, salt)).drop(own)
         if check:
-            check_host(table, own)
-        out = out.join(table.withColumn("_token", token(own, salt)).drop(own), "_token")
-    return out.drop("_token")
+            values = [c for c in theirs.columns if c != key]
+            one = theirs.groupBy(key).agg(F.first(F.struct(*map(quoted, values)) if values else F.lit(None)).alias(f"{p}v"), F.count("*").alias(f"{p}n"))
+            single = F.when(F.col(f"{p}n") > 1, F.raise_error(F.lit("duplicate match_id in a host table")).cast("boolean")).otherwise(F.col(key).isNotNull())
+            theirs = one.where(single).select(key, *([f"{p}v.*"] if values else []))
+        out = out.join(theirs, key)
+    return out.drop(key)
 
 
 def summary(guest: DataFrame, aligned: DataFrame) -> DataFrame:

@@ -1,27 +1,45 @@
 """Samples, splits and folds in a reproducible order: by the MD5 of seed and id.
 
-Rows are numbered by counting short digest prefixes first, so no task sorts all rows.
+Rows are numbered by counting digest prefixes first, so no task sorts all rows; the prefixes get longer with the table.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..names import free, quoted
+
 
 def key(seed: int, sample_id: str):
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(sample_id).cast("string")))
 
 
-def numbered(df: DataFrame, sample_id: str, seed: int, by: list[str] | None = None) -> DataFrame:
-    """``df`` with its row number ``_n`` from 1 in digest order, within each group of ``by``."""
-    by = by or []
-    d = df.withColumn("_k", key(seed, sample_id)).withColumn("_p", F.substring("_k", 1, 3))
-    sizes = d.groupBy(*by, "_p").count()
-    before = sizes.withColumn("_before", F.sum("count").over(Window.partitionBy(*by, F.lit(0)).orderBy("_p")) - F.col("count")).drop("count")
-    w = Window.partitionBy(*by, "_p").orderBy("_k", sample_id)
-    joined = d.join(before, [*by, "_p"])
-    return joined.withColumn("_n", F.row_number().over(w) + F.col("_before")).drop("_k", "_p", "_before")
+#: Rows that one digest prefix is meant to hold.
+ROWS_IN_PREFIX = 100_000
+
+
+def numbered(df: DataFrame, sample_id: str, seed: int, by: list[str] | None = None, name: str = "_n") -> DataFrame:
+    """``df`` with its row number ``name`` from 1 in digest order, within each group of ``by``."""
+    by, p = by or [], free(df)
+    digest, prefix, before_, many = f"{p}k", f"{p}p", f"{p}b", f"{p}c"
+    d = df.withColumn(digest, key(seed, sample_id))
+    digits = max(3, math.ceil(math.log(max(1, df.count()) / ROWS_IN_PREFIX + 1, 16)))
+    d = d.withColumn(prefix, F.substring(digest, 1, digits))
+    coarse = d.groupBy(*by, F.substring(prefix, 1, digits - 2).alias(f"{p}q"), prefix).agg(F.count("*").alias(many))
+    # Two steps, so that no window runs over all prefixes.
+    outer = coarse.groupBy(*by, f"{p}q").agg(F.sum(many).alias(f"{p}s"))
+    outer = outer.withColumn(f"{p}o", F.sum(f"{p}s").over(Window.partitionBy(*by, F.lit(0)).orderBy(f"{p}q")) - F.col(f"{p}s")).drop(f"{p}s")
+    inner = coarse.withColumn(f"{p}i", F.sum(many).over(Window.partitionBy(*by, f"{p}q").orderBy(prefix)) - F.col(many))
+    same = [F.col(f"x.{quoted(c)}").eqNullSafe(F.col(f"y.{quoted(c)}")) for c in [*by, f"{p}q"]]
+    before = inner.alias("x").join(outer.alias("y"), reduce(lambda a, b: a & b, same)).select(*[F.col(f"x.{quoted(c)}") for c in [*by, prefix]], (F.col(f"{p}o") + F.col(f"{p}i")).alias(before_))
+    w = Window.partitionBy(*by, prefix).orderBy(digest, sample_id)
+    same = [F.col(f"x.{quoted(c)}").eqNullSafe(F.col(f"y.{quoted(c)}")) for c in [*by, prefix]]
+    joined = d.alias("x").join(before.alias("y"), reduce(lambda a, b: a & b, same)).select(*[F.col(f"x.{quoted(c)}") for c in d.columns], before_)
+    return joined.withColumn(name, F.row_number().over(w) + F.col(before_)).drop(digest, prefix, before_)
 
 
 def sample(df: DataFrame, sample_id: str, n: int | None = None, frac: float | None = None, seed: int = 42) -> DataFrame:
@@ -30,8 +48,10 @@ def sample(df: DataFrame, sample_id: str, n: int | None = None, frac: float | No
         raise ValueError("give n or frac")
     if frac is not None and frac > 1:
         raise ValueError("frac is at most 1 without replacement")
-    n = max(1, int(df.count() * frac)) if n is None else n
-    return df.orderBy(key(seed, sample_id), sample_id).limit(n)
+    if frac is None:
+        return df.orderBy(key(seed, sample_id), sample_id).limit(n)
+    n = max(1, int(df.count() * frac))
+    return numbered(df, sample_id, seed).where(F.col("_n") <= n).drop("_n")  # a share may be most rows
 
 
 def resample(df: DataFrame, sample_id: str, n: int, seed: int = 42) -> DataFrame:
@@ -87,15 +107,29 @@ def split(df: DataFrame, sample_id: str, train, validate, test, seed: int = 42,
     return numbered(df, sample_id, seed, [label]).withColumn("split", out).drop("_n")
 
 
-def k_fold(df: DataFrame, sample_id: str, n_splits: int, seed: int = 42) -> DataFrame:
-    """``df`` with column ``fold`` from 0; the first (rows % n_splits) folds have one row more."""
+def in_order(df: DataFrame, sample_id: str, name: str = "_n") -> DataFrame:
+    """``df`` with its row number from 1 by ascending sample id: ranges of ids are counted first."""
+    p = free(df)
+    d = df.repartitionByRange(quoted(sample_id)).sortWithinPartitions(quoted(sample_id)).withColumn(f"{p}m", F.monotonically_increasing_id())
+    d = d.withColumn(f"{p}part", F.shiftright(f"{p}m", 33)).withColumn(f"{p}at", F.col(f"{p}m").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = d.groupBy(f"{p}part").agg(F.count("*").alias(f"{p}c"))  # a row for each range
+    before = sizes.select(f"{p}part", (F.sum(f"{p}c").over(Window.partitionBy(F.lit(0)).orderBy(f"{p}part")) - F.col(f"{p}c")).alias(f"{p}b"))
+    return d.join(F.broadcast(before), f"{p}part").withColumn(name, F.col(f"{p}at") + F.col(f"{p}b") + 1).select(*[quoted(c) for c in df.columns], name)
+
+
+def k_fold(df: DataFrame, sample_id: str, n_splits: int, seed: int = 42, shuffle: bool = True) -> DataFrame:
+    """``df`` with column ``fold`` from 0; the first (rows % n_splits) folds have one row more.
+
+    Folds are runs of rows in digest order, or without ``shuffle`` in the order of the sample ids.
+    """
     if n_splits < 2:
         raise ValueError("at least two folds")
     size, extra = divmod(df.count(), n_splits)
     i = F.col("_n") - 1
     cut = extra * (size + 1)
     fold = F.when(i < cut, F.floor(i / (size + 1))).otherwise(extra + F.floor((i - cut) / max(size, 1)))
-    return numbered(df, sample_id, seed).withColumn("fold", fold.cast("int")).drop("_n")
+    placed = numbered(df, sample_id, seed) if shuffle else in_order(df, sample_id)
+    return placed.withColumn("fold", fold.cast("int")).drop("_n")
 
 
 def batches(df: DataFrame, sample_id: str, batch_size: int, seed: int = 42) -> DataFrame:

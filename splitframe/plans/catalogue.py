@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import components
 from ..frame import Frame
 from ..functions import evaluate
 from ..ml import gbdt, glm, tensor, validate
@@ -524,10 +525,10 @@ def lr_taylor_step(spark, d):
     return glm.logistic_gradient(_scored(spark, d), ["s"], "y", {"s": 0.5, "intercept": 0.1}).withColumns(r6("loss", "grad_s", "grad_intercept"))
 
 
-@query("SELECT CAST(i - 1 AS INTEGER) AS col, round(sum(x), 4) AS sum, round(avg(x), 6) AS mean, round(var_samp(x), 6) AS var, round(min(x), 6) AS min, round(max(x), 6) AS max FROM (SELECT unnest(range(1, len(embedding) + 1)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY 1")
+@query("SELECT CAST(i - 1 AS INTEGER) AS col, round(sum(x), 4) AS sum, round(avg(x), 6) AS mean, round(var_samp(x), 6) AS var, round(stddev_samp(x), 6) AS std, round(min(x), 6) AS min, round(max(x), 6) AS max FROM (SELECT unnest(range(1, len(embedding) + 1)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY 1")
 def tensor_columns(spark, d):
     e = t(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("v"))
-    return tensor.by_column(e).withColumns(r6("mean", "var", "min", "max")).withColumn("sum", F.round("sum", 4))
+    return tensor.by_column(e).withColumns(r6("mean", "var", "std", "min", "max")).withColumn("sum", F.round("sum", 4))
 
 
 @query("SELECT vec_id AS row_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 5) AS sum FROM embeddings")
@@ -671,6 +672,123 @@ def one_vs_rest(spark, d):
     return glm.predict_class(rows, models).select("vec_id", "predict_result")
 
 
+# Functions of rows, values and partitions
+@query("SELECT 'c' || c_nationkey || '-' || c_custkey AS key, round(c_acctbal * 2 + 1, 2) AS v FROM customer")
+def kv_map_rows(spark, d):
+    c = t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    return kv.map_rows(c, lambda r: (f"c{r['c_nationkey']}-{r['c_custkey']}", round(r["c_acctbal"] * 2 + 1, 2)), "key string, v double")
+
+
+@query("SELECT c_custkey AS k, CAST(c_acctbal >= 0 AS INTEGER) AS sign, round(abs(c_acctbal), 2) AS v FROM customer")
+def kv_map_values_function(spark, d):
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("k"), "c_acctbal")
+    return kv.map_values_with(c, "k", lambda r: (int(r["c_acctbal"] >= 0), round(abs(r["c_acctbal"]), 2)), "sign int, v double")
+
+
+@query("SELECT o_orderkey AS k FROM orders WHERE length(o_orderstatus) + o_custkey % 5 > 3")
+def kv_filter_function(spark, d):
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), "o_orderstatus", "o_custkey")
+    return kv.filter_with(o, lambda r: len(r["o_orderstatus"]) + r["o_custkey"] % 5 > 3).select("k")
+
+
+@query("SELECT o_orderkey AS k, unnest(range(0, CAST(o_custkey % 3 AS BIGINT))) AS v FROM orders")
+def kv_flat_map_function(spark, d):
+    o = t(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return kv.flat_map_with(o, lambda r: ((r["o_orderkey"], i) for i in range(r["o_custkey"] % 3)), "k long, v long")
+
+
+@query("SELECT o_custkey % 11 AS k, sum(o_orderkey) + max(length(o_orderstatus)) - max(length(o_orderstatus)) AS v FROM orders GROUP BY 1")
+def kv_map_reduce_partitions(spark, d):
+    o = t(spark, d, "orders").select("o_custkey", "o_orderkey")
+    return kv.map_reduce_partitions(o, lambda r: [(r["o_custkey"] % 11, r["o_orderkey"])], lambda a, b: a + b, "k long, v long")
+
+
+@query("SELECT o_orderkey AS k, o_totalprice * 2 AS v FROM orders")
+def kv_map_partitions(spark, d):
+    def twice(frames):
+        for f in frames:
+            yield f.assign(v=f["v"] * 2)
+
+    return kv.map_partitions(t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v")), twice, "k long, v double")
+
+
+@query("SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(v), 2) AS v FROM (SELECT count(*) AS n, sum(o_totalprice) AS v FROM orders)")
+def kv_apply_partitions(spark, d):
+    one = kv.apply_partitions(t(spark, d, "orders"), {"n": F.count("*"), "v": F.sum("o_totalprice")})
+    return one.agg(F.sum("n").alias("n"), F.round(F.sum("v"), 2).alias("v"))
+
+
+@query(_SIDES + "SELECT coalesce(l.k, r.k) AS k, CASE WHEN l.k IS NULL THEN -r.v ELSE l.v END AS v FROM l FULL JOIN r ON l.k = r.k WHERE l.k IS NULL OR r.k IS NULL")
+def kv_sorted_merge(spark, d):
+    return kv.sorted_merge(*_sides(spark, d), "k", left_only=lambda a: a, right_only=lambda b: -b)
+
+
+@query("SELECT p_partkey, p_size + length(p_brand) AS a, p_size % 7 AS b FROM part")
+def apply_row_function(spark, d):
+    f = part_frame(spark, d, ["p_size", "p_brand"])
+    return f.apply_row(lambda r: (r["p_size"] + len(r["p_brand"]), r["p_size"] % 7), "x long, y long", columns=["a", "b"]).df
+
+
+@query("SELECT p_partkey, p_retailprice AS price, p_size AS label FROM part")
+def label_assigned(spark, d):
+    f = part_frame(spark, d, ["p_retailprice"]).rename({"p_retailprice": "price"})
+    return f.with_role("label", part_frame(spark, d, ["p_size"])).df
+
+
+@query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_retailprice FROM part")
+def promoted_types(spark, d):
+    return part_frame(spark, d, ["p_size", "p_retailprice"]).promoted().df
+
+
+@query("SELECT p_partkey AS row_id, unnest([CAST(p_size AS DOUBLE), p_retailprice]) AS x FROM part")
+def frame_as_tensor(spark, d):
+    return part_frame(spark, d, ["p_size", "p_retailprice"]).as_tensor().select("row_id", F.explode("v").alias("x"))
+
+
+# Components
+@query("SELECT p_partkey, round((p_size - a) / (b - a) * 4 - 2, 6) AS p_size, p_retailprice FROM part, (SELECT min(p_size) AS a, max(p_size) AS b FROM part)")
+def component_scale(spark, d):
+    made = components.create("feature_scale", method="min_max", scale_col=["p_size"], feature_range={"p_size": (-2, 2)})
+    return made.train(part_frame(spark, d, ["p_size", "p_retailprice"])).df.withColumns(r6("p_size"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size IS NULL THEN NULL ELSE CAST(p_size > 10 AS INTEGER) + CAST(p_size > 30 AS INTEGER) END AS p_size, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INTEGER) AS p_brand FROM part")
+def component_binning_manual(spark, d):
+    made = components.create("feature_binning", method="manual", bin_col=["p_size"], category_col=["p_brand"], split_pt_dict={"p_size": [10, 30, 50]}, transform_method="bin_idx")
+    return made.train(part_frame(spark, d, ["p_size", "p_brand"])).df
+
+
+@query("WITH k AS (" + _sql["kfold5"] + "), j AS (SELECT fold, o_totalprice AS y, o_custkey AS x FROM k JOIN orders USING (o_orderkey)), w AS (SELECT f.fold, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS fold) f JOIN j ON j.fold <> f.fold GROUP BY 1) SELECT j.fold, 'rmse' AS metric, round(sqrt(avg(pow(y - a * x - b, 2))), 2) AS value FROM j JOIN w USING (fold) GROUP BY 1")
+def component_cross_validation(spark, d):
+    f = Frame.from_spark(t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey", label="o_totalprice")
+    return components.create("linear_regression").cross_validation(f, 5).where("metric = 'rmse'").withColumn("value", F.round("value", 2))
+
+
+# Tensors that meet
+@query("SELECT vec_id AS row_id, CAST(i - 1 AS INTEGER) AS col, round(CAST(embedding[i] AS DOUBLE) - CAST(embedding[1] AS DOUBLE), 6) + 0.0 AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i)")
+def tensor_broadcast(spark, d):
+    v = _vectors(spark, d)
+    return tensor.binary(v, tensor.columns(v, [0]), "sub").select("row_id", F.posexplode("v").alias("col", "x")).withColumn("x", F.round("x", 6) + 0.0)
+
+
+@query("SELECT vec_id AS row_id, CAST(i - 1 AS INTEGER) AS col, CAST(round(CAST(embedding[i] AS DOUBLE) * 1024) AS BIGINT) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i)")
+def tensor_fixed_point(spark, d):
+    return tensor.fixed_point(_vectors(spark, d), 10).select("row_id", F.posexplode("v").alias("col", "x"))
+
+
+@query("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(CAST(embedding[i + 1] AS DOUBLE) * CAST(embedding[j + 1] AS DOUBLE)), 4) + 0.0 AS x FROM embeddings, (SELECT unnest(range(0, 64)) AS i), (SELECT unnest(range(0, 64)) AS j) GROUP BY 1, 2")
+def tensor_matmul_distributed(spark, d):
+    v = _vectors(spark, d)
+    across = tensor.coordinates(v, transposed=True)  # the transpose, whose rows are as long as the table
+    met = across.join(v.select(F.col("row_id").alias("j"), "v"), "j").select("i", "x", F.posexplode("v").alias("j", "y"))
+    return met.groupBy("i", "j").agg((F.round(F.sum(F.col("x") * F.col("y")), 4) + 0.0).alias("x"))
+
+
+@query("SELECT vec_id // 100 AS shard, CAST(i - 1 AS INTEGER) AS col, round(sum(CAST(embedding[i] AS DOUBLE)), 5) + 0.0 AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2")
+def tensor_shards(spark, d):
+    return tensor.map_reduce(_vectors(spark, d), lambda v: v, "add", 100).withColumn("x", F.round("x", 5) + 0.0)
+
+
 # Extensions: the reference has no event-time operators.
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def ext_tumbling(spark, d):
