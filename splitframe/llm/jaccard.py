@@ -12,7 +12,7 @@ fragments; for a candidate pair the overlap is counted in each fragment separate
    * In turns, all sets of a prefix n-gram meet its hubs: those with the least n-grams of their own,
      the middle of a group of near copies. Verified pairs join components; pairs within one need no
      test. A hub that all have met leaves the n-gram. Each turn has four times the hubs of the last.
-   * As soon as the pairs that are left are no more than MEET times the prefix n-grams, they all meet.
+   * As soon as the pairs that are left are no more than MEET times the prefix n-grams of the first turn, they all meet.
      No component loses a link, and no step makes more rows than a fixed multiple of its input.
 4. Overlaps of pairs are counted per fragment, summed per pair, and the exact test is on integers.
 
@@ -185,12 +185,13 @@ def _ready(shared: DataFrame, percent: int) -> DataFrame:
 
 
 def linked(pairs: DataFrame, segments: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of ``pairs`` (a, b) that link, with their overlap: counted per fragment, then summed."""
+    """Those of ``pairs`` (a, b and any other columns) that link, with their overlap: counted per fragment, then summed."""
+    own = pairs.columns
     left = segments.select(F.col("id").alias("a"), F.col("n").alias("na"), "fragment", F.col("grams").alias("x"))
     right = segments.select(F.col("id").alias("b"), F.col("n").alias("nb"), "fragment", F.col("grams").alias("y"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("o"))
-    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("overlap"))
-    return total.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b", "overlap")
+    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select(*own, "na", "nb", F.size(F.array_intersect("x", "y")).alias("o"))
+    total = partial.groupBy(*own, "na", "nb").agg(F.sum("o").alias("overlap"))
+    return total.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select(*own, "overlap")
 
 
 def _segments(sets: DataFrame, fragments: int) -> DataFrame:
@@ -209,46 +210,55 @@ def _segments(sets: DataFrame, fragments: int) -> DataFrame:
     return saved(sets.select("id", "n", F.posexplode(pieces).alias("fragment", "grams")).where(F.size("grams") > 0), "jaccard-segments")
 
 
-def _links(sets: DataFrame, percent: int, fragments: int, meet: int = MEET) -> DataFrame:
-    """Links (a, b) among ``sets`` (id, n, grams in global order) that join all that is linked; links within a component may be left out."""
+def _linked_sets(sets: DataFrame, percent: int, fragments: int, meet: float = MEET) -> DataFrame:
+    """(id, component) of each of ``sets`` (id, n, grams in global order) that links another one."""
     # The prefix of the global order: what stands in one set only comes first, and is left out.
     need = F.ceil(F.col("n") * percent / 100)
     heads = sets.select("id", "n", F.size("grams").alias("left"), F.slice("grams", F.lit(1), (F.size("grams") - need + 1).cast("int")).alias("head"))
     segments = _segments(sets, fragments)
-    entries = heads.select("id", "n", "left", F.posexplode("head").alias("at", "gram")).select("gram", "id", "n", (F.col("left") - F.col("at")).alias("rest"), (1 - F.col("left") / F.col("n")).alias("own"))
+    entries = heads.select("id", "n", "left", F.posexplode("head").alias("at", "gram")).select("gram", "id", "n", (F.col("left") - F.col("at")).alias("rest"), (1 - F.col("left") / F.col("n")).alias("own"), F.col("id").alias("label"))
 
     def may_link(a, b, rest_a, rest_b):
         """Whether sets of a and b n-grams can link when the first n-gram in both has so many from it on."""
         return (100 + percent) * F.least(rest_a, rest_b) >= percent * (a + b)
 
-    links = sets.sparkSession.createDataFrame([], "a long, b long")
-    labels, hubs, before = None, 1, []
+    labels, hubs, before, limit = None, 1, [], None
     while True:
-        tagged = entries.withColumn("label", F.col("id"))
-        if labels is not None:
-            tagged = entries.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
         # Of an n-gram, what can't link any set of another component there goes.
-        about = tagged.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"), F.max("rest").alias("most")).where("low < high")
-        open_ = saved(tagged.join(about, "gram").where(may_link(F.col("n"), F.col("least"), F.col("rest"), F.col("most"))).select("gram", "id", "n", "rest", "own", "label"), "jaccard-open")
+        about = entries.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"), F.max("rest").alias("most")).where("low < high")
+        open_ = saved(entries.join(about, "gram").where(may_link(F.col("n"), F.col("least"), F.col("rest"), F.col("most"))).select("gram", "id", "n", "rest", "own", "label"), "jaccard-open")
         shares = open_.groupBy("gram", "label").agg(F.count("*").cast("double").alias("k")).groupBy("gram").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("within"))
         size, pairs_left = shares.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum(F.col("k") * F.col("k") - F.col("within")) / 2, F.lit(0))).first()
-        last = pairs_left <= meet * size
+        limit = meet * size if limit is None else limit
+        last = pairs_left <= limit
         meeting = open_
         if not last:
             rank = F.row_number().over(Window.partitionBy("gram").orderBy("own", F.xxhash64("id"), "id"))
             meeting = saved(open_.withColumn("rank", rank).where(F.col("rank") <= hubs).drop("rank"), "jaccard-hubs")
-        other = meeting.select("gram", F.col("id").alias("b"), F.col("n").alias("m"), F.col("rest").alias("rest_b"), F.col("label").alias("to"))
+        other = meeting.select("gram", F.col("id").alias("other"), F.col("n").alias("m"), F.col("rest").alias("rest_other"), F.col("label").alias("to"))
         apart = F.col("label") < F.col("to") if last else F.col("label") != F.col("to")
-        pairs = open_.join(other, "gram").where(apart & may_link(F.col("n"), F.col("m"), F.col("rest"), F.col("rest_b"))).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-        new = saved(linked(pairs, segments, percent).select("a", "b"), "jaccard-links")
-        links = links.unionAll(new)
+        met = open_.join(other, "gram").where(apart & may_link(F.col("n"), F.col("m"), F.col("rest"), F.col("rest_other")))
+        first = F.col("id") < F.col("other")
+        of = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+        pairs = met.select(of("id", "other").alias("a"), of("other", "id").alias("b"), of("label", "to").alias("of_a"), of("to", "label").alias("of_b")).distinct()
+        new = saved(linked(pairs, segments, percent).select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct(), "jaccard-links")
         discard(*before)
+        before = [open_, meeting, new] if not last else [open_, new]
+        if not new.isEmpty():  # links between components, which become one
+            joined = components(new).withColumnRenamed("node", "was")
+            if labels is None:
+                labels = joined.withColumnRenamed("was", "id")
+            else:
+                moved = labels.withColumnRenamed("component", "was").join(joined, "was", "left").select("id", F.coalesce("component", "was").alias("component"))
+                alone = joined.join(labels.select(F.col("id").alias("was")), "was", "left_anti").withColumnRenamed("was", "id")
+                labels = saved(moved.unionByName(alone), "jaccard-labels")
         if last:
-            discard(open_, segments)
-            return links
-        labels = components(links)
-        entries = open_.drop("label").join(meeting.select("gram", "id"), ["gram", "id"], "left_anti")
-        before, hubs = [open_, meeting], hubs * 4
+            discard(*before, segments)
+            return labels if labels is not None else sets.select("id", F.col("id").alias("component")).limit(0)
+        entries = open_.join(meeting.select("gram", "id"), ["gram", "id"], "left_anti")
+        if labels is not None:
+            entries = entries.drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+        hubs *= 4
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, fragments: int = FRAGMENTS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
@@ -261,8 +271,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     classes = ready.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("first"), F.min(speaker).alias("speaker"))
     classes = saved(classes.select("a", "b", "n", "first", F.col("speaker.row").alias("id")), "jaccard-classes")
     sets = saved(ready.where("grams is not null").withColumnRenamed("row", "id").join(classes.select("id"), "id", "left_semi").select("id", "n", "grams"), "jaccard-sets")
-    links = _links(sets, percent, fragments)
-    member = classes.where("id is not null").join(components(links).withColumnRenamed("node", "id"), "id").select("a", "b", "n", "first", "component")
+    member = classes.where("id is not null").join(_linked_sets(sets, percent, fragments), "id").select("a", "b", "n", "first", "component")
     smallest = member.groupBy("component").agg(F.min("first").alias("smallest"))
     named_class = saved(member.join(smallest, "component").select("a", "b", "n", "smallest"), "jaccard-members")
     classed = classes.select("a", "b", "n", "first").join(named_class, ["a", "b", "n"], "left").select("a", "b", "n", F.coalesce("smallest", "first").alias("class"))
