@@ -4,8 +4,9 @@
 its allowed range; ``apply_rules`` compiles both into projections over the scan. No row is moved.
 
 Edge cases: null text is the empty text, which has no words, so it fails ``n_words``. A ratio whose
-divisor is 0 counts as 0. Repeated rows are judged one by one; extra columns are kept by
-``apply_rules`` and dropped by ``quality_report``. Windows are compared by 64-bit hashes within one
+divisor is 0 counts as 0. Repeated rows and rows without id are judged one by one; an empty table gives none. Whole
+texts count, however long (the arrays of one row's words and windows are in memory). Extra columns are kept by
+``apply_rules``, whatever their names, and dropped by ``quality_report``. Windows are compared by 64-bit hashes within one
 text.
 """
 
@@ -28,7 +29,7 @@ RULES: tuple[tuple[str, str, str | None, float | None, float | None], ...] = (
     ("words", "n_words", None, 20, None),
     ("mean_word_length", "word_chars", "n_words", 2, 20),
     ("symbols_per_word", "n_symbols", "n_words", None, 0.25),
-    ("stop_words", "n_stop_words", None, 2, None),
+    ("stop_words", "n_stop_words", "n_words", 0.05, None),
     ("upper_case", "n_upper", "word_chars", None, 0.4),
     ("duplicate_lines", "n_dup_lines", "n_lines", None, 0.6),
     ("repeated_words", "n_repeat_words", "n_words", None, 0.3),
@@ -56,25 +57,24 @@ def with_measures(docs: DataFrame, text: str = "text", prefix: str = "") -> Data
         }
     )
     w, x = F.col(f"{p}_words"), F.col(f"{p}_lines")
-    stop = F.array(*[F.lit(s) for s in dict.fromkeys(STOP_WORDS)])
     d = d.withColumns(
         {
             f"{p}n_words": F.size(w).cast("long"),
             f"{p}n_lines": F.size(x).cast("long"),
             f"{p}n_dup_lines": (F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            f"{p}n_stop_words": F.size(F.array_intersect(F.transform(w, F.lower), stop)).cast("long"),
-            f"{p}_windows": F.when(
-                F.size(w) >= WINDOW,
-                F.array_sort(
-                    F.transform(
-                        F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)),
-                        lambda i: F.struct(F.xxhash64(F.slice(w, i, WINDOW)).alias("h"), i.alias("i")),
-                    )
-                ),
-            ).otherwise(F.expr("cast(array() as array<struct<h:bigint,i:int>>)")),
+            f"{p}n_stop_words": F.size(F.filter(w, lambda x: F.lower(x).isin(list(dict.fromkeys(STOP_WORDS))))).cast("long"),
+            f"{p}_hashes": F.transform(w, lambda x: F.xxhash64(x)),
         }
     )
-    s = F.col(f"{p}_windows")
+    h = F.col(f"{p}_hashes")
+    windows = F.transform(F.sequence(F.lit(1), F.size(h) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(h, i, WINDOW)))
+    d = d.withColumn(f"{p}_windows", F.when(F.size(h) >= WINDOW, windows).otherwise(F.expr("cast(array() as array<bigint>)")))
+    v = F.col(f"{p}_windows")
+    # Only texts that hold a window twice need to know which ones.
+    placed = F.array_sort(F.transform(v, lambda x, i: F.struct(x.alias("h"), (i + 1).alias("i"))))
+    none = F.expr("cast(array() as array<struct<h:bigint,i:int>>)")
+    d = d.withColumn(f"{p}_placed", F.when(F.size(F.array_distinct(v)) < F.size(v), placed).otherwise(none))
+    s = F.col(f"{p}_placed")
     twice = F.filter(
         s,
         lambda e, k: (
@@ -89,7 +89,7 @@ def with_measures(docs: DataFrame, text: str = "text", prefix: str = "") -> Data
         lambda a, b: a + b,
     )
     d = d.withColumn(f"{p}n_repeat_words", covered)
-    return d.drop(*[f"{p}{c}" for c in ("_words", "_lines", "_windows", "_at")])
+    return d.drop(*[f"{p}{c}" for c in ("_words", "_lines", "_hashes", "_windows", "_placed", "_at")])
 
 
 def base_failed(prefix: str = "") -> Column:

@@ -77,7 +77,7 @@ WITH t AS (
          CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
          CAST(len(lines) AS BIGINT) AS n_lines,
-         CAST(len(list_intersect(list_transform(w, lambda x: lower(x)), [{stops}])) AS BIGINT) AS n_stop_words,
+         CAST(len(list_filter(w, lambda x: lower(x) IN ({stops}))) AS BIGINT) AS n_stop_words,
          CAST(length(text) - length(regexp_replace(text, '\p{{Lu}}+', '', 'g')) AS BIGINT) AS n_upper
   FROM t LEFT JOIN repeated ON t.doc_id = repeated.doc_id
 ), j AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)

@@ -4,7 +4,7 @@ import hashlib
 import math
 import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -310,13 +310,31 @@ def test_quality_measures(docs, rows):
         w = brute.WORD.findall(text)
         lines = [x for x in text.split("\n") if brute.WORD.search(x)]
         windows = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
-        covered = {i + k for i, x in enumerate(windows) if windows.count(x) > 1 for k in range(8)} if len(w) < 2000 else set()
+        times = Counter(windows)
+        covered = {i + k for i, x in enumerate(windows) if times[x] > 1 for k in range(8)}
+        assert r.n_stop_words == sum(x.lower() in quality.STOP_WORDS for x in w)
         assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(covered))
         assert r.n_symbols == sum(c in "#*$%&|<>" for c in text)
         assert r.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w))
         assert not (r.kept and r.base_failed)
 
 
+def test_repeated_words_of_long_texts(spark):
+    """More than 2,000 words, with repeats far apart, in a row and overlapping."""
+    import random
+
+    r = random.Random(8)
+    words = [f"w{r.randrange(400)}" for _ in range(3000)]
+    words[2500:2512] = words[100:112]
+    words[1000:1030] = ["same"] * 30
+    w = words + words[50:59]
+    windows = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+    times = Counter(windows)
+    covered = {i + k for i, x in enumerate(windows) if times[x] > 1 for k in range(8)}
+    found = quality.quality_report(spark.createDataFrame([(1, " ".join(w))], "doc_id long, text string")).first()
+    assert found.n_words == len(w) and found.n_repeat_words == len(covered) > 40
+
+
 def test_quality_keeps_columns(docs):
     kept = quality.apply_rules(docs)
     assert kept.columns == docs.columns
@@ -558,8 +576,8 @@ def test_near_duplicates_in_many_turns(spark, monkeypatch, meet):
     rows = _chains(40, 60, 3)
     for k in range(100, 160):  # near copies of one text that is not there itself
         rows.append((k, " ".join(f"x{r.randrange(10**6)}" if r.random() < 0.025 else w for w in base)))
-    real = jaccard._links
-    monkeypatch.setattr(jaccard, "_links", lambda sets, percent, fragments: real(sets, percent, fragments, meet))
+    real = jaccard._linked_sets
+    monkeypatch.setattr(jaccard, "_linked_sets", lambda sets, percent, fragments: real(sets, percent, fragments, meet))
     found = {tuple(x) for x in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
     assert found == brute.near_duplicates(rows)
 
