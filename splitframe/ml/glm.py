@@ -20,17 +20,36 @@ def gram(df: DataFrame, features: list[str], label: str | None = None) -> DataFr
     return df.agg(*gram_sums(features, label))
 
 
-def gram_arrays(df: DataFrame, features: list[str], label: str) -> tuple[np.ndarray, np.ndarray, int]:
-    one = free(df) + "one"
-    row = gram(df.withColumn(one, F.lit(1.0)), [*features, one], label).first()
-    p = len(features) + 1
-    g = np.array([[row[f"g_{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
-    return g, np.array([row[f"b_{i}"] for i in range(p)]), int(round(g[-1, -1]))
+def gram_arrays(df: DataFrame, features: list[str], labels: list[Column]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sums x_i * x_j (a column of ones last), sums x_i * y for each label, and the number of rows.
+
+    Each partition gives its own sums in one pass; Spark adds them up cell by cell. Rows with a NULL are left out.
+    """
+    import pyarrow as pa
+
+    p, q = len(features) + 1, len(labels)
+    cells = df.select(F.array(*[F.col(quoted(f)).cast("double") for f in features], F.lit(1.0), *[y.cast("double") for y in labels]).alias("v"))
+
+    def summed(batches):
+        total = np.zeros((p, p + q))
+        for batch in batches:
+            v = batch.column(0).combine_chunks() if isinstance(batch.column(0), pa.ChunkedArray) else batch.column(0)
+            m = v.flatten().to_numpy(zero_copy_only=False).reshape(-1, p + q)
+            total += m[:, :p].T @ m
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(p * (p + q))), pa.array(total.ravel())], ["cell", "x"])
+
+    whole = cells.where(~F.exists("v", lambda x: x.isNull())).mapInArrow(summed, "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x"))
+    out = np.zeros(p * (p + q))
+    for r in whole.collect():  # a row for each cell
+        out[r["cell"]] = r["x"]
+    out = out.reshape(p, p + q)
+    return out[:, :p], out[:, p:], int(round(out[p - 1, p - 1]))
 
 
 def fit_linear(df: DataFrame, features: list[str], label: str, epochs: int | None = None, lr: float = 0.01, l2: float = 0.0) -> dict[str, float]:
     """Weights and ``intercept``: exact, or after ``epochs`` full-batch gradient steps, from one pass over the data."""
-    g, b, n = gram_arrays(df, features, label)
+    g, b, n = gram_arrays(df, features, [F.col(quoted(label))])
+    b = b[:, 0]
     if epochs is None:
         w = np.linalg.lstsq(g + l2 * n * np.eye(len(b)), b, rcond=None)[0]
     else:
@@ -57,18 +76,26 @@ def logistic_gradient(df: DataFrame, features: list[str], label: str, weights: d
     return d.groupBy(*by).agg(*size, loss.alias("loss"), *grads, F.avg(step).alias("grad_intercept"))
 
 
-def fit_logistic(df: DataFrame, features: list[str], label: str, epochs: int = 20, lr: float = 0.15, l2: float = 0.0, tol: float = 1e-4, optimizer: Optimizer | None = None, schedule: str = "constant", early_stop: str = "diff", init: str = "zeros", seed: int | None = None, **rates) -> dict[str, float]:
-    """Full-batch descent on the Taylor loss. Its gradient is linear in the weights, so one Gram pass serves all epochs."""
-    sign = free(df) + "y"
-    g, b, n = gram_arrays(df.withColumn(sign, F.when(F.col(label) == 1, 1.0).otherwise(-1.0)), features, sign)
-    opt = optimizer or Optimizer("sgd", lr, "l2", l2)
-    w, last = start_weights(len(features), init, seed=seed), None
+def _descended(g: np.ndarray, b: np.ndarray, n: int, epochs: int, opt: Optimizer, tol: float, schedule: str, early_stop: str, start: np.ndarray, **rates) -> np.ndarray:
+    """Weights after full-batch descent on the Taylor loss, whose gradient is linear in the weights."""
+    w, last = start, None
     for epoch in range(epochs):
         before, w = w, opt.step(w, (g @ w / 4 - b / 2) / n, rate(schedule, epoch, **rates))
         loss = float(np.log(2) - 0.5 * b @ w / n + 0.125 * w @ g @ w / n)
         if converged(early_stop, tol, loss, last, w, before):
             break
         last = loss
+    return w
+
+
+def _signed(condition: Column) -> Column:
+    return F.when(condition, 1.0).otherwise(-1.0)
+
+
+def fit_logistic(df: DataFrame, features: list[str], label: str, epochs: int = 20, lr: float = 0.15, l2: float = 0.0, tol: float = 1e-4, optimizer: Optimizer | None = None, schedule: str = "constant", early_stop: str = "diff", init: str = "zeros", seed: int | None = None, **rates) -> dict[str, float]:
+    """Full-batch descent on the Taylor loss; one Gram pass over the data serves all epochs."""
+    g, b, n = gram_arrays(df, features, [_signed(F.col(quoted(label)) == 1)])
+    w = _descended(g, b[:, 0], n, epochs, optimizer or Optimizer("sgd", lr, "l2", l2), tol, schedule, early_stop, start_weights(len(features), init, seed=seed), **rates)
     return dict(zip([*features, "intercept"], map(float, w)))
 
 
@@ -128,10 +155,14 @@ def fit_homo_logistic(
     return model
 
 
-def fit_one_vs_rest(df: DataFrame, features: list[str], label: str, classes: list, **options) -> dict:
-    """A logistic model for each of a few classes, against all others."""
-    own = free(df) + "is"
-    return {c: fit_logistic(df.withColumn(own, (F.col(label) == c).cast("int")), features, own, **options) for c in classes}
+def fit_one_vs_rest(df: DataFrame, features: list[str], label: str, classes: list, epochs: int = 20, lr: float = 0.15, l2: float = 0.0, tol: float = 1e-4, method: str = "sgd", schedule: str = "constant", early_stop: str = "diff", init: str = "zeros", seed: int | None = None, **rates) -> dict:
+    """A logistic model for each of a few classes, against all others; all share one pass over the data."""
+    g, b, n = gram_arrays(df, features, [_signed(F.col(quoted(label)) == c) for c in classes])
+    out = {}
+    for k, c in enumerate(classes):
+        w = _descended(g, b[:, k], n, epochs, Optimizer(method, lr, "l2", l2), tol, schedule, early_stop, start_weights(len(features), init, seed=seed), **rates)
+        out[c] = dict(zip([*features, "intercept"], map(float, w)))
+    return out
 
 
 def predict_class(df: DataFrame, models: dict, name: str = "predict_result") -> DataFrame:

@@ -668,7 +668,7 @@ def cv_linear(spark, d):
 @query()
 def one_vs_rest(spark, d):
     rows = t(spark, d, "embeddings").select("vec_id", "label", *[F.get("embedding", i).cast("double").alias(f"x{i}") for i in range(64)])
-    models = glm.fit_one_vs_rest(rows, [f"x{i}" for i in range(64)], "label", list(range(10)), optimizer=None)
+    models = glm.fit_one_vs_rest(rows, [f"x{i}" for i in range(64)], "label", list(range(10)))
     return glm.predict_class(rows, models).select("vec_id", "predict_result")
 
 
