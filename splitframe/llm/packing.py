@@ -9,8 +9,10 @@ itself, so no row is shuffled and no task holds more than a block, however large
   room of the emptiest sequences in turn, so that a block has less padding than one sequence.
 * A document longer than a sequence first gives whole sequences of its own.
 
-Edge cases: null text is the empty document, which is its end id alone. An empty table gives no
-rows. Repeated rows are packed as often as they occur. Extra columns are ignored.
+Edge cases: null text is the empty document, which is its end id alone; a null id stays null. An empty table gives no
+rows. Repeated rows are packed as often as they occur. A very long text is encoded whole and gives its full sequences
+a few thousand at a time. Of documents of equal length the one read first goes first, of sequences of equal cost the first
+takes it. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
