@@ -12,7 +12,8 @@ count in c(h) + 0.5 keeps that mass above 0 for contexts without small counts.
 2. For each order, blocks send their n-grams, summed, in slices by hash; groups of slices add up and
    tell each block the counts of its n-grams. One block for each n-gram is told that it owns it.
 3. A block with its counts back evaluates each token at the highest order that was seen, and notes the
-   contexts that it backed off from. Blocks also send, by context, the sums of the n-grams they own.
+   contexts that it backed off from. Groups by range tell the blocks which of their n-grams are asked for as contexts;
+   of these, blocks send the sums of the n-grams they own.
 4. Groups of contexts turn sums into alpha, for the contexts that any block asks for: a table of backoff weights by
    order and range of contexts. A block asks for a context once, however many of its documents back off from it.
 
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, joined, mix64, saved, text_chunks, word_hashes
-from .slices import bits_for, edges, pack, pack_sorted, unpack, unpack_sorted
+from .slices import bits_for, edges, pack, pack_sorted, squeeze, unpack, unpack_sorted, unsqueeze
 
 ORDER = 3
 BLOCK_TOKENS = 1_000_000
@@ -66,7 +67,7 @@ def blocks_of(docs: DataFrame, block_tokens: int) -> DataFrame:
             words, tokens = np.unique(np.concatenate([*parts, [BEGIN]]), return_inverse=True)
             n = len(tokens) - 1
             arrays = [pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64()))]
-            arrays += [pa.array([x], pa.binary()) for x in (pack(np.array(sizes)), pack_sorted(words), pack(tokens[:n]))]
+            arrays += [pa.array([x], pa.binary()) for x in (pack(np.array(sizes)), pack_sorted(words), squeeze(pack(tokens[:n])))]
             arrays += [pa.array([n], pa.int64()), pa.array([len(words)], pa.int64())]
             return pa.RecordBatch.from_arrays(arrays, ["block", "ids", "lengths", "words", "tokens", "n_tokens", "n_words"])
 
@@ -95,7 +96,7 @@ class Block:
     def __init__(self, ids, lengths, words, tokens):
         self.ids = ids
         self.words = unpack_sorted(words)
-        self.tokens = unpack(tokens)
+        self.tokens = unpack(unsqueeze(tokens))
         self.lengths = unpack(lengths)
         self.first = np.cumsum(self.lengths) - self.lengths
         self.training = ~np.array([held_out(i) for i in ids])
@@ -108,20 +109,22 @@ class Block:
         out[self.first] = at_first
         return out
 
-    def orders(self, order: int):
-        """For 1, 2, ... words: sorted distinct n-gram keys, each token's n-gram number, each token's context key.
+    def orders(self, order: int, least: int = 1):
+        """For ``least`` to ``order`` words: sorted distinct n-gram keys, each token's n-gram number, each token's context key.
 
         A context is the n-gram of one word less before the token, or BEGIN.
         """
         keys = self.words[self.tokens]
-        yield self.words, self.tokens, None
+        if least == 1:
+            yield self.words, self.tokens, None
         word = mix64(keys)
-        for _ in range(order - 1):
+        for k in range(2, order + 1):
             context = self.before(keys, BEGIN)
             with np.errstate(over="ignore"):
                 keys = mix64(context * _PAIR + word)
-            distinct, number = np.unique(keys, return_inverse=True)
-            yield distinct, number, context
+            if k >= least:
+                distinct, number = np.unique(keys, return_inverse=True)
+                yield distinct, number, context
 
     def trained(self, number: np.ndarray, size: int) -> np.ndarray:
         return np.bincount(number[self.in_training], minlength=size)
@@ -151,7 +154,7 @@ def _slices(blocks: DataFrame, order: int, bits: int) -> DataFrame:
             for k in range(batch.num_rows):
                 block, *columns = (c[0].as_py() for c in batch.slice(k, 1).columns)
                 own = Block(*columns)
-                *_, (keys, number, _) = own.orders(order)
+                ((keys, number, _),) = own.orders(order, order)
                 out = {n: [] for n in ("range", "block", "keys", "counts")}
                 _sliced(out, keys, bits, block=block, counts=(own.trained(number, len(keys)), pack))
                 yield pa.RecordBatch.from_arrays([pa.array(out["range"], pa.int64()), pa.array(out["block"], pa.int64()), pa.array(out["keys"], pa.binary()), pa.array(out["counts"], pa.binary())], list(out))
@@ -192,7 +195,7 @@ def _counted(slices: DataFrame) -> DataFrame:
             {
                 "block": table.column("block"),
                 "range": table.column("range"),
-                "counts": pa.array([pack(spread[a:b]) for a, b in parts], pa.binary()),
+                "counts": pa.array([squeeze(pack(spread[a:b])) for a, b in parts], pa.binary()),
                 "owned": pa.array([np.packbits(seen[a:b]).tobytes() for a, b in parts], pa.binary()),
                 "stats": pa.array([stats] + [None] * (len(parts) - 1), pa.list_(pa.int64())),
             }
@@ -249,10 +252,16 @@ class Totals:
         return counts * np.array(self.ratios[order - 1])[np.minimum(counts, GT_MAX + 1)]
 
 
-def _together(blocks: DataFrame, counts: list[DataFrame]) -> DataFrame:
+#: Added to the order in rows that tell a block which of its n-grams are asked for as contexts of that order.
+_WANTED = 100
+
+
+def _together(blocks: DataFrame, counts: list[DataFrame], wanted: list[DataFrame] | None = None) -> DataFrame:
     out = blocks.select("block", *_BLOCK).withColumns({"order": F.lit(0), "range": F.lit(0).cast("long")})
     for k, table in enumerate(counts, 1):
         out = out.unionByName(table.select("block", "range", "counts", "owned").withColumn("order", F.lit(k)), allowMissingColumns=True)
+    for k, table in enumerate(wanted or [], 2):
+        out = out.unionByName(table.select("block", "range", F.col("wanted").alias("owned")).withColumn("order", F.lit(_WANTED + k)), allowMissingColumns=True)
     return out
 
 
@@ -263,9 +272,9 @@ class Counted:
         rows = table.sort_by([("order", "ascending"), ("range", "ascending")]).to_pylist()
         self.name = rows[0]["block"]
         self.own = Block(*(rows[0][c] for c in _BLOCK))
-        self.counts, self.p, self.contexts, self.followers, self.numbers, self.owned = [], [], [], [], [], []
+        self.counts, self.p, self.contexts, self.followers, self.numbers, self.owned, self.wanted = [], [], [], [], [], [], []
         for k, (_, number, context) in enumerate(self.own.orders(totals.order), 1):
-            parts = [(unpack(r["counts"]), r["owned"]) for r in rows if r["order"] == k]
+            parts = [(unpack(unsqueeze(r["counts"])), r["owned"]) for r in rows if r["order"] == k]
             c = np.concatenate([x for x, _ in parts])[number]
             if k == 1:
                 p = np.where(c > 0, totals.discounted(1, c) / max(totals.whole, 1), totals.unknown)
@@ -276,6 +285,8 @@ class Counted:
             for to, x in ((self.counts, c), (self.p, p), (self.contexts, context), (self.followers, n), (self.numbers, number)):
                 to.append(x)
             self.owned.append(np.concatenate([np.unpackbits(np.frombuffer(o, np.uint8), count=len(x)) for x, o in parts]).astype(bool) if parts[0][1] is not None else None)
+            bits = [r["owned"] for r in rows if r["order"] == _WANTED + k + 1]
+            self.wanted.append(np.concatenate([np.unpackbits(np.frombuffer(o, np.uint8), count=len(x)) for (x, _), o in zip(parts, bits)]).astype(bool) if bits else None)
 
 
 _SCORED = "block long, ids array<long>, held binary, lengths binary, known binary, base binary, seen binary, asked array<struct<order:int,contexts:binary,which:binary,who:binary,times:binary>>"
@@ -310,11 +321,40 @@ def _scored(blocks: DataFrame, counts: list[DataFrame], totals: Totals) -> DataF
     return _together(blocks, counts).groupBy("block").applyInArrow(measured, _SCORED)
 
 
+def _doubles(values: np.ndarray) -> bytes:
+    """Floating-point numbers with equal bytes of all of them together, squeezed."""
+    return squeeze(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _undoubled(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(unsqueeze(data), np.uint8).reshape(8, -1).T).view(np.float64).ravel()
+
+
 _CONTEXT = "order int, range long, keys binary, used binary, open binary"
 
 
-def _contexts(blocks: DataFrame, counts: list[DataFrame], totals: Totals) -> DataFrame:
-    """By order and context, from each block: the probability that its owned n-grams use up, and what their words have at the order below."""
+def _wanted(blocks: DataFrame, asks: DataFrame, totals: Totals) -> list[DataFrame]:
+    """For each order from 2: which of a block's n-grams of one word less any block asks for as contexts, by range."""
+    import pyarrow as pa
+
+    def marked(slices_, asks_):
+        asked = np.unique(np.concatenate([np.zeros(0, np.uint64), *(unpack_sorted(x) for x in asks_.column("keys").to_pylist())]))
+        bits = [np.packbits(np.isin(unpack_sorted(x), asked, assume_unique=True)).tobytes() for x in slices_.column("keys").to_pylist()]
+        return pa.table([slices_.column("block"), slices_.column("range"), pa.array(bits, pa.binary())], ["block", "range", "wanted"])
+
+    out = []
+    for k in range(2, totals.order + 1):
+        slices = _slices(blocks, k - 1, totals.bits[k - 2]).select("range", "block", "keys")
+        own = asks.where(F.col("order") == k).select("range", "keys")
+        out.append(saved(slices.groupBy("range").cogroup(own.groupBy("range")).applyInArrow(marked, "block long, range long, wanted binary"), f"lm-wanted-{k}"))
+    return out
+
+
+def _contexts(blocks: DataFrame, counts: list[DataFrame], totals: Totals, wanted: list[DataFrame] | None = None) -> DataFrame:
+    """By order and context, from each block: the probability that its owned n-grams use up, and what their words have at the order below.
+
+    Of all contexts, or of those ``wanted``; the start of a document always.
+    """
     import pyarrow as pa
 
     def sums(table):
@@ -325,12 +365,14 @@ def _contexts(blocks: DataFrame, counts: list[DataFrame], totals: Totals) -> Dat
             example = np.zeros(len(owned), np.int64)
             example[number] = np.arange(len(number))
             at = example[owned]
+            if c.wanted[k - 2] is not None:
+                at = at[c.own.before(c.wanted[k - 2][c.numbers[k - 2]], True)[at]]
             keys, of = np.unique(c.contexts[k - 1][at], return_inverse=True)
             used, open_ = (np.bincount(of, p[at], len(keys)) for p in (c.p[k - 1], c.p[k - 2]))
-            _sliced(out, keys, totals.bits[k - 2], order=k, used=(used, np.ndarray.tobytes), open=(open_, np.ndarray.tobytes))
+            _sliced(out, keys, totals.bits[k - 2], order=k, used=(used, _doubles), open=(open_, _doubles))
         return pa.table([pa.array(v, t) for v, t in zip(out.values(), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], list(out))
 
-    return _together(blocks, counts).groupBy("block").applyInArrow(sums, _CONTEXT)
+    return _together(blocks, counts, wanted).groupBy("block").applyInArrow(sums, _CONTEXT)
 
 
 _WEIGHTS = "order int, range long, keys binary, weights binary"
@@ -339,7 +381,7 @@ _WEIGHTS = "order int, range long, keys binary, weights binary"
 def _weighed(contexts) -> tuple[np.ndarray, np.ndarray]:
     """Distinct contexts of one range and log10 of their exactly normalised backoff weights."""
     keys, of = np.unique(np.concatenate([np.zeros(0, np.uint64), *(unpack_sorted(x) for x in contexts.column("keys").to_pylist())]), return_inverse=True)
-    used, open_ = (np.bincount(of, np.concatenate([np.zeros(0), *(np.frombuffer(x) for x in contexts.column(c).to_pylist())]), len(keys)) for c in ("used", "open"))
+    used, open_ = (np.bincount(of, np.concatenate([np.zeros(0), *map(_undoubled, contexts.column(c).to_pylist())]), len(keys)) for c in ("used", "open"))
     return keys, np.log10(np.maximum(1.0 - used, 1e-300) / np.maximum(1.0 - open_, 1e-300))
 
 
@@ -430,8 +472,9 @@ def score(docs: DataFrame, order: int = ORDER, block_tokens: int = BLOCK_TOKENS)
     blocks, counts, totals, _ = _learned(docs, order, block_tokens)
     scored = saved(_scored(blocks, counts, totals), "lm-scored")
     asks = _asks(scored, totals)
-    weights = saved(_weights(_contexts(blocks, counts, totals), asks), "lm-weights")
-    discard(blocks, *counts)
+    wanted = _wanted(blocks, asks, totals)
+    weights = saved(_weights(_contexts(blocks, counts, totals, wanted), asks), "lm-weights")
+    discard(blocks, *counts, *wanted)
     return _finished(scored, asks, weights, totals)
 
 
@@ -468,7 +511,7 @@ def evaluate(spark: SparkSession, path: str, docs: DataFrame, block_tokens: int
         for wanted in slices_.column("keys").to_pylist():
             wanted = unpack_sorted(wanted)
             at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
-            out.append(pack(np.where(keys[at] == wanted, values[at], 0) if len(keys) else np.zeros(len(wanted), np.int64)))
+            out.append(squeeze(pack(np.where(keys[at] == wanted, values[at], 0) if len(keys) else np.zeros(len(wanted), np.int64))))
         return pa.table([slices_.column("block"), slices_.column("range"), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], ["block", "range", "counts", "owned"])
 
     counts = []

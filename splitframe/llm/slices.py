@@ -52,3 +52,16 @@ def unpack(data: bytes) -> np.ndarray:
     out = np.zeros((planes.shape[1], size), np.uint8)
     out[:, size - width :] = planes.T
     return out.view(f">u{size}").ravel().astype(np.int64)
+
+
+def squeeze(data: bytes) -> bytes:
+    """``data`` in the zstd format, after its size; for rows that a shuffle moves more than once."""
+    import pyarrow as pa
+
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unsqueeze(data: bytes) -> bytes:
+    import pyarrow as pa
+
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)

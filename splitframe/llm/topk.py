@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import discard, saved
 
-BITS = 4
+#: Bits of a cell number: a byte, an eighth of an exact component.
+BITS = 8
 VECTORS_IN_BLOCK = 16_384
 QUERIES_IN_BLOCK = 2_048
 #: Queries of a block that are scanned at once.
@@ -36,17 +37,13 @@ QUERIES_AT_ONCE = 128
 
 
 def cells(values: np.ndarray, low: int, step: int) -> np.ndarray:
-    """Cell numbers of integer components, two in a byte: cell c holds low + c * step up to low + (c + 1) * step - 1."""
-    c = np.clip((values - low) // step, 0, (1 << BITS) - 1).astype(np.uint8)
-    if c.shape[1] % 2:
-        c = np.pad(c, ((0, 0), (0, 1)))
-    return c[:, 0::2] << BITS | c[:, 1::2]
+    """Cell numbers of integer components: cell c holds low + c * step up to low + (c + 1) * step - 1."""
+    return np.clip((values - low) // step, 0, (1 << BITS) - 1).astype(np.uint8)
 
 
-def floors(packed: np.ndarray, n: int, low: int, step: int) -> np.ndarray:
+def floors(cell: np.ndarray, low: int, step: int) -> np.ndarray:
     """The least component that each cell can hold."""
-    c = np.stack([packed >> BITS, packed & ((1 << BITS) - 1)], 2).reshape(len(packed), -1)[:, :n]
-    return low + c.astype(np.float64) * step
+    return low + cell.astype(np.float64) * step
 
 
 def bounds(queries: np.ndarray, floor: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +120,7 @@ def top_k(
             for u in range(batch.num_rows):
                 n, low, step, rows, ids, cell, queries, query_ids, values, least = (c[u].as_py() for c in batch.columns)
                 rows, ids, queries, query_ids = (np.frombuffer(x, np.int64) for x in (rows, ids, queries, query_ids))
-                floor = floors(np.frombuffer(cell, np.uint8).reshape(len(rows), -1), n, low, step)
+                floor = floors(np.frombuffer(cell, np.uint8).reshape(len(rows), n), low, step)
                 values, least = np.frombuffer(values, np.int64).reshape(-1, n), np.frombuffer(least)
                 for a in range(0, len(queries), QUERIES_AT_ONCE):
                     part = slice(a, a + QUERIES_AT_ONCE)
