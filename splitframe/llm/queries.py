@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, jaccard, language, lm, packing, pieces, quality, suffixes, topk, warc
+from . import html_text, jaccard, language, lm, packing, pieces, quality, runs, suffixes, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,33 @@ def op3_warc_derivatives(spark, sf_dir):
     return made.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "source_payload_digest", "block_digest", "content_length", F.crc32("block").alias("block_crc32"))
 
 
+def repeated_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text of ``docs``, where a text whose id has a hash divisible by ten repeats a stretch of its own words up to its end.
+
+    A row without id has no hash and keeps its text.
+    """
+    doc_id, text, n = F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")), F.col("n")
+    hashed = F.crc32(doc_id.cast("string").cast("binary"))
+    chosen = docs.select(doc_id.alias("doc_id"), text.alias("text"), (F.pmod(hashed, F.lit(10)) == 0).alias("chosen"), F.floor(hashed / 10).alias("g"))
+    words = chosen.withColumn("words", F.when(F.col("chosen"), F.expr(r"regexp_extract_all(text, r'[^\x20\x09-\x0D]+', 0)")))
+    sized = words.withColumn("n", F.coalesce(F.size("words"), F.lit(0))).withColumn("a", F.pmod("g", F.greatest(n, F.lit(1))).cast("int"))
+    shaped = sized.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.pmod("g", F.lit(8))))).cast("int"))
+    tail = F.expr("slice(flatten(array_repeat(slice(words, a + 1, p), cast(ceil((n - a) / p) as int))), 1, n - a)")
+    altered = F.array_join(F.concat(F.expr("slice(words, 1, a)"), tail), " ")
+    return shaped.select("doc_id", F.when(F.col("chosen") & (n > 0), altered).otherwise(F.col("text")).alias("text"))
+
+
+def op12_runs_theorem(spark, sf_dir):
+    found = runs.periodic_runs(repeated_periods(_table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
 def queries() -> dict:
     documents = lambda spark, d: _table(spark, d, "documents")
     return {
@@ -35,6 +62,7 @@ def queries() -> dict:
         "op8_scored_html_region": lambda spark, d: html_text.extract(_table(spark, d, "pages")),
         "op9_language_fusion": lambda spark, d: language.identify_pages(_table(spark, d, "pages"), text_model(spark, d)),
         "op10_katz_backoff": lambda spark, d: lm.score(documents(spark, d)),
+        "op12_runs_theorem": op12_runs_theorem,
     }
 
 
