@@ -40,6 +40,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(cleanup) if before is None else spark.conf.set(cleanup, before)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)  # what is not discarded before goes with the driver
     table = spark.read.schema(df.schema).parquet(path)
     table._saved_path = path
     return table

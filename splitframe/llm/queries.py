@@ -1,11 +1,11 @@
-"""Queries opN_<name> of the ten operators, and their SQL where SQL can express them."""
+"""Queries opN_<name> of the operators, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, jaccard, language, lm, packing, pieces, quality, runs, suffixes, topk, warc
+from . import html_text, jaccard, language, lines, lm, packing, pieces, quality, runs, suffixes, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,7 @@ def queries() -> dict:
         "op9_language_fusion": lambda spark, d: language.identify_pages(_table(spark, d, "pages"), text_model(spark, d)),
         "op10_katz_backoff": lambda spark, d: lm.score(documents(spark, d)),
         "op12_runs_theorem": op12_runs_theorem,
+        "op13_sharded_cuckoo_lines": lambda spark, d: lines.dedup_report(documents(spark, d)),
     }
 
 
@@ -115,5 +116,17 @@ FROM j
 """
 
 
+OP13_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, i, line, regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') AS key
+  FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))
+), judged AS (
+  SELECT *, length(key) >= 10 AND min(doc_id) OVER (PARTITION BY key) < doc_id AS gone FROM lines
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_va_file_top_k": OP4_SQL, "op7_quality_rules": _op7_sql()}
+    return {"op4_va_file_top_k": OP4_SQL, "op7_quality_rules": _op7_sql(), "op13_sharded_cuckoo_lines": OP13_SQL}

@@ -180,3 +180,19 @@ def run_row(doc_id, text):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     digests = sha("".join(f"{s},{n},{p}\n" for s, n, p in runs)), sha(collapsed(w, runs))
     return (doc_id, len(runs), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None, *digests, len(w))
+
+
+def line_dedup(rows, least=10):
+    """doc_id, lines, dropped lines and the digest of the others, and the text that is left, for (doc_id, text) rows."""
+    last = float("inf")
+    key = lambda line: lowered(line).strip(" \t\n\x0b\x0c\r")
+    first = {}
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            first[key(line)] = min(first.get(key(line), last), last if i is None else i)
+    out = []
+    for i, t in rows:
+        own = (t or "").split("\n")
+        kept = [x for x in own if len(key(x)) < least or first[key(x)] == (last if i is None else i)]
+        out.append((i, len(own), len(own) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest(), "\n".join(kept)))
+    return out
