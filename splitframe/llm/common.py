@@ -29,15 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return the written table, which has no lineage."""
+def saved(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder, in folders by the column ``by`` if given, and return the written table, which has no lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(cleanup, None)
     spark.conf.set(cleanup, True)  # what is written needs its shuffles no more
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(path)
     finally:
         spark.conf.unset(cleanup) if before is None else spark.conf.set(cleanup, before)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

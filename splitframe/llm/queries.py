@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, jaccard, language, lines, lm, packing, pieces, quality, runs, suffixes, topk, warc
+from . import common, html_text, jaccard, language, lines, lm, packing, pieces, quality, runs, suffixes, topk, trie, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,31 @@ def op12_runs_theorem(spark, sf_dir):
     )
 
 
+def grafted_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Positions of the turns of rebuilt conversations, and all conversations.
+
+    Conversation c starts with the first h turns of conversation c - c % 20, and its own turns from the one after h on follow, where h is the hash of c modulo 4.
+    ``%`` takes the sign of c.
+    """
+    own = trie.positions(turns)
+    h = F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(4))
+    sizes = own.groupBy("conv_id").agg(F.max("pos").alias("size"))
+    convs = sizes.select("conv_id", "size", h.alias("h"), (F.col("conv_id") - F.col("conv_id") % 20).alias("base"))
+    bases = sizes.where("conv_id % 20 = 0").select(F.col("conv_id").alias("base"), F.col("size").alias("base_size"))
+    convs = common.saved(convs.join(bases, "base", "left").withColumn("taken", F.least("h", F.coalesce("base_size", F.lit(0)))), "trie-conversations")
+    heads = own.where("conv_id % 20 = 0 and pos <= 3").withColumnRenamed("conv_id", "base").join(convs.select("conv_id", "base", "h"), "base").where("pos <= h")
+    # A row for each block of turns, so that no key has more rows than a block.
+    block = F.floor(F.col("pos") / trie.BLOCK)
+    blocks = convs.select("conv_id", "h", "taken", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("size") / trie.BLOCK))).alias("block"))
+    tails = own.withColumn("block", block).join(blocks, ["conv_id", "block"]).where("pos > h").withColumn("pos", F.expr("taken + pos - h"))
+    columns = ["conv_id", "pos", "role", "text"]
+    return heads.select(*columns).unionByName(tails.select(*columns)), convs.select("conv_id")
+
+
+def op11_heavy_path_trie(spark, sf_dir):
+    return trie.prefix_trie(*grafted_turns(_table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict:
     documents = lambda spark, d: _table(spark, d, "documents")
     return {
@@ -62,6 +87,7 @@ def queries() -> dict:
         "op8_scored_html_region": lambda spark, d: html_text.extract(_table(spark, d, "pages")),
         "op9_language_fusion": lambda spark, d: language.identify_pages(_table(spark, d, "pages"), text_model(spark, d)),
         "op10_katz_backoff": lambda spark, d: lm.score(documents(spark, d)),
+        "op11_heavy_path_trie": op11_heavy_path_trie,
         "op12_runs_theorem": op12_runs_theorem,
         "op13_sharded_cuckoo_lines": lambda spark, d: lines.dedup_report(documents(spark, d)),
     }

@@ -196,3 +196,38 @@ def line_dedup(rows, least=10):
         kept = [x for x in own if len(key(x)) < least or first[key(x)] == (last if i is None else i)]
         out.append((i, len(own), len(own) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest(), "\n".join(kept)))
     return out
+
+
+def rebuilt(rows):
+    """Turns (role, text) by conversation of (conv_id, turn, role, text) rows, each begun with turns of another one."""
+    import zlib
+
+    own = {}
+    for c, *turn in rows:
+        if c is not None:
+            own.setdefault(c, []).append(turn)
+    own = {c: [(r or "", t or "") for _, r, t in sorted(ts, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "", x[2] or ""))] for c, ts in own.items()}
+    h = {c: zlib.crc32(str(c).encode()) % 4 for c in own}
+    return {c: own.get(c - c % 20, [])[: h[c]] + own[c][h[c] :] for c in own}
+
+
+def prefix_trie(convs):
+    """The rows of the query on the prefix trie, by counting every prefix of every conversation."""
+    members, children = {}, {}
+    for c, turns in convs.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+    for node in members:
+        if node:
+            children.setdefault(node[:-1], []).append(node)
+    leaves, saved = {}, {}
+    for node in sorted(members, key=len, reverse=True):
+        own = (len(members[node]) - 1) * len(WORD.findall(node[-1][1])) if node else 0
+        leaves[node] = sum(leaves[k] for k in children.get(node, ())) or 1
+        saved[node] = own + sum(saved[k] for k in children.get(node, ()))
+    out = []
+    for node, of in members.items():
+        ends = ",".join(str(c) for c in sorted(of) if len(convs[c]) == len(node))
+        up = min(members[node[:-1]]) if node else None
+        out.append((min(of), len(node), up, len(of), len(children.get(node, ())), leaves[node], saved[node], hashlib.sha256(ends.encode()).hexdigest()))
+    return out
