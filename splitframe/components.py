@@ -10,7 +10,7 @@ import inspect
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frame import Frame
@@ -18,6 +18,7 @@ from .functions import evaluate
 from .ml import gbdt, glm
 from .names import quoted
 from .operators import align, bins, encode, quantile, sampling, stat
+from .sources import readers
 
 STAGES = ("train", "predict", "cross_validation")
 _known: dict[str, type] = {}
@@ -98,12 +99,13 @@ class FeatureScale:
 class FeatureBinning:
     """Cuts by quantile, of equal width (bucket) or given (manual); category columns are their own bins.
 
-    ``train`` finds cuts and WOE tables, ``predict`` turns cells into bin numbers (``bin_idx``) or WOE.
+    ``train`` finds cuts and WOE tables, ``predict`` turns cells into bin numbers (``bin_idx``) or WOE. The IV of a column is the sum over its bins
+    but the first, or over all without ``skip_first_bin``. ``relative_error`` takes cuts from a mergeable sketch instead of exact ranks.
     """
 
     def __init__(
         self, method: str = "quantile", n_bins: int = 10, bin_col: list[str] | None = None, category_col: list[str] | None = None, split_pt_dict: dict[str, list[float]] | None = None,
-        transform_method: str | None = None, skip_metrics: bool = False, adjustment_factor: float = 0.5, use_anonymous: bool = False,
+        transform_method: str | None = None, skip_metrics: bool = False, adjustment_factor: float = 0.5, use_anonymous: bool = False, relative_error: float | None = None, skip_first_bin: bool = True,
     ):
         if method not in ("quantile", "bucket", "manual"):
             raise ValueError(f"unknown method {method}")
@@ -113,6 +115,7 @@ class FeatureBinning:
             raise ValueError("manual binning needs split points")
         self.method, self.n_bins, self.bin_col, self.category_col, self.split_pt_dict = method, n_bins, bin_col, category_col, split_pt_dict
         self.transform_method, self.skip_metrics, self.adjustment_factor, self.use_anonymous = transform_method, skip_metrics, adjustment_factor, use_anonymous
+        self.relative_error, self.skip_first_bin = relative_error, skip_first_bin
         self.model: dict | None = None
 
     def train(self, frame: Frame) -> Frame:
@@ -124,7 +127,7 @@ class FeatureBinning:
                 raise ValueError(f"no split points for {missing}")
             cuts = {c: sorted(map(float, self.split_pt_dict[c])) for c in own}
         elif self.method == "quantile":
-            cuts = quantile.cut_lists(quantile.quantiles(frame.df, own, [i / self.n_bins for i in range(1, self.n_bins + 1)]), own, "q") if own else {}
+            cuts = quantile.cut_lists(quantile.quantiles(frame.df, own, [i / self.n_bins for i in range(1, self.n_bins + 1)], self.relative_error is not None, self.relative_error or 1e-4), own, "q") if own else {}
         else:
             cuts = quantile.cut_lists(quantile.equal_width_cuts(frame.df, own, self.n_bins).withColumnRenamed("cut", "value"), own, "i") if own else {}
         self.model = {"cuts": cuts, "categories": {c: encode.categories(frame.df, c) for c in categories}, "woe": {}, "iv": {}}
@@ -134,7 +137,7 @@ class FeatureBinning:
             self.metrics = table
             for r in table.collect():  # a row for each bin
                 self.model["woe"].setdefault(r["feature"], {})[str(r["bin"])] = r["woe"]
-                self.model["iv"][r["feature"]] = self.model["iv"].get(r["feature"], 0.0) + r["iv"]
+            self.model["iv"] = {r["feature"]: r["iv"] for r in bins.column_iv(table, self.skip_first_bin).collect()}  # a row for each column
         return self.predict(frame)
 
     def _binned(self, frame: Frame) -> Frame:
@@ -185,7 +188,7 @@ class FeatureSelection:
         return set(sorted(known, key=lambda c: (-values[c] if take_high else values[c], c))[:k])
 
     def train(self, frame: Frame, binning: FeatureBinning | None = None) -> Frame:
-        left, best, manual = set(frame.columns), {}, self.parameters["manual"]
+        left, best, sign, manual = set(frame.columns), {}, -1, self.parameters["manual"]
         for method in self.methods:
             given = dict(self.parameters[method])
             if method == "manual":
@@ -201,10 +204,11 @@ class FeatureSelection:
                 tables = [{r["column"]: r["value"] for r in found if r["metric"] == m} for m in metrics]
             for values in tables:
                 left &= self.passed({c: v for c, v in values.items() if c in frame.columns}, **given) | set(manual.get("keep_col", ()))
-                best = best or values
+                if not best:
+                    best, sign = values, -1 if given.get("take_high", True) else 1
         if not left and self.keep_one and best:
             known = {c: v for c, v in best.items() if v is not None and c in frame.columns}
-            left = {min(known, key=lambda c: (-known[c], c))}
+            left = {min(known, key=lambda c: (sign * known[c], c))}
         self.model = {"selected": [c for c in frame.columns if c in left]}
         return self.predict(frame)
 
@@ -224,12 +228,13 @@ class FeatureSelection:
 
 @component("statistics")
 class Statistics:
-    def __init__(self, metrics: list[str] | None = None, use_columns: list[str] | None = None, skip_col: list[str] | None = None, ddof: int = 1, bias: bool = True, use_anonymous: bool = False):
+    def __init__(self, metrics: list[str] | None = None, use_columns: list[str] | None = None, skip_col: list[str] | None = None, ddof: int = 1, bias: bool = True, use_anonymous: bool = False, compat_kurt: bool = False):
         self.metrics, self.use_columns, self.skip_col, self.ddof, self.bias, self.use_anonymous = metrics or ["mean", "min", "max", "std"], use_columns, skip_col or [], ddof, bias, use_anonymous
+        self.compat_kurt = compat_kurt
 
     def train(self, frame: Frame) -> DataFrame:
         own = [c for c in chosen(frame, self.use_columns, self.use_anonymous) if c not in self.skip_col]
-        return stat.statistics(frame.df, own, self.metrics, self.ddof, self.bias)
+        return stat.statistics(frame.df, own, self.metrics, self.ddof, self.bias, self.compat_kurt)
 
 
 @component("feature_correlation")
@@ -279,6 +284,25 @@ class DataSplit:
         return tuple(frame._with(made.where(F.col("split") == s).drop("split")) for s in ("train", "validate", "test"))
 
 
+@component("union")
+class Union:
+    """Rows of several frames with the same columns, one frame after the other."""
+
+    def train(self, frames: list[Frame]) -> Frame:
+        return Frame.vstack(frames)
+
+
+@component("reader")
+class Reader:
+    """A frame from a file or table at an address such as file:///folder or s3a://bucket/key, with roles of its columns."""
+
+    def __init__(self, uri: str, sample_id: str, match_id: str | None = None, label: str | None = None, weight: str | None = None):
+        self.uri, self.roles = uri, {"sample_id": sample_id, "match_id": match_id, "label": label, "weight": weight}
+
+    def train(self, spark: SparkSession) -> Frame:
+        return Frame.from_spark(readers.load(spark, self.uri), **self.roles)
+
+
 @component("psi")
 class Alignment:
     """Rows of the guest whose match id every host has; the guest's ids and labels stay."""
@@ -370,14 +394,16 @@ class LogisticRegression(_Learner):
 class BoostedTrees(_Learner):
     def __init__(self, objective: str = "binary:bce", num_trees: int = 3, max_depth: int = 3, learning_rate: float = 0.3, max_bin: int = 32, **options):
         self.parameters = {"objective": objective, "num_trees": num_trees, "max_depth": max_depth, "learning_rate": learning_rate, "max_bin": max_bin, **options}
-        self.model: gbdt.Model | None = None
+        self.model: dict | None = None
 
-    def train(self, frame: Frame) -> DataFrame:
-        self.model = gbdt.fit(frame.df, frame.columns, frame.roles.label, sample_id=frame.roles.sample_id, **self.parameters)
+    def train(self, frame: Frame, warm_start: BoostedTrees | None = None) -> DataFrame:
+        """``warm_start``: a fitted component whose trees come first."""
+        before = None if warm_start is None else gbdt.Model.from_dict(warm_start.model)
+        self.model = gbdt.fit(frame.df, frame.columns, frame.roles.label, sample_id=frame.roles.sample_id, warm_start=before, **self.parameters).to_dict()
         return self.predict(frame)
 
     def predict(self, frame: Frame) -> DataFrame:
-        return self.model.predict(frame.df)
+        return gbdt.Model.from_dict(self.model).predict(frame.df)
 
     def metrics_of(self, df, label):
         task = {"binary": "binary", "multi": "multi", "regression": "regression"}[self.parameters["objective"].split(":")[0]]

@@ -1,7 +1,8 @@
-"""Histogram gradient boosting: one grouped aggregate for each layer of a tree.
+"""Histogram gradient boosting: one pass over the rows for each layer of a tree.
 
-Binned features, labels and scores are written after each tree, so the plan does not grow with the trees. Of two
-children only the left one's histogram comes from rows; the other is its parent's less that.
+Binned features, labels and scores are written after each tree, so the plan does not grow with the trees. Partitions add up dense
+histograms (operators.dense); those of a layer, whose size is that of the schema, are scanned by NumPy for the best splits. Of two
+children only the smaller one's histogram comes from rows; the other is its parent's less that. A missing value goes right.
 """
 
 from __future__ import annotations
@@ -9,14 +10,20 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..names import free, quoted
 from ..operators.bins import bucket, histogram
+from ..operators.dense import dense_sums
 from ..operators.quantile import at_ranks, cut_lists, quantiles
 from ..operators.sampling import numbered
 from ..storage import kept
+from .forest import Forest
+
+#: Nodes of a layer whose histograms are added up in one pass.
+NODES_AT_ONCE = 64
 
 
 def gradients(objective: str, score: Column, label: Column) -> tuple[Column, Column]:
@@ -115,7 +122,20 @@ class Model:
     classes: int = 1
     trees: list[dict] = field(default_factory=list)  # node: (feature, bin, left, right, gain) or its weight; class k has trees k, k + classes, ...
 
+    def to_dict(self) -> dict:
+        """Plain values for JSON; ``from_dict`` makes the same model of them."""
+        trees = [[[n, *(list(here) if isinstance(here, tuple) else [here])] for n, here in sorted(t.items())] for t in self.trees]
+        cuts = {f: [None if math.isinf(x) else x for x in c] for f, c in self.cuts.items()}
+        return {"cuts": cuts, "learning_rate": self.learning_rate, "objective": self.objective, "start": self.start, "classes": self.classes, "trees": trees}
+
+    @classmethod
+    def from_dict(cls, values: dict) -> Model:
+        trees = [{n: tuple(here) if len(here) > 1 else float(here[0]) for n, *here in t} for t in values["trees"]]
+        cuts = {f: [math.inf if x is None else x for x in c] for f, c in values["cuts"].items()}
+        return cls(cuts, values["learning_rate"], values["objective"], values["start"], values["classes"], trees)
+
     def leaf(self, tree: dict, binned: dict[str, Column], node: int = 0) -> Column:
+        """The weight of a row's leaf in one tree, from columns of bins."""
         here = tree[node]
         if not isinstance(here, tuple):
             return F.lit(float(here))
@@ -124,8 +144,8 @@ class Model:
 
     def scores(self) -> list[Column]:
         """Raw scores, one for each class of a multi-class model."""
-        binned = {f: bucket(F.col(quoted(f)), c) for f, c in self.cuts.items()}
-        return [sum((self.learning_rate * self.leaf(t, binned) for t in self.trees[k :: self.classes]), F.lit(self.start)) for k in range(self.classes)]
+        raw = Forest(self).raw()
+        return [F.get(raw, k) for k in range(self.classes)]
 
     def probabilities(self) -> list[Column]:
         s = self.scores()
@@ -149,13 +169,41 @@ class Model:
         return out
 
 
-def grow(rows: DataFrame, features: dict[str, str], g: Column, h: Column, limits: Limits) -> dict:
-    """One tree; ``features`` names the column of integer bins of each."""
-    back = {b: f for f, b in features.items()}
-    p = free(rows)
-    node_of = f"{p}node"
+def best_split(hist: np.ndarray, starts: np.ndarray, limits: Limits) -> tuple | None:
+    """(feature, bin, gain, sums left, sums right) of the best split "bin or below goes left"; of equal gains, of the first feature and least bin."""
+    total = hist[:, : starts[1]].sum(1)
+    if total[2] < limits.min_sample_split:
+        return None
+    left = np.cumsum(hist, axis=1)
+    before = np.concatenate([np.zeros((3, 1)), left], axis=1)[:, starts[:-1]]
+    left = left - np.repeat(before, np.diff(starts), axis=1)
+    right = total[:, None] - left
+
+    def part(sums: np.ndarray) -> np.ndarray:
+        g = np.floor(sums[0] * 1e10) / 1e10
+        g = np.sign(g) * np.maximum(np.abs(g) - limits.l1, 0.0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return g * g / (np.floor(sums[1] * 1e10) / 1e10 + limits.l2)
+
+    gain = np.floor((part(left) + part(right) - part(total)) * 1e10) / 1e10
+    least = max(1, limits.min_leaf)
+    able = (left[2] >= least) & (right[2] >= least) & (left[1] >= limits.min_child_weight) & (right[1] >= limits.min_child_weight) & (gain >= limits.min_gain)
+    able[starts[1:] - 1] = False
+    if not able.any():
+        return None
+    at = int(np.argmax(np.where(able, gain, -np.inf)))
+    k = int(np.searchsorted(starts, at, side="right")) - 1
+    return k, at - int(starts[k]), float(gain[at]), left[:, at], right[:, at]
+
+
+def grow(rows: DataFrame, features: dict[str, str], cuts: dict[str, list[float]], g: Column, h: Column, limits: Limits) -> dict:
+    """One tree; ``features`` names the column of integer bins of each, ``cuts`` has their upper ends."""
+    names, columns = list(features), list(features.values())
+    node_of = f"{free(rows)}node"
     values = {"g": g, "h": h, "cnt": F.lit(1)}
-    tree: dict = {0: None}
+    shape = {c: (0, len(cuts[f])) for f, c in features.items()}
+    starts = np.concatenate([[0], np.cumsum([len(cuts[f]) + 1 for f in names])])
+    tree: dict = {0: 0.0}
     at = {f: F.col(b) for f, b in features.items()}
 
     def place(n: int = 0) -> Column:
@@ -163,60 +211,76 @@ def grow(rows: DataFrame, features: dict[str, str], g: Column, h: Column, limits
         here = tree[n]
         return F.when(at[here[0]] <= here[1], place(here[2])).otherwise(place(here[3])) if isinstance(here, tuple) else F.lit(n)
 
-    hist = kept(histogram(rows, list(back), values, F.lit(0)))
-    total = hist.where(F.col("feature") == next(iter(back))).agg(F.sum("g").alias("g"), F.sum("h").alias("h")).first()
-    tree[0] = limits.weight(total["g"] or 0.0, total["h"] or 0.0)
+    def sums(nodes: list[int]) -> dict[int, np.ndarray]:
+        """g, h and cnt of each node by place; the last place of a feature is for missing values."""
+        out = {n: np.zeros((3, starts[-1])) for n in nodes}
+        for low in range(0, len(nodes), NODES_AT_ONCE):
+            own = nodes[low : low + NODES_AT_ONCE]
+            some = rows if own == [0] else rows.withColumn(node_of, place()).where(F.col(node_of).isin(own))
+            found = dense_sums(some, columns, shape, values, F.lit(0) if own == [0] else F.col(node_of)).toArrow()  # a row for each cell of these nodes
+            node, feature = found.column("node").to_numpy(), found.column("place").to_numpy()
+            bin_ = found.column("bin").fill_null(-1).to_numpy()
+            cell = starts[feature] + np.where(bin_ < 0, np.diff(starts)[feature] - 1, bin_)
+            for n in own:
+                mine = node == n
+                out[n][:, cell[mine]] = [found.column(v).to_numpy()[mine] for v in values]
+        return out
+
+    hist = sums([0])
+    whole = hist[0][:, : starts[1]].sum(1)
+    tree[0] = limits.weight(*whole[:2])
     next_id = 1
     for depth in range(limits.max_depth):
-        able = (F.col("cnt") >= limits.min_leaf) & (F.col("cnt_all") - F.col("cnt") >= limits.min_leaf)
-        able &= (F.col("h") >= limits.min_child_weight) & (F.col("h_all") - F.col("h") >= limits.min_child_weight)
-        able &= (F.col("cnt_all") >= limits.min_sample_split) & (F.col("gain") >= limits.min_gain)
-        order = Window.partitionBy("node").orderBy(F.desc("gain"), "feature", "bin")
-        best = gains(hist, limits.l1, limits.l2).where(able).withColumn("k", F.row_number().over(order)).where("k = 1").collect()  # a row for each node
-        lefts = {}
-        for r in sorted(best, key=lambda r: r["node"]):
+        wanted, after = [], []
+        for n in sorted(hist):
+            best = best_split(hist[n], starts, limits)
+            if best is None:
+                continue
+            k, b, gain, left_sums, right_sums = best
             left, right = next_id, next_id + 1
-            tree[r["node"]] = (back[r["feature"]], r["bin"], left, right, r["gain"])
-            tree[left] = limits.weight(r["g"], r["h"])
-            tree[right] = limits.weight(r["g_all"] - r["g"], r["h_all"] - r["h"])
-            lefts[left] = r["node"]
+            tree[n] = (names[k], b, left, right, gain)
+            tree[left], tree[right] = limits.weight(*left_sums[:2]), limits.weight(*right_sums[:2])
+            small, large = (left, right) if left_sums[2] <= right_sums[2] else (right, left)
+            wanted.append(small)
+            after.append((n, small, large))
             next_id += 2
-        if not lefts or depth + 1 == limits.max_depth:
+        if not wanted or depth + 1 == limits.max_depth:
             break
-        one = histogram(rows.withColumn(node_of, place()).where(F.col(node_of).isin(list(lefts))), list(back), values, F.col(node_of))
-        one = kept(one)
-        parent_of = F.create_map(*[F.lit(x) for pair in lefts.items() for x in pair])
-        mine = one.select(parent_of[F.col("node")].alias("node"), "feature", "bin", *[F.col(v).alias(f"l_{v}") for v in values])
-        other = hist.where(F.col("node").isin(list(lefts.values()))).join(mine, ["node", "feature", "bin"], "left")
-        right_of = F.create_map(*[F.lit(x) for left, node in lefts.items() for x in (node, left + 1)])
-        other = other.select(right_of[F.col("node")].alias("node"), "feature", "bin", *[(F.col(v) - F.coalesce(f"l_{v}", F.lit(0))).alias(v) for v in values])
-        hist = kept(one.unionByName(other.where("cnt > 0")))
+        found = sums(wanted)
+        hist = {k: v for n, small, large in after for k, v in ((small, found[small]), (large, hist[n] - found[small]))}
     return tree
 
 
 def fit(
     df: DataFrame, features: list[str], label: str, objective: str = "binary:bce", num_trees: int = 3, max_depth: int = 3, learning_rate: float = 0.3, max_bin: int = 32, l2: float = 0.1,
     min_leaf: int = 1, min_gain: float = 0.01, l1: float = 0.0, min_child_weight: float = 1.0, min_sample_split: int = 2, goss_rates: tuple[float, float] | None = None,
-    sample_id: str | None = None, classes: int | None = None, seed: int = 42, callback=None,
+    sample_id: str | None = None, classes: int | None = None, seed: int = 42, callback=None, warm_start: Model | None = None,
 ) -> Model:
     """Boosted trees; ``multi:ce`` grows one for each class in a round (labels 0, 1, ...).
 
     ``goss_rates`` (top, other) grows each tree on a one-side sample of the rows, which needs ``sample_id``.
-    ``callback(model, round)`` may return True to stop.
+    ``callback(model, round)`` may return True to stop. ``warm_start`` is a model to go on from: its cuts and start hold, its scores are worked out
+    once, and ``num_trees`` rounds are added to its own.
     """
     limits = Limits(max_depth, l1, l2, min_gain, min_leaf, min_child_weight, min_sample_split)
-    found = quantiles(df, features, [i / max_bin for i in range(max_bin)])
-    start = float(df.agg(F.avg(label)).first()[0] or 0.0) if objective == "regression:l2" else 0.0
-    k = 1
-    if objective == "multi:ce":
-        k = classes or int(df.agg(F.max(label)).first()[0]) + 1
-    model = Model(cut_lists(found, features, "q"), learning_rate, objective, start, k)
-    for f in features:
-        model.cuts.setdefault(f, []).append(float("inf"))
+    if warm_start is not None:
+        if list(warm_start.cuts) != features or (warm_start.objective, warm_start.learning_rate) != (objective, learning_rate):
+            raise ValueError("a model goes on with its own features, objective and learning rate")
+        model = Model.from_dict(warm_start.to_dict())
+        start, k = model.start, model.classes
+    else:
+        found = quantiles(df, features, [i / max_bin for i in range(max_bin)])
+        start = float(df.agg(F.avg(label)).first()[0] or 0.0) if objective == "regression:l2" else 0.0
+        k = 1
+        if objective == "multi:ce":
+            k = classes or int(df.agg(F.max(label)).first()[0]) + 1
+        model = Model(cut_lists(found, features, "q"), learning_rate, objective, start, k)
+        for f in features:
+            model.cuts.setdefault(f, []).append(float("inf"))
     bins = {f: f"b{i}" for i, f in enumerate(features)}
-    state = df.select(*[bucket(F.col(quoted(f)), model.cuts[f]).alias(b) for f, b in bins.items()], F.col(quoted(label)).cast("double").alias("y"), *([F.col(quoted(sample_id)).alias("id")] if sample_id else []), *[F.lit(start).alias(f"s{j}") for j in range(k)])
+    state = df.select(*[bucket(F.col(quoted(f)), model.cuts[f]).alias(b) for f, b in bins.items()], F.col(quoted(label)).cast("double").alias("y"), *([F.col(quoted(sample_id)).alias("id")] if sample_id else []), *[x.alias(f"s{j}") for j, x in enumerate(model.scores() if model.trees else [F.lit(start)] * k)])
     state = kept(state)
-    for round_ in range(num_trees):
+    for round_ in range(len(model.trees) // k, len(model.trees) // k + num_trees):
         scores = [F.col(f"s{j}") for j in range(k)]
         pairs = class_gradients(scores, F.col("y")) if k > 1 else [gradients(objective, scores[0], F.col("y"))]
         grown = []
@@ -226,7 +290,7 @@ def fit(
                 if sample_id is None:
                     raise ValueError("one-side sampling needs a sample id")
                 rows = kept(goss(rows, "id", "g0", *goss_rates, seed=seed))
-            grown.append(grow(rows, bins, F.col("g0"), F.col("h0"), limits))
+            grown.append(grow(rows, bins, model.cuts, F.col("g0"), F.col("h0"), limits))
         model.trees += grown
         at = {f: F.col(b) for f, b in bins.items()}
         state = kept(state.withColumns({f"s{j}": F.col(f"s{j}") + learning_rate * model.leaf(t, at) for j, t in enumerate(grown)}))

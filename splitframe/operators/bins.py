@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dense import WHOLE, bounds, dense_sums, named
+
 
 def bucket(c: Column, cuts: list[float]) -> Column:
     """Left-open bins (b[i-1], b[i]]; the last edge is infinity; NULL stays NULL."""
@@ -14,15 +16,16 @@ def bucket(c: Column, cuts: list[float]) -> Column:
     return out
 
 
-def histogram(df: DataFrame, features: list[str], values: dict[str, Column], node: Column | None = None, cumulative: bool = False) -> DataFrame:
-    """(node, feature, bin, values...) sums over integer bins; ``cumulative`` sums them up along the bins."""
+def histogram(df: DataFrame, features: list[str], values: dict[str, Column], node: Column | None = None, cumulative: bool = False, shape: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """(node, feature, bin, values...) sums over integer bins; ``cumulative`` sums them up along the bins.
+
+    ``shape`` has the least bin and the number of bins of each feature; without it, one more pass finds them.
+    """
     kinds = dict(df.dtypes)
     for f in features:
-        if kinds[f] not in ("int", "bigint", "smallint", "tinyint"):
+        if kinds[f] not in WHOLE:
             raise ValueError(f"{f} is not a column of integer bins")
-    entries = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("int").alias("bin")) for f in features])
-    rows = df.select((F.lit(0) if node is None else node).alias("node"), *[v.alias(k) for k, v in values.items()], F.inline(entries))
-    out = rows.groupBy("node", "feature", "bin").agg(*[F.sum(k).alias(k) for k in values])
+    out = named(dense_sums(df, features, bounds(df, features) if shape is None else shape, values, node), features)
     if cumulative:
         w = Window.partitionBy("node", "feature").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
         out = out.withColumns({k: F.sum(k).over(w) for k in values})

@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..names import quoted
 from . import quantile
 
 
@@ -23,14 +25,18 @@ def skewness(c: Column, unbiased: bool) -> Column:
     return F.when(n >= 3, F.coalesce(g, F.lit(0.0)) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
-def kurtosis(c: Column, unbiased: bool) -> Column:
+def kurtosis(c: Column, unbiased: bool, compat: bool = False) -> Column:
+    """Excess kurtosis. ``compat`` divides the fourth moment by the fourth power of the second one, as the biased formula of some tools does."""
     n, g = F.count(c), F.kurtosis(c)
-    if not unbiased:
-        return g
-    return F.when(n >= 4, ((n + 1) * g + 6) * (n - 1) / ((n - 2) * (n - 3)))
+    if unbiased:
+        return F.when(n >= 4, ((n + 1) * g + 6) * (n - 1) / ((n - 2) * (n - 3)))
+    if compat:
+        flat = F.var_pop(c) < 1e-14
+        return F.when(flat, -3.0).otherwise((g + 3) / F.when(~flat, F.pow(F.var_pop(c), 2)) - 3)
+    return g
 
 
-def metric(name: str, c: Column, ddof: int = 1, unbiased: bool = False) -> Column:
+def metric(name: str, c: Column, ddof: int = 1, unbiased: bool = False, compat_kurt: bool = False) -> Column:
     rows = F.count(F.lit(1))
     missing = F.count_if(c.isNull())
     table = {
@@ -39,7 +45,7 @@ def metric(name: str, c: Column, ddof: int = 1, unbiased: bool = False) -> Colum
         "variation": lambda: F.try_divide(F.sqrt(variance(c, ddof)), F.avg(c)),
         "coefficient_of_variation": lambda: F.try_divide(F.sqrt(variance(c, ddof)), F.avg(c)),
         "skewness": lambda: skewness(c, unbiased), "skew": lambda: skewness(c, unbiased),
-        "kurtosis": lambda: kurtosis(c, unbiased), "kurt": lambda: kurtosis(c, unbiased),
+        "kurtosis": lambda: kurtosis(c, unbiased, compat_kurt), "kurt": lambda: kurtosis(c, unbiased, compat_kurt),
         "na_count": lambda: missing, "missing_count": lambda: missing, "missing_ratio": lambda: F.try_divide(missing, rows),
     }
     if name not in table:
@@ -47,13 +53,13 @@ def metric(name: str, c: Column, ddof: int = 1, unbiased: bool = False) -> Colum
     return table[name]().cast("double")
 
 
-def statistics(df: DataFrame, columns: list[str], metrics: list[str], ddof: int = 1, bias: bool = True) -> DataFrame:
-    """Long table (metric, column, value). Metrics also include ``median`` and ``N%``, by the exact rank rule."""
+def statistics(df: DataFrame, columns: list[str], metrics: list[str], ddof: int = 1, bias: bool = True, compat_kurt: bool = False) -> DataFrame:
+    """Long table (metric, column, value). Metrics also include ``median`` and ``N%``, by the exact rank rule; ``compat_kurt`` as in ``kurtosis``."""
     ranks = {m: 0.5 if m == "median" else float(m[:-1]) / 100 for m in metrics if m == "median" or re.fullmatch(r"\d{1,3}%", m)}
     plain = [m for m in metrics if m not in ranks]
     parts = []
     if plain:
-        one = df.agg(*[metric(m, F.col(c), ddof, not bias).alias(f"{m}|{c}") for m in plain for c in columns])
+        one = df.agg(*[metric(m, F.col(c), ddof, not bias, compat_kurt).alias(f"{m}|{c}") for m in plain for c in columns])
         entries = [F.struct(F.lit(m).alias("metric"), F.lit(c).alias("column"), F.col(f"`{m}|{c}`").alias("value")) for m in plain for c in columns]
         parts.append(one.select(F.inline(F.array(*entries))))
     if ranks:
@@ -67,21 +73,49 @@ def describe(df: DataFrame, columns: list[str], ddof: int = 1, unbiased: bool =
     return statistics(df, columns, ["sum", "min", "max", "mean", "std", "var", "variation", "skew", "kurt", "na_count"], ddof, not unbiased)
 
 
+def correlation_matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
+    """Pearson correlations of all pairs of columns, from two passes: means, then sums of products about them by partition.
+
+    Each pair is over the rows where both have a value. A column that does not vary, or a pair without rows, gives NaN.
+    """
+    import pyarrow as pa
+
+    p = len(columns)
+    means = df.agg(*[F.avg(F.col(quoted(c)).cast("double")).alias(f"m{k}") for k, c in enumerate(columns)]).first()
+    about = np.array([m if m is not None else 0.0 for m in means])
+    cells = df.select(F.array(*[F.col(quoted(c)).cast("double") for c in columns]).alias("v"))
+
+    def summed(batches):
+        total = np.zeros((4, p, p))
+        for batch in batches:
+            for low in range(0, batch.num_rows, 4096):
+                m = batch.slice(low, 4096).column(0).flatten()
+                there = m.is_valid().to_numpy(zero_copy_only=False).reshape(-1, p).astype(float)
+                x = np.where(there > 0, m.to_numpy(zero_copy_only=False).reshape(-1, p) - about, 0.0)
+                total += np.stack([x.T @ x, x.T @ there, (x * x).T @ there, there.T @ there])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(4 * p * p)), pa.array(total.ravel())], ["cell", "x"])
+
+    out = np.zeros(4 * p * p)
+    sums = cells.mapInArrow(summed, "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x")).toArrow()  # four cells for each pair of columns
+    out[sums.column("cell").to_numpy()] = sums.column("x").to_numpy()
+    xy, x, xx, n = out.reshape(4, p, p)  # x[i, j]: of column i where j has a value too
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = xx - x * x / n
+        made = (xy - x * x.T / n) / np.sqrt(spread * spread.T)
+    made[(spread <= 0) | (spread.T <= 0)] = np.nan
+    return made
+
+
 def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation (x, y, corr) of every ordered pair, in one aggregate."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    one = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    both = dict.fromkeys([*pairs, *[(b, a) for a, b in pairs]])
-    entries = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"`{a}|{b}`" if (a, b) in pairs else f"`{b}|{a}`").alias("corr")) for a, b in both]
-    return one.select(F.inline(F.array(*entries)))
+    """Pearson correlation (x, y, corr) of every ordered pair; NULL where it is not defined."""
+    found = correlation_matrix(df, columns)
+    rows = [(a, b, None if np.isnan(found[i, j]) else float(found[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns)]
+    return df.sparkSession.createDataFrame(rows, "x string, y string, corr double")
 
 
 def vif(df: DataFrame, columns: list[str]) -> DataFrame:
     """Variance inflation factors: the diagonal of the inverse correlation matrix, whose size is that of the schema."""
-    import numpy as np
-
-    rows = {(r.x, r.y): r["corr"] for r in correlation(df, columns).collect()}
-    full = np.array([[rows[a, b] for b in columns] for a in columns])
+    full = correlation_matrix(df, columns)
 
     def volume(m) -> float:
         eig = np.linalg.eigvalsh(m)

@@ -82,6 +82,11 @@ def stat_missing(spark, d):
     return stat.statistics(c, ["c_acctbal"], ["missing_count", "missing_ratio"]).withColumns(r6("value"))
 
 
+@query("SELECT 'kurt' AS metric, 'l_discount' AS \"column\", round(avg(pow(l_discount - a, 4)) / pow(avg(pow(l_discount - a, 2)), 4) - 3, 2) AS value FROM lineitem, (SELECT avg(l_discount) AS a FROM lineitem)")
+def stat_kurt_compat(spark, d):
+    return stat.statistics(t(spark, d, "lineitem"), ["l_discount"], ["kurt"], compat_kurt=True).withColumn("value", F.round("value", 2))
+
+
 # Alignment
 @query("SELECT l.doc_id, l.quality, d.n_chars FROM labels l JOIN documents d USING (doc_id)")
 def psi_inner(spark, d):
@@ -240,6 +245,14 @@ def column_iv(spark, d):
     return bins.column_iv(bins.woe_table(_woe(spark, d)[0], ["n_chars"], "quality")).withColumns(r6("iv"))
 
 
+@query(_WOE + "SELECT feature, round(sum(iv), 6) AS iv FROM w WHERE bin > 0 GROUP BY 1")
+def component_iv(spark, d):
+    """IV as the binning component keeps it for selection."""
+    binning = components.create("feature_binning", n_bins=10)
+    binning.train(Frame.from_spark(_labelled(spark, d), "doc_id", label="quality", features=["n_chars"]))
+    return spark.createDataFrame(list(binning.model["iv"].items()), "feature string, iv double").withColumns(r6("iv"))
+
+
 @query(_WOE + "SELECT doc_id, quality, round(woe, 6) AS n_chars FROM b JOIN w USING (bin)")
 def woe_transform(spark, d):
     binned, _ = _woe(spark, d)

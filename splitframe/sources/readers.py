@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +51,8 @@ def read_keyed_table(
     ``dtype`` is the type of all features or of each (others are floats). ``na_values`` are texts that mean NULL, for
     all columns or by column. What does not parse in its type is NULL too.
     """
-    values = F.split(F.get(F.split("value", delimiter.replace("|", "\\|"), 2), 1), delimiter.replace("|", "\\|"), -1)
+    cut = re.escape(delimiter)
+    values = F.split(F.get(F.split("value", cut, 2), 1), cut, -1)
     kinds = {c: label_type if c == label else weight_type if c == weight else "string" if c == match_id else (dtype.get(c, "float") if isinstance(dtype, dict) else dtype) for c in header}
 
     def cell(k: int, c: str):
@@ -58,7 +61,7 @@ def read_keyed_table(
         absent = [absent] if isinstance(absent, str) else list(absent)
         return F.when(~text.isin(["", *absent]), text).try_cast(kinds[c]).alias(c)
 
-    df = spark.read.text(path).select(F.get(F.split("value", delimiter.replace("|", "\\|"), 2), 0).alias(sample_id), *[cell(k, c) for k, c in enumerate(header)])
+    df = spark.read.text(path).select(F.get(F.split("value", cut, 2), 0).alias(sample_id), *[cell(k, c) for k, c in enumerate(header)])
     own = {sample_id, match_id, label, weight}
     return Frame.from_spark(df, sample_id, match_id, label, weight, [c for c in header if c not in own], site)
 
