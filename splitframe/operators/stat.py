@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from functools import reduce
 
 import numpy as np
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 from ..names import quoted
 from . import quantile
 
+#: Rows whose means sums of products are taken about.
+PILOT_ROWS = 256
+
 
 def variance(c: Column, ddof: int) -> Column:
     n = F.count(c)
@@ -74,22 +78,28 @@ def describe(df: DataFrame, columns: list[str], ddof: int = 1, unbiased: bool =
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """Pearson correlations of all pairs of columns, from two passes: means, then sums of products about them by partition.
+    """Pearson correlations of all pairs of columns, from one pass: sums of products by partition, about the means of some first rows.
 
-    Each pair is over the rows where both have a value. A column that does not vary, or a pair without rows, gives NaN.
+    What they are taken about changes only the rounding. Each pair is over the rows where both have a value. A column that does not vary, or a pair without rows, gives NaN.
     """
     import pyarrow as pa
 
     p = len(columns)
-    means = df.agg(*[F.avg(F.col(quoted(c)).cast("double")).alias(f"m{k}") for k, c in enumerate(columns)]).first()
-    about = np.array([m if m is not None else 0.0 for m in means])
     cells = df.select(F.array(*[F.col(quoted(c)).cast("double") for c in columns]).alias("v"))
+    first = cells.limit(PILOT_ROWS).toArrow().column("v").combine_chunks()
+    with np.errstate(invalid="ignore"), warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)  # a column without values
+        about = np.nan_to_num(np.nanmean(np.concatenate([np.full((1, p), np.nan), first.flatten().to_numpy(zero_copy_only=False).reshape(-1, p)]), axis=0))
 
     def summed(batches):
         total = np.zeros((4, p, p))
         for batch in batches:
             for low in range(0, batch.num_rows, 4096):
                 m = batch.slice(low, 4096).column(0).flatten()
+                if not m.null_count:
+                    x = m.to_numpy().reshape(-1, p) - about
+                    total += np.stack([x.T @ x, np.broadcast_to(x.sum(0)[:, None], (p, p)), np.broadcast_to((x * x).sum(0)[:, None], (p, p)), np.full((p, p), float(len(x)))])
+                    continue
                 there = m.is_valid().to_numpy(zero_copy_only=False).reshape(-1, p).astype(float)
                 x = np.where(there > 0, m.to_numpy(zero_copy_only=False).reshape(-1, p) - about, 0.0)
                 total += np.stack([x.T @ x, x.T @ there, (x * x).T @ there, there.T @ there])

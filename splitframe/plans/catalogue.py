@@ -11,7 +11,7 @@ from .. import components
 from ..frame import Frame
 from ..functions import evaluate
 from ..ml import gbdt, glm, tensor, validate
-from ..operators import align, bins, encode, kv, quantile, sampling, stat
+from ..operators import align, bins, encode, kv, quantile, sampling, sketch, stat
 from ..streaming import events as streams
 
 _queries: dict[str, Callable] = {}
@@ -212,6 +212,17 @@ def histogram_sibling(spark, d):
     return bins.sibling(h.groupBy("feature", "bin").agg(F.sum("cnt").alias("cnt")), h.where("node = 1"), ["cnt"])
 
 
+@query("SELECT q, count(*) AS n, true AS within FROM lineitem, (SELECT unnest([0.01, 0.25, 0.5, 0.99]) AS q) GROUP BY q")
+def quantile_sketch_of_batches(spark, d):
+    """Sketches of three batches, merged: whether the rank of each value misses by 1% of the rows at most."""
+    items = t(spark, d, "lineitem").select("l_extendedprice", F.pmod("l_orderkey", F.lit(3)).alias("batch"))
+    parts = [sketch.merged(sketch.sketch(items.where(F.col("batch") == k), ["l_extendedprice"], 0.01), relative_error=0.01) for k in range(3)]
+    found = sketch.quantiles(sketch.merged(*parts, relative_error=0.01), [0.01, 0.25, 0.5, 0.99])
+    met = items.join(F.broadcast(found), F.lit(True))  # four rows
+    low, high, rank = F.count_if(F.col("l_extendedprice") < F.col("value")) + 1, F.count_if(F.col("l_extendedprice") <= F.col("value")), F.greatest(F.lit(1), F.floor(F.col("q") * F.col("n")))
+    return met.groupBy("q", "n").agg(low.alias("low"), high.alias("high")).select("q", "n", (F.greatest(F.col("low") - rank, rank - F.col("high")) <= 0.01 * F.col("n")).alias("within"))
+
+
 def _labelled(spark, d):
     return psi_inner(spark, d)
 
