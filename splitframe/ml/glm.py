@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..names import free, quoted
+from ..operators.sampling import batches
+from ..storage import kept
 from .optim import Optimizer, converged, rate, start_weights
 
 
@@ -99,6 +101,74 @@ def fit_logistic(df: DataFrame, features: list[str], label: str, epochs: int = 2
     return dict(zip([*features, "intercept"], map(float, w)))
 
 
+def batch_sums(df: DataFrame, features: list[str], label: Column, sample_id: str, batch_size: int, seed: int = 42) -> DataFrame:
+    """(batch_id, cells, n): of each batch of rows in digest order the sums x_i * x_j and x_i * y, as one array; rows with a NULL are left out."""
+    import pyarrow as pa
+
+    p = len(features) + 1
+    of = free(df)
+    placed = batches(df.withColumn(f"{of}y", label.cast("double")), sample_id, batch_size, seed)
+    cells = placed.select("batch_id", F.array(*[F.col(quoted(f)).cast("double") for f in features], F.lit(1.0), F.col(f"{of}y")).alias("v")).where(~F.exists("v", lambda x: x.isNull()))
+
+    def summed(table):
+        m = table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, p + 1)
+        return pa.table({"batch_id": table.column("batch_id")[:1], "cells": pa.array([(m[:, :p].T @ m).ravel()], pa.list_(pa.float64())), "n": pa.array([len(m)], pa.int64())})
+
+    return cells.groupBy("batch_id").applyInArrow(summed, "batch_id long, cells array<double>, n long")
+
+
+#: Bytes of batch sums that the driver keeps over all epochs; more are read again from their table in each epoch.
+SUMS_HELD = 1 << 28
+
+
+def fit_mini_batch(
+    df: DataFrame, features: list[str], label: str, sample_id: str, batch_size: int, epochs: int = 20, kind: str = "logistic", method: str = "sgd", lr: float = 0.15, penalty: str | None = None, alpha: float = 0.0,
+    tol: float = 0.0, schedule: str = "constant", early_stop: str = "diff", init: str = "zeros", seed: int = 42, warm_start: dict | None = None, rates: dict | None = None, **options,
+) -> dict:
+    """Mini-batch descent for a logistic (Taylor loss) or linear (squared loss) model; the state that comes back can be gone on from.
+
+    The rows are passed over once: each batch's gradient follows from its sums, a batch in a row of a written table, and epochs run over these rows in order, one row
+    at a time. The result has weights, epoch, the optimizer's state and the last loss, as plain values; with it as ``warm_start``, ``epochs`` more epochs
+    follow as if training had not stopped. ``rates`` are the settings of ``schedule``, other options those of the optimizer.
+    """
+    if kind not in ("logistic", "linear"):
+        raise ValueError(f"unknown kind {kind}")
+    y = _signed(F.col(quoted(label)) == 1) if kind == "logistic" else F.col(quoted(label))
+    sums = kept(batch_sums(df, features, y, sample_id, batch_size, seed)).orderBy("batch_id")
+    p = len(features) + 1
+    half, quarter = (0.5, 0.25) if kind == "logistic" else (1.0, 1.0)
+
+    def each():
+        for r in sums.toLocalIterator():
+            m = np.array(r["cells"]).reshape(p, p + 1)
+            yield m[:, :p], m[:, p], r["n"]
+
+    held = list(each()) if sums.count() * p * (p + 1) * 8 <= SUMS_HELD else None
+    opt, first, last = Optimizer(method, lr, penalty, alpha, **options), 0, None
+    if warm_start is None:
+        w = start_weights(len(features), init, seed=seed)
+    else:
+        if list(warm_start["weights"]) != [*features, "intercept"]:
+            raise ValueError("a model goes on with its own features")
+        w, first, last = np.array(list(warm_start["weights"].values())), warm_start["epoch"], warm_start["loss"]
+        opt.t = warm_start["optimizer"]["t"]
+        opt.state = {k: np.array(v) if isinstance(v, list) else v for k, v in warm_start["optimizer"]["state"].items()}
+    epoch = first
+    for epoch in range(first, first + epochs):
+        before, loss, rows = w, 0.0, 0
+        for g, b, n in held if held is not None else each():
+            loss += (float(np.log(2)) * n if kind == "logistic" else 0.0) + float(quarter / 2 * w @ g @ w - half * b @ w)
+            rows += n
+            w = opt.step(w, (quarter * g @ w - half * b) / n, rate(schedule, epoch, **(rates or {})))
+        loss = loss / max(rows, 1)
+        done = converged(early_stop, tol, loss, last, w, before)
+        last = loss
+        if done:
+            break
+    state = {k: v.tolist() if isinstance(v, np.ndarray) else float(v) for k, v in opt.state.items()}
+    return {"weights": dict(zip([*features, "intercept"], map(float, w))), "epoch": epoch + 1 if epochs else first, "loss": last, "optimizer": {"t": opt.t, "state": state}}
+
+
 def bce_gradient(df: DataFrame, features: list[str], label: str, weights: np.ndarray, by: tuple[str, ...] = ()) -> DataFrame:
     """Per party (``by``): rows n, mean cross-entropy and its gradient g0, g1, ... (the intercept last); labels 0 and 1."""
     xw = sum((F.col(quoted(f)).cast("double") * float(w) for f, w in zip(features, weights)), F.lit(float(weights[-1])))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import tiles
+
 _BINARY = {"add": lambda x, y: x + y, "sub": lambda x, y: x - y, "mul": lambda x, y: x * y, "div": lambda x, y: F.try_divide(x, y)}
 
 
@@ -156,13 +158,11 @@ def rmatmul_local(m: list[list[float]], t: DataFrame) -> DataFrame:
 
 
 def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(i, j, x) of the product of two distributed tensors: cells meet on the inner index, sums are partial before the shuffle."""
-    left, right = coordinates(a).select("i", F.col("j").cast("long").alias("k"), "x"), b.select(F.col("row_id").alias("k"), F.col("v").alias("w"))
+    """(i, j, x) of the product of two distributed tensors, by tiles."""
     inner_a, inner_b = a.agg(F.max(F.size("v"))).first()[0], b.count()
     if inner_a is not None and inner_a != inner_b:
         raise ValueError("inner sizes differ")
-    d = left.join(right, "k").select("i", "x", F.posexplode("w").alias("j", "y"))
-    return d.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("x"))
+    return tiles.cells(tiles.product(tiles.from_rows(a), tiles.from_rows(b))).withColumn("j", F.col("j").cast("int"))
 
 
 def dot(a: DataFrame, b: DataFrame) -> float:

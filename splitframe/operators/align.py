@@ -6,6 +6,8 @@ guess ids can test them; this is alignment, not a cryptographic protocol.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,19 +24,30 @@ def align(guest: DataFrame, hosts: list[tuple[DataFrame, str]], sample_id: str,
 
     hosts: (table, match id column) each. Column names must differ between parties. With a ``salt``, rows meet by salted
     hashes of ids; without one, the parties are in one domain of trust and rows meet by the ids. A guest's match ids may repeat;
-    one that a host repeats is an error, found in the shuffle that the join needs anyway.
+    one that a host repeats is an error, found on the way. All hosts meet in one grouping by the key, so the hosts' rows are shuffled once and the guest's once,
+    however many hosts there are. Without ``check``, a host's repeated ids repeat rows.
     """
     p = free(guest, *(t for t, _ in hosts))
     key = f"{p}key"
     out = guest.withColumn(key, F.col(quoted(match_id)) if salt is None else token(match_id, salt))
-    for table, own in hosts:
-        theirs = table.withColumn(key, F.col(quoted(own)) if salt is None else token(own, salt)).drop(own)
-        if check:
-            values = [c for c in theirs.columns if c != key]
-            one = theirs.groupBy(key).agg(F.first(F.struct(*map(quoted, values)) if values else F.lit(None)).alias(f"{p}v"), F.count("*").alias(f"{p}n"))
-            single = F.when(F.col(f"{p}n") > 1, F.raise_error(F.lit("duplicate match_id in a host table")).cast("boolean")).otherwise(F.col(key).isNotNull())
-            theirs = one.where(single).select(key, *([f"{p}v.*"] if values else []))
-        out = out.join(theirs, key)
+    theirs = [table.withColumn(key, F.col(quoted(own)) if salt is None else token(own, salt)).drop(own) for table, own in hosts]
+    if not check:
+        for table in theirs:
+            out = out.join(table, key)
+        return out.drop(key)
+    if not theirs:
+        return out.drop(key)
+    tagged = []
+    for k, table in enumerate(theirs):
+        values = [quoted(c) for c in table.columns if c != key]
+        tagged.append(table.select(key, F.lit(k).alias(f"{p}tag"), (F.struct(*values) if values else F.struct(F.lit(True).alias(f"{p}there"))).alias(f"{p}v{k}")))
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged).where(F.col(key).isNotNull())
+    sums = [x for k in range(len(theirs)) for x in (F.first(f"{p}v{k}", ignorenulls=True).alias(f"{p}v{k}"), F.count_if(F.col(f"{p}tag") == k).alias(f"{p}n{k}"))]
+    met = union.groupBy(key).agg(*sums)
+    counts = [F.col(f"{p}n{k}") for k in range(len(theirs))]
+    whole = F.when(F.greatest(*counts, F.lit(0)) > 1, F.raise_error(F.lit("duplicate match_id in a host table")).cast("boolean")).otherwise(F.least(*counts, F.lit(1)) == 1)
+    met = met.where(whole).select(key, *[F.col(f"{p}v{k}.{quoted(c)}").alias(c) for k, table in enumerate(theirs) for c in table.columns if c != key])
+    out = out.join(met, key)
     return out.drop(key)
 
 

@@ -7,6 +7,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from ..names import quoted
+from . import sketch
+from .quantile import at_ranks
+from .sampling import first_rows
 
 
 def categories(df: DataFrame, column: str) -> list:
@@ -21,13 +27,53 @@ def replaced(c: Column, mapping: dict) -> Column:
     return c if out is None else out.otherwise(c)
 
 
-def top_rows(df: DataFrame, n: int, columns: list[str], sample_id: str, keep: str = "first") -> DataFrame:
-    """The n largest rows by the columns; ``first`` breaks ties by id, ``last`` keeps all ties of the nth."""
-    order = [F.desc(c) for c in columns]
+def top_rows(df: DataFrame, n: int, columns: list[str], sample_id: str, keep: str = "first", error: float = 0.0, seed: int = 42) -> DataFrame:
+    """The n largest rows by the columns; ``first`` breaks ties by id, ``last`` keeps all ties of the nth. NULL is below all values.
+
+    The value of the nth row is found by rank, column by column, so rows above it are a filter and only ties are looked at further. With ``error`` and one
+    column, a sketch gives a value that at least n rows reach and at most n + 2 * error * rows: of these, ``first`` draws n and ``last`` takes all.
+    """
+    if keep not in ("first", "last"):
+        raise ValueError("keep is first or last")
+    if n <= 0:
+        return df.limit(0)
+    if error > 0 and len(columns) == 1:
+        rows = df.where(F.col(quoted(columns[0])).isNotNull()).count()
+        found = sketch.quantiles(sketch.merged(sketch.sketch(df, columns, error), relative_error=error), [max(0.0, 1 - n / max(rows, 1) - error)]).first()
+        some = df if found is None or rows <= n or found.q <= 0 else df.where(F.col(quoted(columns[0])) >= found.value)
+        return some if keep == "last" else first_rows(some, sample_id, n, seed)
+    left, above, tied = n, [], df
+    for c in columns:
+        value = F.col(quoted(c))
+        if not isinstance(df.schema[c].dataType, NumericType):
+            break
+        row = at_ranks(tied, [c], lambda _, rows: [(0, rows - left + 1)] if rows >= left else []).first()
+        if row is None:  # the nth is a NULL
+            above.append(tied.where(value.isNotNull()))
+            left -= above[-1].count()
+            tied = tied.where(value.isNull())
+            continue
+        nth = F.lit(row["value"]).cast(df.schema[c].dataType)
+        more = tied.where(value > nth)
+        left -= more.count()
+        above.append(more)
+        tied = tied.where(value == nth)
+    else:
+        if keep == "last":
+            return reduce(DataFrame.unionByName, [*above, tied])
+        if tied.count() > left:
+            ids = df.schema[sample_id].dataType
+            if isinstance(ids, NumericType):
+                end = at_ranks(tied, [sample_id], lambda _, rows: [(0, left)]).first()
+                tied = tied.where(F.col(quoted(sample_id)) <= F.lit(end["value"]).cast(ids))
+            else:
+                tied = tied.orderBy(quoted(sample_id)).limit(left)
+        return reduce(DataFrame.unionByName, [*above, tied])
+    order = [F.desc(quoted(c)) for c in columns]  # by columns that have no ranks as numbers
     if keep == "first":
-        return df.orderBy(*order, sample_id).limit(n)
-    nth = df.select(*columns).orderBy(*order).limit(n).agg(F.min(F.struct(*columns)).alias("least"))
-    return df.crossJoin(F.broadcast(nth)).where(F.struct(*columns) >= F.col("least")).drop("least")  # the other side is one row
+        return df.orderBy(*order, quoted(sample_id)).limit(n)
+    least = df.select(*map(quoted, columns)).orderBy(*order).limit(n).agg(F.min(F.struct(*map(quoted, columns))).alias("least"))
+    return df.crossJoin(F.broadcast(least)).where(F.struct(*map(quoted, columns)) >= F.col("least")).drop("least")  # the other side is one row
 
 
 def standard_scale(df: DataFrame, columns: list[str]) -> DataFrame:

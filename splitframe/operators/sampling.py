@@ -42,16 +42,44 @@ def numbered(df: DataFrame, sample_id: str, seed: int, by: list[str] | None = No
     return joined.withColumn(name, F.row_number().over(w) + F.col(before_)).drop(digest, prefix, before_)
 
 
+def first_rows(df: DataFrame, sample_id: str, n: int, seed: int = 42) -> DataFrame:
+    """The n rows that are first in digest order, as a filter: sample ids are unique.
+
+    Counts of digest prefixes find the one in which the nth row lies, three more digits a step; only that prefix, of at most ROWS_IN_PREFIX
+    rows, is ordered. No row is moved.
+    """
+    if n <= 0:
+        return df.limit(0)
+    p = free(df)
+    digest = f"{p}k"
+    d = df.withColumn(digest, key(seed, sample_id))
+    prefix, before, size = "", 0, None
+    while size is None or (size > ROWS_IN_PREFIX and len(prefix) < 30):
+        here = F.substring(digest, 1, len(prefix) + 3)
+        counts = d.where(F.col(digest).startswith(prefix)).groupBy(here.alias("p")).count().collect()  # 4096 rows at most
+        found = None
+        for r in sorted(counts, key=lambda r: r["p"]):
+            if before + r["count"] >= n:
+                found = r
+                break
+            before += r["count"]
+        if found is None:
+            return df  # there are no more rows
+        prefix, size = found["p"], found["count"]
+    last = d.where(F.col(digest).startswith(prefix)).select(F.struct(digest, quoted(sample_id)).alias("at")).orderBy("at").limit(n - before)
+    end = last.agg(F.max("at").alias("at")).first()["at"]
+    nth = F.struct(F.lit(end[0]).alias(digest), F.lit(end[1]).cast(df.schema[sample_id].dataType).alias(sample_id))
+    here = F.substring(digest, 1, len(prefix))
+    return d.where((here < prefix) | ((here == prefix) & (F.struct(digest, quoted(sample_id)) <= nth))).drop(digest)
+
+
 def sample(df: DataFrame, sample_id: str, n: int | None = None, frac: float | None = None, seed: int = 42) -> DataFrame:
     """Exactly n rows, or max(1, int(rows * frac))."""
     if (n is None) == (frac is None):
         raise ValueError("give n or frac")
     if frac is not None and frac > 1:
         raise ValueError("frac is at most 1 without replacement")
-    if frac is None:
-        return df.orderBy(key(seed, sample_id), sample_id).limit(n)
-    n = max(1, int(df.count() * frac))
-    return numbered(df, sample_id, seed).where(F.col("_n") <= n).drop("_n")  # a share may be most rows
+    return first_rows(df, sample_id, n if frac is None else max(1, int(df.count() * frac)), seed)
 
 
 def resample(df: DataFrame, sample_id: str, n: int, seed: int = 42) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .. import components
 from ..frame import Frame
 from ..functions import evaluate
-from ..ml import gbdt, glm, tensor, validate
-from ..operators import align, bins, encode, kv, quantile, sampling, sketch, stat
+from ..ml import gbdt, glm, tensor, tiles, validate
+from ..operators import align, bins, encode, follow, kv, quantile, sampling, sketch, stat
+from ..party import Exchange
 from ..streaming import events as streams
 
 _queries: dict[str, Callable] = {}
@@ -544,6 +545,15 @@ def linr_normal_eq(spark, d):
     return spark.createDataFrame([(round(w["l_quantity"], 4), round(w["intercept"], 3))], "slope double, intercept double")
 
 
+@query()
+def lr_mini_batch(spark, d):
+    """A logistic model by Adam over batches of 64 rows, two epochs and, from its kept state, two more."""
+    rows, options = _scored(spark, d), {"method": "adam", "lr": 0.1, "penalty": "l2", "alpha": 0.01}
+    first = glm.fit_mini_batch(rows, ["s"], "y", "doc_id", 64, 2, **options)
+    model = glm.fit_mini_batch(rows, ["s"], "y", "doc_id", 64, 2, warm_start=first, **options)
+    return spark.createDataFrame([(c, round(v, 6)) for c, v in model["weights"].items()], "column string, weight double")
+
+
 @query(_SCORED + ", z AS (SELECT s, CASE WHEN y = 1 THEN 1.0 ELSE -1.0 END AS y, s * 0.5 + 0.1 AS xw FROM s) SELECT round(avg(ln(2) - 0.5 * y * xw + 0.125 * xw * xw), 6) AS loss, round(avg((xw / 4 - y / 2) * s), 6) AS grad_s, round(avg(xw / 4 - y / 2), 6) AS grad_intercept FROM z")
 def lr_taylor_step(spark, d):
     return glm.logistic_gradient(_scored(spark, d), ["s"], "y", {"s": 0.5, "intercept": 0.1}).withColumns(r6("loss", "grad_s", "grad_intercept"))
@@ -590,6 +600,17 @@ def predict_detail(spark, d):
     return out.select("doc_id", F.round("predict_score", 6).alias("predict_score"), "predict_result")
 
 
+@query("WITH g AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS rn, count(*) OVER () AS n FROM labels) SELECT doc_id, n_chars, CASE WHEN rn <= round_even(n * 0.7, 0) THEN 'train' ELSE 'test' END AS split FROM g JOIN documents USING (doc_id)")
+def split_followed_by_host(spark, d):
+    """The host's rows of the parts into which the guest has split its own."""
+    exchange = Exchange(spark)
+    leader = follow.Leader(exchange, t(spark, d, "labels"), "doc_id", "doc_id", ["host"])
+    host = follow.Follower(exchange, "host", t(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    leader.select("split", follow.split_ranges(leader.total, 0.7, 0.0, 0.3))
+    parts = host.select("split")
+    return parts["train"].withColumn("split", F.lit("train")).unionByName(parts["test"].withColumn("split", F.lit("test"))).drop(follow.NUMBER)
+
+
 # Further samples, selections, tensors and learners
 @query("WITH o AS (SELECT o_totalprice, row_number() OVER (ORDER BY md5('42:' || o_orderkey), o_orderkey) AS rn, count(*) OVER () AS n FROM orders), d AS (SELECT i, CAST('0x' || substr(md5('42:' || i), 1, 12) AS BIGINT) AS h FROM (SELECT unnest(range(1, 201)) AS i)) SELECT sha256('42:' || i) AS o_orderkey, o_totalprice FROM d JOIN o ON rn = h % n + 1")
 def sample_replacement(spark, d):
@@ -803,9 +824,9 @@ def tensor_fixed_point(spark, d):
 @query("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(CAST(embedding[i + 1] AS DOUBLE) * CAST(embedding[j + 1] AS DOUBLE)), 4) + 0.0 AS x FROM embeddings, (SELECT unnest(range(0, 64)) AS i), (SELECT unnest(range(0, 64)) AS j) GROUP BY 1, 2")
 def tensor_matmul_distributed(spark, d):
     v = _vectors(spark, d)
-    across = tensor.coordinates(v, transposed=True)  # the transpose, whose rows are as long as the table
-    met = across.join(v.select(F.col("row_id").alias("j"), "v"), "j").select("i", "x", F.posexplode("v").alias("j", "y"))
-    return met.groupBy("i", "j").agg((F.round(F.sum(F.col("x") * F.col("y")), 4) + 0.0).alias("x"))
+    own = tiles.from_rows(v)
+    made = tiles.cells(tiles.product(tiles.transposed(own), own))  # the transpose, whose rows are as long as the table
+    return made.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), (F.round("x", 4) + 0.0).alias("x"))
 
 
 @query("SELECT vec_id // 100 AS shard, CAST(i - 1 AS INTEGER) AS col, round(sum(CAST(embedding[i] AS DOUBLE)), 5) + 0.0 AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2")

@@ -67,7 +67,26 @@ def one_vs_rest(spark):
     return sorted(zip(d.vec_id.tolist(), np.argmax(scores, 0).tolist())), lambda r: (r.vec_id, r.predict_result)
 
 
-PLAIN = {f.__name__: f for f in (split_stratified, vif, gbdt_predict, one_vs_rest)}
+def lr_mini_batch(spark):
+    docs = table("documents", ["doc_id", "n_chars"]).set_index("doc_id").n_chars
+    d = table("labels", ["doc_id", "quality"])
+    d = d[d.doc_id.isin(docs.index)].copy()
+    d["k"] = [hashlib.md5(f"42:{i}".encode()).hexdigest() for i in d.doc_id]
+    d = d.sort_values(["k", "doc_id"])
+    x = np.c_[docs.loc[d.doc_id].to_numpy(float) / docs.max(), np.ones(len(d))]
+    y = np.where(d.quality == 1, 1.0, -1.0)
+    w, m, v, step = np.zeros(2), np.zeros(2), np.zeros(2), 0
+    for _ in range(4):
+        for low in range(0, len(d), 64):
+            a, b = x[low : low + 64], y[low : low + 64]
+            g = a.T @ (a @ w / 4 - b / 2) / len(a) + 0.01 * w
+            step += 1
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return [("s", float(w[0])), ("intercept", float(w[1]))], lambda r: (r["column"], r.weight)
+
+
+PLAIN = {f.__name__: f for f in (split_stratified, vif, gbdt_predict, one_vs_rest, lr_mini_batch)}
 
 
 @pytest.mark.parametrize("name", PLAIN)
