@@ -287,8 +287,8 @@ class Frame:
         sid = self.roles.sample_id
         return self._with(self.df.join(pairs.select(sid, "new_sample_id"), sid).drop(sid).withColumnRenamed("new_sample_id", sid))
 
-    def nlargest(self, n: int, columns: list[str], keep: str = "first") -> Frame:
-        return self._with(encode.top_rows(self.df, n, columns, self.roles.sample_id, keep))
+    def nlargest(self, n: int, columns: list[str], keep: str = "first", error: float = 0.0) -> Frame:
+        return self._with(encode.top_rows(self.df, n, columns, self.roles.sample_id, keep, error))
 
     # Statistics
     def describe(self, ddof: int = 1, unbiased: bool = True) -> DataFrame:
