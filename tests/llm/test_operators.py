@@ -206,7 +206,43 @@ def test_top_k_of_few_and_none(spark):
     assert topk.top_k(spark.createDataFrame([], kind)).count() == 0
     assert topk.top_k(spark.createDataFrame([(0, [1.0]), (1, [2.0])], kind)).collect() == [(0, 1, 1, 64 * 128)]
     with pytest.raises(ValueError):
-        topk.top_k(spark.createDataFrame([(0, [1e300, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>"))
+        topk.top_k(spark.createDataFrame([(0, [1.0])], kind), scale=100)
+
+
+def test_top_k_of_very_large_components(spark):
+    """Scores beyond 64 bits are exact whole numbers, ranked among all others."""
+    r = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in r.normal(size=3) * 10.0 ** r.integers(0, 4)]) for i in range(120)]
+    rows += [(200 + i, [float(x) for x in r.normal(size=3) * 10.0 ** e]) for i, e in enumerate((9, 12, 16, 40, 153, 160, 250, 300, 307, 308))]
+    rows += [(220, [1e300, 1.0, 0.0]), (221, [-1e300, 1.0, 0.0]), (240, [1.7e308, -1.7e308, 1.7e308])]
+    whole = {i: [math.floor(x * 64) if abs(x) < 1e200 else int(x) * 64 for x in v] for i, v in rows}
+    want = {}
+    for q in whole:
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q)[:20]
+            want |= {(q, n): (i, -s) for n, (s, i) in enumerate(best, 1)}
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), vectors_in_block=40, queries_in_block=3, with_text=True).collect()
+    assert {(x.query_id, x.rank): (x.vec_id, int(x.score_text)) for x in found} == want
+    assert all((x.score is None) == (not -(2**63) <= int(x.score_text) < 2**63) and x.score in (None, int(x.score_text)) for x in found)
+
+
+def test_one_outlier_leaves_bounds_as_they_are(spark, monkeypatch):
+    """The vectors whose bound reaches the kth score are hardly more with a few very large vectors than without."""
+    r = np.random.default_rng(10)
+    counts, keep = [], topk.saved
+
+    def counted(df, name, **more):
+        made = keep(df, name, **more)
+        if name == "topk-survivors":
+            counts.append(made.count())
+        return made
+
+    monkeypatch.setattr(topk, "saved", counted)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(r.normal(size=(4000, 8)))]
+    for extra in ([], [(4001, [1e6] + [0.0] * 7)], [(4001 + 2 * j, [float(x) for x in r.normal(size=8) * 1e5]) for j in range(12)]):
+        found = topk.top_k(spark.createDataFrame(rows + extra, "vec_id long, embedding array<double>"))
+        assert found.where("rank = 1").count() == 200 + sum(i % 20 == 0 for i, _ in extra)
+    assert counts[1] < 2 * counts[0] and counts[2] < 2 * counts[0] < 200 * 4000 / 5
 
 
 # 5
