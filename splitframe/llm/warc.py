@@ -152,17 +152,18 @@ def _members(body: bytes, size: int = 1 << 20):
     if not body.startswith(b"\x1f\x8b"):
         yield from (body[k : k + size] for k in range(0, len(body), size))
         return
-    rest = body
-    while rest:
+    at = 0
+    while at < len(body):
         one = zlib.decompressobj(31)
-        at = 0
-        while not one.eof and at < len(rest):
-            piece = rest[at : at + size]
+        step = 1 << 14  # members are small as a rule; what is read beyond one is read again
+        while not one.eof and at < len(body):
+            piece = body[at : at + step]
             at += len(piece)
             yield one.decompress(piece)
+            step = min(2 * step, size)
         if not one.eof:
             return
-        rest = one.unused_data + rest[at:]
+        at -= len(one.unused_data)
 
 
 def read_records(body: bytes):

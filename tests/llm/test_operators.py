@@ -169,6 +169,70 @@ def test_warc_of_real_response_files(spark):
     assert sorted(map(str, again)) == sorted(map(str, rows))
 
 
+def test_warc_files_of_many_members_in_linear_time():
+    import gzip
+    import time
+
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + bytes(range(256)) * 6
+    one = gzip.compress(f"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n")
+
+    def took(n):
+        began = time.process_time()
+        assert sum(b == block for _, b in warc.read_records(one * n)) == n
+        return time.process_time() - began
+
+    took(100)
+    assert took(16_000) < 6 * took(4_000) + 0.2
+
+
+def test_warc_records_like_a_plain_version(spark):
+    """Text by a parser of the standard library, digests and ids by their definitions, links in order."""
+    import base64
+    import hashlib
+    import uuid
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self, page):
+            super().__init__()
+            self.lines, self.links, self.quiet = [""], [], 0
+            self.feed(page)
+
+        def handle_starttag(self, tag, attrs):
+            for name, value in attrs:
+                if (tag, name) in (("a", "href"), ("img", "src"), ("link", "href"), ("iframe", "src")):
+                    self.links.append(f"outlink: {value.strip()} {tag}")
+            self.quiet += tag in ("script", "style")
+            self.lines += [""] * (tag not in ("a", "b", "i", "img", "span", "em"))
+
+        def handle_endtag(self, tag):
+            self.quiet -= tag in ("script", "style")
+            self.lines += [""] * (tag not in ("a", "b", "i", "span", "em"))
+
+        def handle_data(self, data):
+            parts = data.split("\n") if not self.quiet else []
+            for k, part in enumerate(parts):
+                self.lines += [""] * (k > 0)
+                self.lines[-1] += part
+
+    sha = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    pages = [(1, "http://a/", "<html><body><h1>T &amp; U</h1><p>one <b>two</b>\nthree<br>four</p><ul><li><a href=' /x?a=1&amp;b=2 '>l</a></li></ul><script>no()</script><img src=i.png></body></html>"), (2, "http://b/", "<div>é &lt;b&gt; ü</div>"), (3, None, "")]
+    made = {(r.page_id, r.warc_type): r for r in warc.derive(warc.responses(spark.createDataFrame(pages, "page_id long, url string, html string"))).collect()}
+    for i, url, page in pages:
+        body, parsed = page.encode(), Plain(page)
+        http = [b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8", b"Content-Length: %d" % len(body)]
+        response = b"\r\n".join([*http, b"", body])
+        text = "\n".join(x for x in (" ".join(line.split()) for line in parsed.lines) if x).encode()
+        name = f"<urn:uuid:{uuid.uuid5(uuid.UUID('6ba7b811-9dad-11d1-80b4-00c04fd430c8'), f'response {i} {url} {sha(body)}')}>"
+        lines = [f"sourcePayloadDigest: {sha(body)}", f"sourceBlockDigest: {sha(response)}", "httpStatus: " + http[0].decode(), *("httpHeader: " + h.decode() for h in http[1:]), *parsed.links]
+        for kind, block in (("conversion", text), ("metadata", "".join(f"{x}\r\n" for x in lines).encode())):
+            r = made[i, kind]
+            assert (bytes(r.block), r.block_digest, r.content_length, r.refers_to, r.source_payload_digest, r.target_uri) == (block, sha(block), len(block), name, sha(body), url)
+            fields = dict(line.split(": ", 1) for line in r.header.strip().split("\r\n")[1:])
+            assert fields["WARC-Refers-To"] == name and fields["WARC-Type"] == kind and fields["WARC-Block-Digest"] == sha(block) and fields.get("WARC-Target-URI") == url
+            assert r.record_id == f"<urn:uuid:{uuid.uuid5(uuid.UUID('6ba7b811-9dad-11d1-80b4-00c04fd430c8'), f'{kind} {name}')}>"
+
+
 # 4
 def _best(rows, k=20):
     ok = {i: [math.floor(64 * x) for x in v] for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v)}
