@@ -14,7 +14,8 @@ are merged by score, as they are the only pieces of equal score.
 
 Edge cases: null and empty texts have only the begin and end ids and decode to the empty text.
 Characters without a piece become their UTF-8 bytes' pieces. Rows repeat as in the input; extra
-columns are ignored.
+columns are ignored; an empty table gives an empty one. Texts and words of any length are taken whole: the table of last tokens of a word has an entry
+for each of its characters.
 """
 
 from __future__ import annotations
@@ -41,8 +42,10 @@ class PieceCodec:
 
         proto = pb.ModelProto()
         proto.ParseFromString(model)
-        assert proto.trainer_spec.model_type == 2, "a merge-type model is needed"
-        assert proto.normalizer_spec.name == "identity" and proto.normalizer_spec.add_dummy_prefix
+        if proto.trainer_spec.model_type != 2:
+            raise ValueError("a merge-type model is needed")
+        if proto.normalizer_spec.name != "identity" or not proto.normalizer_spec.add_dummy_prefix:
+            raise ValueError("a model without normalisation and with a dummy prefix is needed")
         self.unk = next(i for i, p in enumerate(proto.pieces) if p.type == 2)
         self.bos, self.eos = (next(i for i, p in enumerate(proto.pieces) if p.piece == n) for n in ("<s>", "</s>"))
         self.byte_ids = [0] * 256
@@ -57,7 +60,8 @@ class PieceCodec:
                 self.score[p.piece] = p.score
             self.surface.append(p.piece.replace(MARK, " ").encode() if p.type == 1 else b"")
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
-        assert not any(MARK in p.lstrip(MARK) for p in self.ids)
+        if any(MARK in p.lstrip(MARK) for p in self.ids):
+            raise ValueError("a piece goes over the end of a word")
         # Without a piece of letters and other characters, the two never merge.
         self.letters_apart = all(len(self._PARTS.findall(p)) == 1 for p in self.ids)
         # Order of merging: single characters first, then by descending score.
@@ -125,7 +129,7 @@ class PieceCodec:
     def fits(self, a: int, b: int) -> bool:
         """Whether a and b stay apart when encoded together: walk back both tokens' merges along
         the cut; no pair met there may merge before the merges that are walked back."""
-        known = self.compatible.get(a << 16 | b)
+        known = self.compatible.get(a << 32 | b)
         if known is None:
             left, right, limit = a, b, len(self.pieces)
             while True:
@@ -145,7 +149,7 @@ class PieceCodec:
                     break
             if len(self.compatible) > 2_000_000:
                 self.compatible.clear()
-            self.compatible[a << 16 | b] = known
+            self.compatible[a << 32 | b] = known
         return known
 
     def known_run(self, run: str) -> list[int]:
@@ -162,7 +166,7 @@ class PieceCodec:
             if start == 0:
                 last[end] = token
             elif (left := last[start]) >= 0:
-                fit = compatible.get(left << 16 | token)
+                fit = compatible.get(left << 32 | token)
                 if fit or fit is None and fits(left, token):
                     last[end] = token
         out, at, id_of = [], len(run), self.id_of
