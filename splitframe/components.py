@@ -17,7 +17,8 @@ from .frame import Frame
 from .functions import evaluate
 from .ml import gbdt, glm
 from .names import quoted
-from .operators import align, bins, encode, quantile, sampling, stat
+from .operators import align, bins, encode, follow, quantile, sampling, stat
+from .party import Exchange
 from .sources import readers
 
 STAGES = ("train", "predict", "cross_validation")
@@ -255,9 +256,29 @@ class FeatureCorrelation:
         return out
 
 
+class _Led:
+    """What a guest sends to its hosts, and how a host follows."""
+
+    def lead(self, frame: Frame, exchange: Exchange, hosts: list[str], name: str = "selection") -> dict[str, Frame]:
+        """The guest's parts; the hosts are sent the row index and the ranges of the parts."""
+        roles = frame.roles
+        leader = follow.Leader(exchange, frame.df, roles.sample_id, roles.match_id or roles.sample_id, hosts, self.random_state)
+        return {part: frame._with(df.drop(follow.NUMBER)) for part, df in leader.select(name, self.ranges(leader.total)).items()}
+
+    def follow(self, frame: Frame, exchange: Exchange, host: str, name: str = "selection") -> dict[str, Frame]:
+        """A host's rows of the guest's parts."""
+        made = follow.Follower(exchange, host, frame.df, frame.roles.match_id or frame.roles.sample_id).select(name)
+        return {part: frame._with(df.drop(follow.NUMBER)) for part, df in made.items()}
+
+
 @component("sample")
-class Sample:
-    """n or a share of rows, of each label for a dict of shares; with ``replace``, drawn with replacement."""
+class Sample(_Led):
+    """n or a share of rows, of each label for a dict of shares; with ``replace``, drawn with replacement. ``lead`` and ``follow`` sample aligned tables of several parties alike."""
+
+    def ranges(self, total: int) -> dict[str, list[tuple[int, int]]]:
+        if self.replace or isinstance(self.frac, dict):
+            raise ValueError("a sample that hosts follow is drawn once from all rows")
+        return follow.sample_range(total, self.n, self.frac)
 
     def __init__(self, n: int | None = None, frac: float | dict | None = None, replace: bool = False, random_state: int = 42):
         if (n is None) == (frac is None):
@@ -275,7 +296,14 @@ class Sample:
 
 
 @component("data_split")
-class DataSplit:
+class DataSplit(_Led):
+    """train, validate and test rows. ``lead`` and ``follow`` split aligned tables of several parties alike."""
+
+    def ranges(self, total: int) -> dict[str, list[tuple[int, int]]]:
+        if self.stratified:
+            raise ValueError("a split that hosts follow is not stratified")
+        return follow.split_ranges(total, *self.sizes)
+
     def __init__(self, train_size=None, validate_size=None, test_size=None, stratified: bool = False, random_state: int = 42):
         self.sizes, self.stratified, self.random_state = (train_size, validate_size, test_size), stratified, random_state
 
@@ -344,14 +372,26 @@ class _Learner:
         return (metrics, data) if output_cv_data else metrics
 
 
+def _in_batches(frame: Frame, kind: str, parameters: dict, features: list[str], warm_start: dict | None) -> dict:
+    """The state of mini-batch training: a model that training can go on from."""
+    options = {k: parameters[k] for k in ("lr", "batch_size")} | ({"penalty": "l2", "alpha": parameters["l2"]} if parameters["l2"] else {})
+    return glm.fit_mini_batch(frame.df, features, frame.roles.label, frame.roles.sample_id, epochs=parameters["epochs"] or 1, kind=kind, method=parameters["optimizer"], warm_start=warm_start, **options)
+
+
 @component("linear_regression")
 class LinearRegression(_Learner):
-    def __init__(self, epochs: int | None = None, lr: float = 0.01, l2: float = 0.0):
-        self.parameters = {"epochs": epochs, "lr": lr, "l2": l2}
+    """Exact, or with ``epochs`` by steps over all rows or, with ``batch_size``, over batches of rows; the latter go on from a fitted component."""
+
+    def __init__(self, epochs: int | None = None, lr: float = 0.01, l2: float = 0.0, batch_size: int | None = None, optimizer: str = "sgd"):
+        self.parameters = {"epochs": epochs, "lr": lr, "l2": l2, "batch_size": batch_size, "optimizer": optimizer}
         self.model: dict | None = None
 
-    def train(self, frame: Frame) -> DataFrame:
-        self.model = {"features": frame.columns, "weights": glm.fit_linear(frame.df, frame.columns, frame.roles.label, **self.parameters)}
+    def train(self, frame: Frame, warm_start: LinearRegression | None = None) -> DataFrame:
+        p = self.parameters
+        if p["batch_size"]:
+            self.model = {"features": frame.columns, **_in_batches(frame, "linear", p, frame.columns, warm_start and warm_start.model)}
+            return self.predict(frame)
+        self.model = {"features": frame.columns, "weights": glm.fit_linear(frame.df, frame.columns, frame.roles.label, p["epochs"], p["lr"], p["l2"])}
         return self.predict(frame)
 
     def predict(self, frame: Frame) -> DataFrame:
@@ -363,19 +403,24 @@ class LinearRegression(_Learner):
 
 @component("logistic_regression")
 class LogisticRegression(_Learner):
-    """Two classes, or more of them one against all others; ``party`` trains by rounds over the parties' own rows."""
+    """Two classes, or more of them one against all others; ``party`` trains by rounds over the parties' own rows.
 
-    def __init__(self, epochs: int = 20, lr: float = 0.15, l2: float = 0.0, threshold: float = 0.5, classes: list | None = None, party: str | None = None, optimizer: str = "sgd"):
-        self.parameters = {"epochs": epochs, "lr": lr, "l2": l2, "threshold": threshold, "classes": classes, "party": party, "optimizer": optimizer}
+    With ``batch_size`` two classes are trained in batches of rows, and training goes on from a fitted component.
+    """
+
+    def __init__(self, epochs: int = 20, lr: float = 0.15, l2: float = 0.0, threshold: float = 0.5, classes: list | None = None, party: str | None = None, optimizer: str = "sgd", batch_size: int | None = None):
+        self.parameters = {"epochs": epochs, "lr": lr, "l2": l2, "threshold": threshold, "classes": classes, "party": party, "optimizer": optimizer, "batch_size": batch_size}
         self.model: dict | None = None
 
-    def train(self, frame: Frame) -> DataFrame:
+    def train(self, frame: Frame, warm_start: LogisticRegression | None = None) -> DataFrame:
         p, label = self.parameters, frame.roles.label
         features = [c for c in frame.columns if c != p["party"]]
         if p["classes"] and len(p["classes"]) > 2:
             self.model = {"classes": p["classes"], "models": glm.fit_one_vs_rest(frame.df, features, label, p["classes"], epochs=p["epochs"], lr=p["lr"], l2=p["l2"])}
         elif p["party"]:
             self.model = {"weights": glm.fit_homo_logistic(frame.df, features, label, p["party"], p["epochs"], p["lr"], p["optimizer"], "l2" if p["l2"] else None, p["l2"])}
+        elif p["batch_size"]:
+            self.model = _in_batches(frame, "logistic", p, features, warm_start and warm_start.model)
         else:
             self.model = {"weights": glm.fit_logistic(frame.df, features, label, p["epochs"], p["lr"], p["l2"])}
         return self.predict(frame)

@@ -180,3 +180,26 @@ def test_events_once_and_late_ones_apart(spark, tmp_path):
     late = sorted((r.event_id, r["a value"]) for r in spark.read.parquet(places[2]).collect())
     assert on_time == [1, 2, 3, 4, 6, 8, 9]
     assert late == [(1, 1.5), (2, 2.0), (5, 5.0)]
+
+
+def test_components_lead_follow_and_resume(spark, tmp_path):
+    from splitframe import components
+    from splitframe.frame import Frame
+
+    guest = Frame.from_spark(spark.createDataFrame([(f"s{i}", i, float(i % 5), i % 2) for i in range(60)], "sid string, m long, x double, y int"), "sid", "m", "y", features=["x"])
+    host = Frame.from_spark(spark.createDataFrame([(f"h{i}", i, float(i)) for i in range(80)], "hid string, m long, v double"), "hid", "m", features=["v"])
+    for k, made in enumerate((components.create("data_split", train_size=0.5, validate_size=0.25, test_size=0.25), components.create("sample", n=13))):
+        exchange = Exchange(spark, f"{tmp_path}/{k}")
+        own, theirs = made.lead(guest, exchange, ["b"]), made.follow(host, Exchange(spark, f"{tmp_path}/{k}"), "b")
+        assert own.keys() == theirs.keys()
+        for part in own:
+            assert sorted(r.m for r in own[part].df.collect()) == sorted(r.m for r in theirs[part].df.collect())
+    assert own["sample"].count() == 13
+    with pytest.raises(ValueError):
+        components.create("sample", frac={0: 0.5}).lead(guest, Exchange(spark), [])
+    for name in ("logistic_regression", "linear_regression"):
+        whole, half, rest = (components.create(name, epochs=e, batch_size=16, optimizer="adam", l2=0.01) for e in (4, 2, 2))
+        whole.train(guest)
+        half.train(guest)
+        rest.train(guest, half)
+        assert rest.model["weights"] == pytest.approx(whole.model["weights"]) and rest.model["epoch"] == 4
