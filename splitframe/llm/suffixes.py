@@ -345,24 +345,15 @@ class SuffixArray:
     def __len__(self) -> int:
         return len(self.order)
 
-    def merge(self, other: SuffixArray) -> tuple[np.ndarray, np.ndarray]:
-        """The order of both arrays' strings, this one's first of equal ones, and which strings of ``other`` this one holds.
-
-        Two runs in order are merged in one pass, and a string stands beside its equal.
-        """
-        both = np.concatenate([self.values, other.values])
-        order = np.argsort(both, kind="stable")
-        ranked = both[order]
-        same = np.append(False, ranked[1:] == ranked[:-1])
-        known = np.zeros(len(other), bool)
-        known[order[same] - len(self)] = True
-        return order, known
+    def scan(self, other: SuffixArray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each string of ``other`` stands in this array, and whether it is there."""
+        at = np.searchsorted(self.values, other.values)
+        return at, self.values[np.minimum(at, len(self) - 1)] == other.values if len(self) else np.zeros(len(other), bool)
 
     def merged(self, other: SuffixArray) -> SuffixArray:
         """Both arrays as one; ``other`` holds strings that this one has not."""
-        order, _ = self.merge(other)
-        starts = np.concatenate([self.order, other.order + len(self.text)])
-        return SuffixArray(np.concatenate([self.text, other.text]), starts[order], np.concatenate([self.values, other.values])[order])
+        at, _ = self.scan(other)
+        return SuffixArray(np.concatenate([self.text, other.text]), np.insert(self.order, at, other.order + len(self.text)), np.insert(self.values, at, other.values))
 
     def without(self, gone: np.ndarray) -> SuffixArray:
         return SuffixArray(self.text, self.order[~gone], self.values[~gone])
@@ -371,7 +362,7 @@ class SuffixArray:
 class Family:
     """Levels of suffix arrays; each is at least twice as large as the next.
 
-    ``moved`` counts the strings that merges of levels have passed over: each string as often as there are levels, at most.
+    ``moved`` counts the strings that merges of levels have passed over.
     """
 
     def __init__(self):
@@ -379,10 +370,10 @@ class Family:
         self.moved = 0
 
     def known(self, batch: SuffixArray) -> np.ndarray:
-        """Which strings of ``batch`` a level holds, by a merge scan of each level."""
+        """Which strings of ``batch`` a level holds."""
         out = np.zeros(len(batch), bool)
         for level in self.levels:
-            out |= level.merge(batch)[1]
+            out |= level.scan(batch)[1]
         return out
 
     def add(self, batch: SuffixArray) -> None:
