@@ -204,9 +204,12 @@ def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, ho
     sums = soft.groupBy(f"{p}host").agg(*[F.sum(F.exp(own[k] - F.col(f"{p}whole"))).alias(f"s{k}") for k in each])
     levels = host_sums(saved(sums.withColumnRenamed(f"{p}host", "_host"), "host-counts"), langs)
     levels = levels.withColumnsRenamed({"_host": f"{p}host", "_levels": f"{p}levels"})
-    rest = left_out_priors(len(langs))(F.flatten(f"{p}levels"), F.array(*own, other + math.log(len(langs))))
-    out = d.join(levels, f"{p}host").withColumn(f"{p}prior", rest)  # each host has its sums
-    out = out.withColumns({f"{p}all{k}": own[k] + F.get(f"{p}prior", k) for k in each})
+    # Row numbers keep a filter on the verdict above the steps; below, it would spell out each of them for each use.
+    step = lambda n: {f"{p}step{n}": F.monotonically_increasing_id()}
+    out = d.join(levels, f"{p}host").withColumn(f"{p}whole", _log_sum([*own, other + math.log(len(langs))]))  # each host has its sums
+    out = out.withColumns({f"{p}mine{k}": F.exp(own[k] - F.col(f"{p}whole")) for k in each} | step(0))
+    priors = left_out_priors(F.col(f"{p}levels"), [F.col(f"{p}mine{k}") for k in each])
+    out = out.withColumns({f"{p}all{k}": own[k] + F.log(priors[k]) for k in each} | step(1))
     total = [F.col(f"{p}all{k}") for k in each]
     out = out.withColumns({f"{p}best": F.greatest(*total) if len(total) > 1 else total[0], f"{p}whole": _log_sum([*total, other])})
     chosen = F.coalesce(*[F.when(total[k] == F.col(f"{p}best"), x) for k, x in enumerate(langs)])
@@ -216,7 +219,7 @@ def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, ho
         F.when(known, posterior).otherwise(0.0).alias("posterior"),
         (known & (posterior >= LEAST_POSTERIOR)).alias("accepted"),
     )
-    extra = [f"{p}host", f"{p}score", f"{p}code", f"{p}n", f"{p}prior", f"{p}levels", f"{p}best", f"{p}whole", *[f"{p}own{k}" for k in range(len(langs) + 1)], *[f"{p}all{k}" for k in each]]
+    extra = [f"{p}host", f"{p}score", f"{p}code", f"{p}n", f"{p}levels", f"{p}step0", f"{p}step1", *[f"{p}mine{k}" for k in each], f"{p}best", f"{p}whole", *[f"{p}own{k}" for k in range(len(langs) + 1)], *[f"{p}all{k}" for k in each]]
     return out.withColumn(into, verdict).drop(*extra)
 
 
@@ -235,27 +238,14 @@ def host_sums(sums: DataFrame, langs: list[str]) -> DataFrame:
     return met.select("_host", F.array(F.array(*[F.lit(float(g)) for g in everything]), F.col("x"), F.col("m"), F.array(*[F.col(f"s{i}") for i in k])).alias("_levels"))
 
 
-def left_out_priors(n: int):
-    """A function of a host's levels and a row's own scores (and the one of other texts): the log prior of each of ``n`` languages from all rows but this one.
-
-    Each level's sums, less the row's own part, are smoothed by the level above it.
-    """
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def priors(levels: pd.Series, own: pd.Series) -> pd.Series:
-        if not len(levels):
-            return pd.Series([], dtype=object)
-        sums = np.stack(levels.to_numpy()).reshape(len(levels), -1, n)
-        scores = np.stack(own.to_numpy())
-        parts = np.exp(scores - scores.max(axis=1, keepdims=True))
-        mine = (parts / parts.sum(axis=1, keepdims=True))[:, :n]
-        p = np.full_like(mine, 1 / n)
-        for level in range(sums.shape[1]):
-            held, smoothing = np.maximum(sums[:, level] - mine, 0.0), SMOOTHING if level else n
-            p = (held + smoothing * p) / (held.sum(axis=1, keepdims=True) + smoothing)
-        return pd.Series(list(np.log(p)), dtype=object)
-
-    return priors.asNondeterministic()  # it gives the same each time, but a filter on the verdict is not to run it again
+def left_out_priors(levels: Column, mine: list[Column]) -> list[Column]:
+    """The prior of each language from all rows but this one: each level's sums, less the row's own part, are smoothed by the level above it."""
+    p = [F.lit(1.0 / len(mine))] * len(mine)
+    for n, smoothing in enumerate((float(len(mine)), SMOOTHING, SMOOTHING, SMOOTHING)):
+        held = [F.greatest(F.get(F.get(levels, n), k) - m, F.lit(0.0)) for k, m in enumerate(mine)]
+        whole = sum(held[1:], held[0]) + smoothing
+        p = [(h + smoothing * above) / whole for h, above in zip(held, p)]
+    return p
 
 
 def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
@@ -269,5 +259,5 @@ def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
 def accepted_documents(docs: DataFrame, model: TextModel) -> DataFrame:
     """Rows of ``docs`` whose language is certain enough; ``lang`` is the declaration, ``source`` the host."""
     found = "_language" + "_" * max([0, *(len(c) for c in docs.columns)])
-    out = identify(docs, model, F.col("text"), F.col("lang"), F.col("source"), found, done_with=[])
+    out = identify(docs, model, F.col("text"), F.col("lang"), F.col("source"), found)
     return out.where(F.col(found)["accepted"]).select(*[F.col(f"`{c}`") for c in docs.columns])
