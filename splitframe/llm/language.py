@@ -7,7 +7,7 @@ For each row, log P(language | evidence) adds up, before normalising:
 * suffix: the last label of the address, if it is the code of a language;
 * host: a prior smoothed from all rows to the address suffix, the domain and the host in turn. Its
   counts are sums of the posteriors without it, from grouped aggregation over all rows, less the row's own, which has
-  its say already.
+  its say already (``identify_pages``), or with it (``accepted_documents``, for the memory that its stage has).
 
 The text model is fitted on about ``FIT_ROWS`` labelled documents (chosen by a hash of the id); all
 other counts cover all rows.
@@ -159,11 +159,12 @@ def _told(code: Column, language: str | None, languages: list[str], right: float
     return F.when(code == F.lit(language), math.log(right)).when(code.isin(languages), wrong).otherwise(0.0)
 
 
-def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, host: Column, into: str = "_language", done_with: list[str] | None = None) -> DataFrame:
+def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, host: Column, into: str = "_language", done_with: list[str] | None = None, leave_out: bool = True) -> DataFrame:
     """``df`` with struct column ``into`` (language, posterior, accepted); its other columns stay as they are.
 
     The scores are read twice, for the host priors and for the verdict. Given the columns that nothing needs
     afterwards (``done_with``), scores and the other columns are written in between instead of worked out again.
+    With ``leave_out`` a row's own posterior is taken out of its host's prior, in a batch function; without it all of a host's rows have one prior.
     """
     langs = model.languages
     p = "_" * max([1, *(len(c) for c in df.columns)])  # no column has such a name with more after it
@@ -202,14 +203,14 @@ def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, ho
         d = saved(d.drop(*done_with), "language-scores")
     soft = d.select(f"{p}host", *own, (other + math.log(len(langs))).alias(f"{p}other")).withColumn(f"{p}whole", _log_sum([*own, F.col(f"{p}other")]))
     sums = soft.groupBy(f"{p}host").agg(*[F.sum(F.exp(own[k] - F.col(f"{p}whole"))).alias(f"s{k}") for k in each])
-    levels = host_sums(saved(sums.withColumnRenamed(f"{p}host", "_host"), "host-counts"), langs)
-    levels = levels.withColumnsRenamed({"_host": f"{p}host", "_levels": f"{p}levels"})
-    # Row numbers keep a filter on the verdict above the steps; below, it would spell out each of them for each use.
-    step = lambda n: {f"{p}step{n}": F.monotonically_increasing_id()}
-    out = d.join(levels, f"{p}host").withColumn(f"{p}whole", _log_sum([*own, other + math.log(len(langs))]))  # each host has its sums
-    out = out.withColumns({f"{p}mine{k}": F.exp(own[k] - F.col(f"{p}whole")) for k in each} | step(0))
-    priors = left_out_priors(F.col(f"{p}levels"), [F.col(f"{p}mine{k}") for k in each])
-    out = out.withColumns({f"{p}all{k}": own[k] + F.log(priors[k]) for k in each} | step(1))
+    sums = saved(sums.withColumnRenamed(f"{p}host", "_host"), "host-counts")
+    if leave_out:
+        levels = host_sums(sums, langs).withColumnsRenamed({"_host": f"{p}host", "_levels": f"{p}levels"})
+        rest = left_out_priors(len(langs))(F.flatten(f"{p}levels"), F.array(*own, other + math.log(len(langs))))
+        out = d.join(levels, f"{p}host").withColumn(f"{p}prior", rest).drop(f"{p}levels")  # each host has its sums
+    else:
+        out = d.join(host_priors(sums, langs).withColumnsRenamed({"_host": f"{p}host", "_prior": f"{p}prior"}), f"{p}host", "left")
+    out = out.withColumns({f"{p}all{k}": own[k] + F.coalesce(F.get(f"{p}prior", k), F.lit(-math.log(len(langs)))) for k in each})
     total = [F.col(f"{p}all{k}") for k in each]
     out = out.withColumns({f"{p}best": F.greatest(*total) if len(total) > 1 else total[0], f"{p}whole": _log_sum([*total, other])})
     chosen = F.coalesce(*[F.when(total[k] == F.col(f"{p}best"), x) for k, x in enumerate(langs)])
@@ -219,10 +220,36 @@ def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, ho
         F.when(known, posterior).otherwise(0.0).alias("posterior"),
         (known & (posterior >= LEAST_POSTERIOR)).alias("accepted"),
     )
-    extra = [f"{p}host", f"{p}score", f"{p}code", f"{p}n", f"{p}levels", f"{p}step0", f"{p}step1", *[f"{p}mine{k}" for k in each], f"{p}best", f"{p}whole", *[f"{p}own{k}" for k in range(len(langs) + 1)], *[f"{p}all{k}" for k in each]]
+    extra = [f"{p}host", f"{p}score", f"{p}code", f"{p}n", f"{p}prior", f"{p}best", f"{p}whole", *[f"{p}own{k}" for k in range(len(langs) + 1)], *[f"{p}all{k}" for k in each]]
     return out.withColumn(into, verdict).drop(*extra)
 
 
+def host_priors(sums: DataFrame, langs: list[str]) -> DataFrame:
+    """Log priors by host: each level's counts are smoothed by the level above it."""
+    k = range(len(langs))
+    name = F.col("_host")
+    parts = F.split(name, r"\.")
+    d = sums.withColumns({"_suffix": F.element_at(parts, -1), "_domain": F.concat_ws(".", F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2))})
+
+    def level(by: list[str], tag: str) -> DataFrame:
+        return d.groupBy(*by).agg(*[F.sum(f"s{i}").alias(f"{tag}{i}") for i in k])
+
+    everything = d.agg(*[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)).alias(f"g{i}") for i in k]).first()
+    total = sum(everything) or 1.0
+    top = [(x + 1.0) / (total + len(langs)) for x in everything]
+    d = d.join(level(["_suffix"], "x"), "_suffix").join(level(["_suffix", "_domain"], "m"), ["_suffix", "_domain"])
+
+    def smoothed(tag: str, above: list[Column]) -> list[Column]:
+        whole = sum((F.col(f"{tag}{i}") for i in k), F.lit(0.0))
+        return [(F.col(f"{tag}{i}") + SMOOTHING * above[i]) / (whole + SMOOTHING) for i in k]
+
+    p = [F.lit(x) for x in top]
+    for tag in ("x", "m", "s"):
+        d = d.withColumns({f"p_{tag}{i}": c for i, c in enumerate(smoothed(tag, p))})
+        p = [F.col(f"p_{tag}{i}") for i in k]
+    return d.select("_host", F.array(*[F.log(c) for c in p]).alias("_prior"))
+
+
 def host_sums(sums: DataFrame, langs: list[str]) -> DataFrame:
     """_host and ``_levels``: the sums by language of all rows, of the host's suffix, of its domain and of itself, from the sums s0, s1, ... by host."""
     k = range(len(langs))
@@ -238,14 +265,27 @@ def host_sums(sums: DataFrame, langs: list[str]) -> DataFrame:
     return met.select("_host", F.array(F.array(*[F.lit(float(g)) for g in everything]), F.col("x"), F.col("m"), F.array(*[F.col(f"s{i}") for i in k])).alias("_levels"))
 
 
-def left_out_priors(levels: Column, mine: list[Column]) -> list[Column]:
-    """The prior of each language from all rows but this one: each level's sums, less the row's own part, are smoothed by the level above it."""
-    p = [F.lit(1.0 / len(mine))] * len(mine)
-    for n, smoothing in enumerate((float(len(mine)), SMOOTHING, SMOOTHING, SMOOTHING)):
-        held = [F.greatest(F.get(F.get(levels, n), k) - m, F.lit(0.0)) for k, m in enumerate(mine)]
-        whole = sum(held[1:], held[0]) + smoothing
-        p = [(h + smoothing * above) / whole for h, above in zip(held, p)]
-    return p
+def left_out_priors(n: int):
+    """A function of a host's levels and a row's own scores (and the one of other texts): the log prior of each of ``n`` languages from all rows but this one.
+
+    Each level's sums, less the row's own part, are smoothed by the level above it.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def priors(levels: pd.Series, own: pd.Series) -> pd.Series:
+        if not len(levels):
+            return pd.Series([], dtype=object)
+        sums = np.stack(levels.to_numpy()).reshape(len(levels), -1, n)
+        scores = np.stack(own.to_numpy())
+        parts = np.exp(scores - scores.max(axis=1, keepdims=True))
+        mine = (parts / parts.sum(axis=1, keepdims=True))[:, :n]
+        p = np.full_like(mine, 1 / n)
+        for level in range(sums.shape[1]):
+            held, smoothing = np.maximum(sums[:, level] - mine, 0.0), SMOOTHING if level else n
+            p = (held + smoothing * p) / (held.sum(axis=1, keepdims=True) + smoothing)
+        return pd.Series(list(np.log(p)), dtype=object)
+
+    return priors.asNondeterministic()  # it gives the same each time, but a filter on the verdict is not to run it again
 
 
 def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
@@ -259,5 +299,5 @@ def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
 def accepted_documents(docs: DataFrame, model: TextModel) -> DataFrame:
     """Rows of ``docs`` whose language is certain enough; ``lang`` is the declaration, ``source`` the host."""
     found = "_language" + "_" * max([0, *(len(c) for c in docs.columns)])
-    out = identify(docs, model, F.col("text"), F.col("lang"), F.col("source"), found)
+    out = identify(docs, model, F.col("text"), F.col("lang"), F.col("source"), found, leave_out=False)
     return out.where(F.col(found)["accepted"]).select(*[F.col(f"`{c}`") for c in docs.columns])
