@@ -385,26 +385,16 @@ def _weighed(contexts) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.log10(np.maximum(1.0 - used, 1e-300) / np.maximum(1.0 - open_, 1e-300))
 
 
-def _weights(contexts: DataFrame, asks: DataFrame | None = None) -> DataFrame:
-    """The table of backoff weights: of all contexts, or of those that ``asks`` holds."""
+def _weights(contexts: DataFrame) -> DataFrame:
+    """The table of backoff weights of ``contexts``."""
     import pyarrow as pa
 
-    def row(order: int, range_: int, keys, weights):
-        return pa.table([pa.array([order], pa.int32()), pa.array([range_], pa.int64()), pa.array([pack_sorted(keys)], pa.binary()), pa.array([weights.tobytes()], pa.binary())], ["order", "range", "keys", "weights"])
-
-    def every(table):
-        return row(table.column("order")[0].as_py(), table.column("range")[0].as_py(), *_weighed(table))
-
-    def asked(table, asks_):
+    def weighed(table):
         keys, weights = _weighed(table)
-        wanted = np.unique(np.concatenate([np.zeros(0, np.uint64), *(unpack_sorted(x) for x in asks_.column("keys").to_pylist())]))
-        has = np.isin(keys, wanted)
-        named = table if table.num_rows else asks_
-        return row(named.column("order")[0].as_py(), named.column("range")[0].as_py(), keys[has], weights[has])
+        values = [table.column("order")[0].as_py()], [table.column("range")[0].as_py()], [pack_sorted(keys)], [weights.tobytes()]
+        return pa.table([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["order", "range", "keys", "weights"])
 
-    if asks is None:
-        return contexts.groupBy("order", "range").applyInArrow(every, _WEIGHTS)
-    return contexts.groupBy("order", "range").cogroup(asks.groupBy("order", "range")).applyInArrow(asked, _WEIGHTS)
+    return contexts.groupBy("order", "range").applyInArrow(weighed, _WEIGHTS)
 
 
 def _asks(scored: DataFrame, totals: Totals) -> DataFrame:
@@ -473,7 +463,7 @@ def score(docs: DataFrame, order: int = ORDER, block_tokens: int = BLOCK_TOKENS)
     scored = saved(_scored(blocks, counts, totals), "lm-scored")
     asks = _asks(scored, totals)
     wanted = _wanted(blocks, asks, totals)
-    weights = saved(_weights(_contexts(blocks, counts, totals, wanted), asks), "lm-weights")
+    weights = saved(_weights(_contexts(blocks, counts, totals, wanted)), "lm-weights")
     discard(blocks, *counts, *wanted)
     return _finished(scored, asks, weights, totals)
 
