@@ -322,12 +322,20 @@ def _scored(blocks: DataFrame, counts: list[DataFrame], totals: Totals) -> DataF
 
 
 def _doubles(values: np.ndarray) -> bytes:
-    """Floating-point numbers with equal bytes of all of them together, squeezed."""
-    return squeeze(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes())
+    """Floating-point numbers, squeezed: the distinct ones and the place of each among them, or all in a row if few repeat."""
+    distinct, place = np.unique(values, return_inverse=True)
+    if 2 * len(distinct) > len(values):
+        distinct, place = values, place[:0]
+    planes = np.ascontiguousarray(distinct.view(np.uint8).reshape(-1, 8).T).tobytes()  # equal bytes of all of them together
+    return squeeze(len(distinct).to_bytes(8, "little") + planes + pack(place))
 
 
 def _undoubled(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(unsqueeze(data), np.uint8).reshape(8, -1).T).view(np.float64).ravel()
+    data = unsqueeze(data)
+    end = 8 + 8 * int.from_bytes(data[:8], "little")
+    distinct = np.ascontiguousarray(np.frombuffer(data[8:end], np.uint8).reshape(8, -1).T).view(np.float64).ravel()
+    place = unpack(data[end:])
+    return distinct[place] if len(place) else distinct
 
 
 _CONTEXT = "order int, range long, keys binary, used binary, open binary"
@@ -391,7 +399,7 @@ def _weights(contexts: DataFrame) -> DataFrame:
 
     def weighed(table):
         keys, weights = _weighed(table)
-        values = [table.column("order")[0].as_py()], [table.column("range")[0].as_py()], [pack_sorted(keys)], [weights.tobytes()]
+        values = [table.column("order")[0].as_py()], [table.column("range")[0].as_py()], [pack_sorted(keys)], [_doubles(weights)]
         return pa.table([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["order", "range", "keys", "weights"])
 
     return contexts.groupBy("order", "range").applyInArrow(weighed, _WEIGHTS)
@@ -418,7 +426,7 @@ def _finished(scored: DataFrame, asks: DataFrame, weights: DataFrame, totals: To
 
     def answered(asks_, weights_):
         keys = np.concatenate([np.zeros(0, np.uint64), *(unpack_sorted(x) for x in weights_.column("keys").to_pylist())])
-        values = np.concatenate([np.zeros(0), *(np.frombuffer(x) for x in weights_.column("weights").to_pylist())])
+        values = np.concatenate([np.zeros(0), *map(_undoubled, weights_.column("weights").to_pylist())])
         out = []
         for wanted in asks_.column("keys").to_pylist():
             wanted = unpack_sorted(wanted)
