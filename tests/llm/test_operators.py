@@ -631,6 +631,22 @@ def test_kept_model_scores_like_the_corpus(docs, rows, tmp_path):
         assert got[i][:4] == want[i][:4] and got[i][4:] == pytest.approx(want[i][4:], rel=1e-9)
 
 
+@pytest.mark.parametrize("x", [[], [0.25], [1.0, -2.5, 1e-300], [0.1, 0.2] * 9, list(np.linspace(-3, 3, 300)), [0.0] * 70_000 + [math.pi]])
+def test_packed_sums_come_back_bit_for_bit(x):
+    x = np.array(x, np.float64)
+    assert lm._undoubled(lm._doubles(x)).tobytes() == x.tobytes()
+
+
+def test_weights_are_kept_for_every_context_asked_for(docs, monkeypatch):
+    held = {}
+    monkeypatch.setattr(lm, "_finished", lambda scored, asks, weights, totals: held.update(asks=asks.collect(), weights=weights.collect()))
+    lm.score(docs, block_tokens=500)
+    known = {(r["order"], r["range"]): set(lm.unpack_sorted(r["keys"]).tolist()) for r in held["weights"]}
+    assert held["asks"]
+    for r in held["asks"]:
+        assert set(lm.unpack_sorted(r["keys"]).tolist()) <= known[r["order"], r["range"]]
+
+
 def test_packed_integers_of_any_size():
     for most in (0, 1, 255, 256, 2**32 - 1, 2**32, 2**45, 2**62):
         x = np.array([0, 1, most, most // 3])
