@@ -21,7 +21,7 @@ compared byte by byte.
    minimum, however many documents hold it.
 5. Repeats come back to their document as byte ranges.
 
-``IndexFamily`` keeps such indexes of former batches of documents as tables and adds new batches to them.
+``family.IndexFamily`` keeps sorted anchors of former batches of documents in levels and scans them for each new batch.
 
 Edge cases: null text is the empty text and stays null in ``without_repeats``. Texts under LENGTH bytes lose
 nothing. Rows that repeat both doc_id and text are one document and all have its result. A null doc_id
@@ -33,14 +33,13 @@ kept by ``without_repeats``, whatever their names.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, discard, mix64, powers, saved, shared_dir
+from .common import BYTE_VALUES, discard, mix64, powers, saved
 from .slices import bits_for, edges, pack, pack_sorted, unpack, unpack_sorted
 
 LENGTH = 100
@@ -247,11 +246,8 @@ def _anchors(blocks: DataFrame, bits: int, length: int) -> DataFrame:
     return blocks.mapInArrow(made, "batch long, block long, range long, keys binary, runs binary")
 
 
-def _flags(anchors: DataFrame, hot_runs: int, newest: int | None) -> DataFrame:
-    """For each anchor of each block: 0 (all its runs are this one), 1 (there are others) or 2 (more than ``hot_runs`` of them).
-
-    Given the newest batch, anchors that are not in it get 0.
-    """
+def _flags(anchors: DataFrame, hot_runs: int) -> DataFrame:
+    """For each anchor of each block: 0 (all its runs are this one), 1 (there are others) or 2 (more than ``hot_runs`` of them)."""
     import pyarrow as pa
 
     def counted(table):
@@ -261,12 +257,6 @@ def _flags(anchors: DataFrame, hot_runs: int, newest: int | None) -> DataFrame:
         total = np.bincount(inverse, weights=runs_of)
         cut = np.cumsum([0, *map(len, each)])
         flag = (total > 1).astype(np.uint8) + (total > hot_runs)
-        if newest is not None:
-            present = np.zeros(len(found), bool)
-            for k, batch in enumerate(table.column("batch").to_pylist()):
-                if batch == newest:
-                    present[inverse[cut[k] : cut[k + 1]]] = True
-            flag *= present
         flag = flag[inverse]
         flags = [flag[a:b].tobytes() for a, b in zip(cut, cut[1:])]
         highest = [int(flag[a:b].max(initial=0)) for a, b in zip(cut, cut[1:])]
@@ -276,6 +266,12 @@ def _flags(anchors: DataFrame, hot_runs: int, newest: int | None) -> DataFrame:
 
 
 def _flag_of_runs(b: Block, flags) -> np.ndarray:
+    if "keys" in flags.column_names:  # a family's flags name their anchors; all others have 0
+        if not flags.num_rows:
+            return np.zeros(len(b.keys), np.uint8)
+        named = np.frombuffer(b"".join(flags.column("keys").to_pylist()), "<u8")
+        at = np.minimum(np.searchsorted(named, b.keys), len(named) - 1)
+        return np.where(b.known | (named[at] != b.keys), 0, np.frombuffer(b"".join(flags.column("flags").to_pylist()), np.uint8)[at])
     parts = sorted(zip(flags.column("range").to_pylist(), flags.column("flags").to_pylist()))
     by_anchor = np.frombuffer(b"".join(x for _, x in parts), np.uint8)
     return np.where(b.known, 0, by_anchor[np.minimum(np.searchsorted(b.anchors, b.keys), len(b.anchors) - 1)])
@@ -495,12 +491,9 @@ def _with_digest(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
 
 
-def _matched(blocks: DataFrame, anchors: DataFrame, n_bytes: int, length: int, batch_starts: int, hot_runs: int, newest: int | None = None) -> DataFrame:
-    """Ranges (doc_id, digest, ranges) of what is repeated in ``blocks``, or in its newest batch."""
-    flags = saved(_flags(anchors, hot_runs, newest), "repeat-flags")
-    if newest is not None:  # of older batches, only blocks that share an anchor with the newest
-        sharing = flags.where("highest > 0").select("batch", "block").distinct()
-        blocks = blocks.where(F.col("batch") == newest).unionAll(blocks.where(F.col("batch") != newest).join(sharing, ["batch", "block"], "left_semi").select(*blocks.columns))
+def _matched(blocks: DataFrame, anchors: DataFrame, n_bytes: int, length: int, batch_starts: int, hot_runs: int) -> DataFrame:
+    """Ranges (doc_id, digest, ranges) of what is repeated in ``blocks``."""
+    flags = saved(_flags(anchors, hot_runs), "repeat-flags")
     found = _repeats(_contexts(blocks, flags, bits_for(n_bytes, GROUP_STARTS), length), length, batch_starts)
     if not flags.where("highest = 2").isEmpty():
         found = found.unionAll(_hot_repeats(blocks, flags, length))
@@ -570,48 +563,3 @@ def _apply(docs: DataFrame, ranges: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = LENGTH, batch_starts: int = BATCH_STARTS, hot_runs: int = HOT_RUNS) -> DataFrame:
     """``docs`` with repeats cut out of ``text``; a character that is cut in part goes whole. Null text stays null."""
     return _apply(docs, _located(_with_digest(docs), length, batch_starts, hot_runs))
-
-
-class IndexFamily:
-    """Indexes of former batches of documents, as tables in the shared folder or under ``path``.
-
-    ``add`` cuts out of a new batch what starts earlier in it or in any level, then makes it the lowest
-    level; levels of like size become one table, so a batch meets logarithmically many. A level holds the blocks of
-    texts and, dealt out by a fixed number of ``bits``, the anchors of their runs; only blocks with anchors of the new batch are read whole.
-    """
-
-    def __init__(self, spark: SparkSession, path: str | None = None, length: int = LENGTH, bits: int = 10):
-        self.spark, self.length, self.bits = spark, length, bits
-        self.path = path or f"{shared_dir(spark)}/family-{uuid.uuid4().hex}"
-        self.levels: list[tuple[int, str]] = []  # bytes, folder
-        self.batches = 0
-
-    def _read(self, kind: str) -> DataFrame | None:
-        tables = [self.spark.read.parquet(f"{folder}/{kind}") for _, folder in self.levels]
-        out = None
-        for t in tables:
-            out = t if out is None else out.unionByName(t)
-        return out
-
-    def add(self, docs: DataFrame) -> DataFrame:
-        """``docs`` without what starts earlier; the texts of the batch are indexed as they came."""
-        keyed = _with_digest(docs)
-        self.batches += 1
-        folder = f"{self.path}/{self.batches}-{uuid.uuid4().hex}"
-        size = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        _blocks(keyed, self.length, self.batches).write.parquet(f"{folder}/blocks")
-        blocks = self.spark.read.schema(_BLOCK).parquet(f"{folder}/blocks")
-        _anchors(blocks, self.bits, self.length).write.parquet(f"{folder}/anchors")
-        self.levels.append((size, folder))
-        total = sum(n for n, _ in self.levels)
-        found = _matched(self._read("blocks"), self._read("anchors"), total, self.length, BATCH_STARTS, HOT_RUNS, self.batches)
-        here = keyed.select("doc_id", "digest").distinct()
-        found = found.withColumnsRenamed({"doc_id": "i", "digest": "h"}).join(here, F.expr("h = digest and i <=> doc_id"), "left_semi").select(F.col("i").alias("doc_id"), F.col("h").alias("digest"), "ranges")
-        ranges = saved(found.groupBy("doc_id", "digest").agg(F.collect_list("ranges").alias("ranges"), F.lit(False).alias("copy")), "family-ranges")
-        while len(self.levels) > 1 and self.levels[-2][0] < 2 * self.levels[-1][0]:
-            (low, one), (high, two) = self.levels.pop(), self.levels.pop()
-            merged = f"{self.path}/{self.batches}-{uuid.uuid4().hex}"
-            for kind in ("blocks", "anchors"):
-                self.spark.read.parquet(f"{two}/{kind}").unionByName(self.spark.read.parquet(f"{one}/{kind}")).write.parquet(f"{merged}/{kind}")
-            self.levels.append((low + high, merged))
-        return _apply(docs, ranges)

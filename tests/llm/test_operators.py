@@ -13,6 +13,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from splitframe.llm import components, html_text, jaccard, language, lm, packing, pieces, quality, slices, suffixes, topk, warc
+from splitframe.llm.family import IndexFamily
 
 from . import brute
 
@@ -366,7 +367,7 @@ def test_suffix_arrays_merge_geometrically():
 def test_index_family_adds_batches(docs, rows):
     """Batch after batch gives what all at once does, as ids rise from batch to batch."""
     want = brute.repeats([r[:2] for r in rows])
-    family, got = suffixes.IndexFamily(docs.sparkSession, bits=6), {}
+    family, got = IndexFamily(docs.sparkSession, bits=6), {}
     for low, high in ((0, 200), (200, 400), (400, 10**6)):
         got |= {r.doc_id: r.text for r in family.add(docs.where(f"doc_id >= {low} and doc_id < {high}")).collect()}
     assert got == {r[0]: None if r[1] is None else want[r[0]][5] for r in rows}
