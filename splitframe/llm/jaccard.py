@@ -9,10 +9,11 @@ fragments; for a candidate pair the overlap is counted in each fragment separate
    set of n with fewer than t*n n-grams left can't have a link and rests.
 3. Prefix filter: two linked sets share one of their first ``left - ceil(t*n) + 1`` n-grams, and of the
    first one that they share enough n-grams stand from it on in both (position filter).
-   * In turns, all sets of a prefix n-gram meet its hubs: those with the least n-grams of their own,
-     the middle of a group of near copies. Verified pairs join components; pairs within one need no
-     test. A hub that all have met leaves the n-gram. Each turn has four times the hubs of the last.
-   * As soon as the pairs that are left are no more than MEET times the prefix n-grams of the first turn, they all meet.
+   * An n-gram with at most MEET pairs for each of its sets has them all meet at once. In a larger one, in turns,
+     all sets meet its hubs: those with the least n-grams of their own, the middle of a group of near copies.
+     Verified pairs join components; pairs within one need no test. A hub that all have met leaves the
+     n-gram. Each turn has four times the hubs of the last.
+   * After the first turn, as soon as the pairs that are left are no more than MEET times its prefix n-grams, they all meet.
      No component loses a link, and no step makes more rows than a fixed multiple of its input.
 4. Overlaps of pairs are counted per fragment, summed per pair, and the exact test is on integers.
 
@@ -42,7 +43,7 @@ WORDS = 5
 PERCENT = 75
 #: Cuts of the global order; a row of step 4 holds one part in so many of a set.
 FRAGMENTS = 8
-#: Pairs for each prefix n-gram that may meet at once.
+#: Pairs for each set of an n-gram, or for each prefix n-gram of the first turn, that may meet at once.
 MEET = 16
 BLOCK_GRAMS = 1_000_000
 _STEPS = np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -228,22 +229,26 @@ def _linked_sets(sets: DataFrame, percent: int, fragments: int, meet: float = ME
         about = entries.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"), F.max("rest").alias("most")).where("low < high")
         open_ = saved(entries.join(about, "gram").where(may_link(F.col("n"), F.col("least"), F.col("rest"), F.col("most"))).select("gram", "id", "n", "rest", "own", "label"), "jaccard-open")
         shares = open_.groupBy("gram", "label").agg(F.count("*").cast("double").alias("k")).groupBy("gram").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("within"))
-        size, pairs_left = shares.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum(F.col("k") * F.col("k") - F.col("within")) / 2, F.lit(0))).first()
+        shares = saved(shares.select("gram", "k", ((F.col("k") * F.col("k") - F.col("within")) / 2).alias("pairs")), "jaccard-shares")
+        many = F.col("pairs") > meet * F.col("k")
+        size, pairs_left, any_many = shares.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.max(many), F.lit(False))).first()
+        last = not any_many or limit is not None and pairs_left <= limit
         limit = meet * size if limit is None else limit
-        last = pairs_left <= limit
-        meeting = open_
+        meeting = open_.withColumn("whole", F.lit(True))
         if not last:
+            large = shares.where(many).select("gram")
             rank = F.row_number().over(Window.partitionBy("gram").orderBy("own", F.xxhash64("id"), "id"))
-            meeting = saved(open_.withColumn("rank", rank).where(F.col("rank") <= hubs).drop("rank"), "jaccard-hubs")
-        other = meeting.select("gram", F.col("id").alias("other"), F.col("n").alias("m"), F.col("rest").alias("rest_other"), F.col("label").alias("to"))
-        apart = F.col("label") < F.col("to") if last else F.col("label") != F.col("to")
+            few = open_.join(large, "gram", "left_semi").withColumn("rank", rank).where(F.col("rank") <= hubs).drop("rank")
+            meeting = saved(few.withColumn("whole", F.lit(False)).unionByName(meeting.join(large, "gram", "left_anti")), "jaccard-hubs")
+        other = meeting.select("gram", F.col("id").alias("other"), F.col("n").alias("m"), F.col("rest").alias("rest_other"), F.col("label").alias("to"), "whole")
+        apart = (F.col("label") < F.col("to")) | ~F.col("whole") & (F.col("label") != F.col("to"))
         met = open_.join(other, "gram").where(apart & may_link(F.col("n"), F.col("m"), F.col("rest"), F.col("rest_other")))
         first = F.col("id") < F.col("other")
         of = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
         pairs = met.select(of("id", "other").alias("a"), of("other", "id").alias("b"), of("label", "to").alias("of_a"), of("to", "label").alias("of_b")).distinct()
         new = saved(linked(pairs, segments, percent).select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct(), "jaccard-links")
         discard(*before)
-        before = [open_, meeting, new] if not last else [open_, new]
+        before = [open_, shares, meeting, new] if not last else [open_, shares, new]
         if not new.isEmpty():  # links between components, which become one
             joined = components(new).withColumnRenamed("node", "was")
             if labels is None:

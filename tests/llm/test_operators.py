@@ -704,3 +704,18 @@ def test_near_duplicates_of_thousands_of_equal_and_empty_texts(spark):
     rows = [(k, "") for k in range(10_000)] + [(k, "one text that ten thousand documents hold word for word") for k in range(10_000, 20_000)]
     found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block_grams=200).collect()
     assert {(x.n_shingles, x.component_id if x.doc_id >= 10_000 else x.doc_id - x.component_id) for x in found} == {(0, 0), (6, 10_000)} and len(found) == 20_000
+
+
+def test_a_large_group_of_near_copies_meets_its_hubs_first(spark, monkeypatch):
+    # Many small groups leave room for all pairs of the large one; these would grow with the square of its size.
+    long = " ".join(f"w{k}" for k in range(60))
+    small = [(1000 + 2 * j + k, " ".join(f"s{j}x{i}" for i in range(60)) + f" end{k}") for j in range(60) for k in range(2)]
+    real, tested = jaccard.linked, []
+    monkeypatch.setattr(jaccard, "linked", lambda pairs, *a: tested.append(pairs.count()) or real(pairs, *a))
+    for n in (50, 100):
+        tested.append(0)
+        rows = [(k, f"{long} end {k}") for k in range(n)] + small
+        found = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert found == {i: 0 if i < 1000 else i - i % 2 for i, _ in rows}
+    at = tested.index(0, 1)
+    assert sum(tested[:at]) < 20 * 50 and sum(tested[at:]) < 20 * 100 and sum(tested[at:]) < 3 * sum(tested[:at])
