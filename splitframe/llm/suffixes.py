@@ -49,6 +49,8 @@ BLOCK_BYTES = 1_000_000
 GROUP_STARTS = 250_000
 BATCH_STARTS = 32_768
 HOT_RUNS = 4_000
+#: String starts whose anchors are found at once.
+STEP = 16_384
 #: Anchors in a group that counts them.
 GROUP_ANCHORS = 500_000
 _BASE = 0x9E3779B97F4A7C15
@@ -73,10 +75,11 @@ class Prints:
         with np.errstate(over="ignore"):
             np.cumsum(BYTE_VALUES[raw] * powers(self.n), out=self.sums[1:])
 
-    def of(self, length: int) -> np.ndarray:
-        count = max(0, self.n - length + 1)
+    def of(self, length: int, low: int = 0, high: int | None = None) -> np.ndarray:
+        """Those of the strings that start at ``low`` or later and before ``high``."""
+        high = max(low, min(self.n - length + 1, self.n if high is None else high))
         with np.errstate(over="ignore"):
-            return mix64((self.sums[length : length + count] - self.sums[:count]) * inverse_powers(self.n)[:count])
+            return mix64((self.sums[low + length : high + length] - self.sums[low:high]) * inverse_powers(self.n)[low:high])
 
 
 def runs(raw: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -84,31 +87,33 @@ def runs(raw: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int =
 
     Arrays (document, first start, last start, anchor hash); places are those of the buffer.
     """
-    grams = Prints(raw).of(gram)
+    prints = Prints(raw)
     width = length - gram + 1
-    count = len(grams) - width + 1
+    count = len(raw) - length + 1
     none = np.zeros(0, np.int64)
     if count <= 0:
         return none, none, none, np.zeros(0, np.uint64)
-    keyed = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)  # of equal hashes, the leftmost
-    least, span = keyed, 1
-    while span * 2 <= width:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    if span < width:
-        least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
-    anchor = (least[:count] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    starts = np.arange(count)
-    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[:count]
+    anchor = np.empty(count, np.int64)
+    for low in range(0, count, STEP):  # stretches that stay in the processor's cache
+        grams = prints.of(gram, low, min(count, low + STEP) + width - 1)
+        least, span = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64), 1  # of equal hashes, the leftmost
+        while span * 2 <= width:
+            least = np.minimum(least[:-span], least[span:])
+            span *= 2
+        if span < width:
+            least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
+        anchor[low : low + STEP] = (least & np.uint64(0xFFFFFFFF)).astype(np.int64) + low
     # The last byte of each document in the buffer is a separator, which belongs to no string.
-    inside = starts + length <= bounds[doc + 1] - 1
-    starts, anchor, doc = starts[inside], anchor[inside], doc[inside]
-    if not len(starts):
-        return none, none, none, np.zeros(0, np.uint64)
-    new = np.append(True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(starts)) - 1
-    return doc[first], starts[first], starts[last], grams[anchor[first]]
+    begins, final = bounds[:-1], bounds[1:] - 1 - length
+    first = np.union1d(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, begins)
+    doc = np.searchsorted(bounds, first, side="right") - 1
+    last = np.minimum(np.append(first[1:], count) - 1, final[doc])
+    some = first <= last
+    first, last, doc = first[some], last[some], doc[some]
+    at = anchor[first]
+    with np.errstate(over="ignore"):
+        keys = mix64((prints.sums[at + gram] - prints.sums[at]) * inverse_powers(prints.n)[at])
+    return doc, first, last, keys
 
 
 def _spread(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -366,10 +371,12 @@ class Family:
         self.moved = 0
 
     def known(self, batch: SuffixArray) -> np.ndarray:
-        """Which strings of ``batch`` a level holds."""
-        out = np.zeros(len(batch), bool)
+        """Which strings of ``batch`` a level holds; no two levels hold the same, so what one has is not looked up in the next."""
+        out, left = np.zeros(len(batch), bool), np.arange(len(batch))
         for level in self.levels:
-            out |= level.scan(batch)[1]
+            hit = level.scan(batch)[1]
+            out[left[hit]] = True
+            left, batch = left[~hit], batch.without(hit)
         return out
 
     def add(self, batch: SuffixArray) -> None:

@@ -719,3 +719,31 @@ def test_a_large_group_of_near_copies_meets_its_hubs_first(spark, monkeypatch):
         assert found == {i: 0 if i < 1000 else i - i % 2 for i, _ in rows}
     at = tested.index(0, 1)
     assert sum(tested[:at]) < 20 * 50 and sum(tested[at:]) < 20 * 100 and sum(tested[at:]) < 3 * sum(tested[:at])
+
+
+def test_strings_that_a_level_holds_are_not_sought_in_the_next(monkeypatch):
+    text = np.frombuffer(bytes(range(97, 107)) * 2 + b"zyxwvutsrq", np.uint8)
+    family, sought = suffixes.Family(), []
+    family.levels = [suffixes.SuffixArray.of(text, np.arange(a, b), 4)[0] for a, b in ((0, 10), (20, 24), (24, 26))]
+    real = suffixes.SuffixArray.scan
+    monkeypatch.setattr(suffixes.SuffixArray, "scan", lambda self, other: sought.append(len(other)) or real(self, other))
+    asked, _ = suffixes.SuffixArray.of(text, np.arange(3, 27), 4)
+    assert {int(p) for p in asked.order[family.known(asked)]} == {*range(3, 13), *range(20, 26)}
+    assert sought == [len(asked), len(asked) - 10, len(asked) - 14]
+
+
+@pytest.mark.parametrize("step", [1, 7, 1000])
+def test_runs_across_stretches(monkeypatch, step):
+    r = np.random.default_rng(step)
+    parts = [bytes(r.integers(97, 100, n).astype(np.uint8)) for n in (0, 40, 9, 10, 11, 300, 1)]
+    raw, bounds = suffixes._buffer(parts)
+    monkeypatch.setattr(suffixes, "STEP", step)
+    grams, want = suffixes.Prints(raw).of(4), []
+    for d, (low, high) in enumerate(zip(bounds, bounds[1:])):
+        for s in range(low, high - 10):
+            at = min(range(s, s + 7), key=lambda k: (int(grams[k]) >> 32, k))
+            if want and want[-1][0] == d and want[-1][4] == at:
+                want[-1][2] = s
+            else:
+                want.append([d, s, s, int(grams[at]), at])
+    assert [tuple(x) for x in zip(*(x.tolist() for x in suffixes.runs(raw, bounds, 10, 4)))] == [tuple(x[:4]) for x in want]
